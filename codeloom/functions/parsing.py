@@ -38,14 +38,24 @@ def is_empty_value(value: Column) -> Column:
     )
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out exactly once per row.
+
+    A plain ``withColumn`` is inlined wherever the column is used, filters included, which
+    repeats costly parsing many times over. Generated columns are not.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def with_parsed(df: DataFrame, response: str) -> DataFrame:
     """Add ``block`` (string), ``value`` (variant) and ``status`` to a table of responses."""
-    out = df.withColumn("block", json_block(F.col(response)))
-    out = out.withColumn("value", parse_strict(F.col("block")))
-    return out.withColumn(
-        "status",
+    out = computed(df, block=json_block(F.col(response)))
+    out = computed(out, value=parse_strict(F.col("block")))
+    status = (
         F.when(F.col("block").isNull(), NO_JSON)
         .when(F.col("value").isNull(), UNPARSABLE)
         .when(is_empty_value(F.col("value")), EMPTY)
-        .otherwise(OK),
+        .otherwise(OK)
     )
+    return computed(out, status=status)

@@ -243,18 +243,22 @@ def errors_of(contract: Record | ListOf, value: Column) -> Column:
 
 def validate(df: DataFrame, contract: Record, value: str = "value", keep: tuple[str, ...] = ()) -> Split:
     """Split on a contract: typed columns for the good rows, ``errors`` for the others."""
-    checked = df.withColumn("errors", errors_of(contract, F.col(value)))
+    checked = parsing.computed(df, errors=errors_of(contract, F.col(value)))
     good = checked.filter(F.size("errors") == 0)
     bad = checked.filter(F.size("errors") > 0).select(*keep, "errors")
     return Split(good.select(*keep, *[c.alias(n) for n, c in contract.columns(F.col(value)).items()]), bad)
 
 
+def _checked(df: DataFrame, contract: Record | ListOf, response: str) -> DataFrame:
+    parsed = parsing.with_parsed(df, response)
+    errors = F.when(F.col("status") == parsing.OK, errors_of(contract, F.col("value")))
+    checked = parsing.computed(parsed, errors=errors)
+    return checked.withColumn("status", F.when(F.size("errors") > 0, "bad_type").otherwise(F.col("status")))
+
+
 def validate_responses(df: DataFrame, contract: Record, response: str, keep: tuple[str, ...]) -> Split:
     """Parse free-text responses and validate them; rejects carry one ``reason`` and the paths."""
-    parsed = parsing.with_parsed(df, response)
-    checked = parsed.withColumn(
-        "errors", F.when(F.col("status") == parsing.OK, errors_of(contract, F.col("value")))
-    ).withColumn("status", F.when(F.size("errors") > 0, "bad_type").otherwise(F.col("status")))
+    checked = _checked(df, contract, response)
     good = checked.filter(F.col("status") == parsing.OK)
     bad = checked.filter(F.col("status") != parsing.OK)
     typed = [c.alias(n) for n, c in contract.columns(F.col("value")).items()]
@@ -269,10 +273,7 @@ def validate_list_responses(df: DataFrame, contract: Record, response: str, keep
 
     The items come out as rows with their position ``pos``.
     """
-    parsed = parsing.with_parsed(df, response)
-    checked = parsed.withColumn(
-        "errors", F.when(F.col("status") == parsing.OK, errors_of(ListOf(contract), F.col("value")))
-    ).withColumn("status", F.when(F.size("errors") > 0, "bad_type").otherwise(F.col("status")))
+    checked = _checked(df, ListOf(contract), response)
     good = checked.filter(F.col("status") == parsing.OK)
     items = good.select(*keep, F.posexplode(F.try_variant_get("value", "$", "array<variant>")).alias("pos", "item"))
     typed = [c.alias(n) for n, c in contract.columns(F.col("item")).items()]

@@ -293,14 +293,14 @@ def axial_rejects(spark, d):
 
 @query
 def codebook_invalid(spark, d):
-    records = inp.code_records(spark, d).withColumn("value", parsing.parse_strict(F.col("record")))
+    records = parsing.computed(inp.code_records(spark, d), value=parsing.parse_strict(F.col("record")))
     split = contracts.validate(records, contracts.CODE, keep=("doc_id",))
     return split.rejects.select("doc_id", F.array_join("errors", ",").alias("errors"))
 
 
 @query
 def codebook_valid(spark, d):
-    records = inp.code_records(spark, d).withColumn("value", parsing.parse_strict(F.col("record")))
+    records = parsing.computed(inp.code_records(spark, d), value=parsing.parse_strict(F.col("record")))
     split = contracts.validate(records, contracts.CODE, keep=("doc_id",))
     return split.valid.select("doc_id", "id", "label", "count", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("vector_sum"))
 

@@ -63,7 +63,7 @@ def read_checkpoint(spark: SparkSession, path: str, schema: str = CODED) -> Spli
 def read_jsonl_checked(spark: SparkSession, path: str, contract: contracts.Record) -> Split:
     """JSON lines held against a contract: typed rows, and rejects as ``line, errors``."""
     lines = spark.read.text(path).filter(~T.is_blank(F.col("value"))).select(F.col("value").alias("line"))
-    parsed = lines.withColumn("value", parsing.parse_strict(F.col("line")))
+    parsed = parsing.computed(lines, value=parsing.parse_strict(F.col("line")))
     readable = contracts.validate(parsed.filter(F.col("value").isNotNull()), contract, keep=("line",))
     broken = parsed.filter(F.col("value").isNull()).select("line", F.array(F.lit("$:unparsable")).alias("errors"))
     return Split(readable.valid.drop("line"), readable.rejects.union(broken))
