@@ -93,7 +93,7 @@ def merge_labels(
         rejects = spark.createDataFrame([], "label string, reason string")
         old = codebook
         items = old.select("ord", "label").union(fresh.select("ord", "label"))
-        space = GramSpace.build(cut_lineage(items), theta)
+        space = GramSpace.build(items, theta)
 
     is_old = F.col("ord") <= F.lit(-1 if last is None else last)
     old_entries, new_entries = space.entries.filter(is_old), space.entries.filter(~is_old)

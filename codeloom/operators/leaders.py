@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import cut_lineage
+from codeloom.session import cut_and_measure, cut_lineage
 
 GROWTH = 8
 OPEN, LEADER, DROPPED = 0, 1, 2
@@ -67,45 +67,52 @@ def _in_order(open_: int, leader: int, dropped: int):
     return run
 
 
-def _settle(edges: DataFrame, state: DataFrame) -> DataFrame:
-    """Propagate leader/dropped along ``edges(i, j)``, all nodes being open, until nothing changes."""
-    if edges.count() <= SMALL_REST:
+def _settle(edges: DataFrame, n_edges: int, state: DataFrame) -> tuple[DataFrame, int]:
+    """Propagate leader/dropped along ``edges(i, j)``, all nodes being open, until nothing changes.
+
+    Gives the state and the number of nodes still open.
+    """
+    still_open = F.count_if(F.col("status") == OPEN)
+    if n_edges <= SMALL_REST:
         flags = state.select("ord", "complete")
         rest = edges.join(flags.toDF("i", "complete_i"), "i").join(flags.toDF("j", "complete_j"), "j")
         done = rest.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_in_order(OPEN, LEADER, DROPPED), "ord bigint, settled int")
         alone = F.when(F.col("complete"), LEADER).otherwise(OPEN)
         settled = state.join(done, "ord", "left").withColumn("status", F.coalesce("settled", alone))
-        return cut_lineage(settled.select("ord", "complete", "status"))
-    open_before = None
+        out, seen = cut_and_measure(settled.select("ord", "complete", "status"), open=still_open)
+        return out, seen["open"]
+    state, open_before = cut_lineage(state), None
     while True:
-        state = cut_lineage(_step(edges, state))
-        open_now = state.filter(F.col("status") == OPEN).count()
-        if open_now == 0 or open_now == open_before:
-            return state
-        open_before = open_now
+        state, seen = cut_and_measure(_step(edges, state), open=still_open)
+        if seen["open"] in (0, open_before):
+            return state, seen["open"]
+        open_before = seen["open"]
 
 
 def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
     """``ord`` of the leaders among ``candidates`` (a subset of the entries of ``space``)."""
-    spark = candidates.sparkSession
-    leaders = spark.createDataFrame([], "ord bigint")
-    left, heads_per_cell = candidates, space.first_heads
+    leaders, left, heads_per_cell = None, candidates, space.first_heads
     while True:
         place = Window.partitionBy("cell").orderBy("ord")
         heads = left.filter("home").withColumn("_n", F.row_number().over(place))
         heads = cut_lineage(heads.filter(F.col("_n") <= heads_per_cell))
-        edges = cut_lineage(space.match(left, heads.drop("_n")).select("i", "j").distinct())
+        edges, seen = cut_and_measure(
+            space.match(left, heads.drop("_n")).select("i", "j").distinct(), n=F.count(F.lit(1))
+        )
         full = heads.groupBy("cell").agg(F.max("_n").alias("_n"), F.max("ord").alias("last"))
-        full = full.filter(F.col("_n") == heads_per_cell)
-        behind = left.join(full.select("cell", "last"), "cell").filter(F.col("ord") > F.col("last")).select("ord").distinct()
+        full = full.filter(F.col("_n") == heads_per_cell).select("cell", "last")
+        # One pass over the entries: an item is complete if no cell of it has more heads before it.
         state = (
-            left.select("ord").distinct().join(behind.withColumn("behind", F.lit(True)), "ord", "left")
-            .select("ord", F.col("behind").isNull().alias("complete"), F.lit(OPEN).alias("status"))
+            left.join(full, "cell", "left")
+            .groupBy("ord")
+            .agg((F.count_if(F.col("ord") > F.col("last")) == 0).alias("complete"))
+            .withColumn("status", F.lit(OPEN))
         )
-        state = _settle(edges, state)
-        leaders = leaders.union(state.filter(F.col("status") == LEADER).select("ord"))
+        state, n_open = _settle(edges, seen["n"], state)
+        found = state.filter(F.col("status") == LEADER).select("ord")
+        leaders = found if leaders is None else leaders.union(found)
+        if n_open == 0:
+            return leaders
         still = state.filter(F.col("status") == OPEN).select("ord")
-        if still.isEmpty():
-            return cut_lineage(leaders)
         left = cut_lineage(left.join(still, "ord", "left_semi"))
         heads_per_cell *= GROWTH

@@ -292,7 +292,7 @@ ORACLES: dict[str, str] = {
         FROM documents WHERE doc_id % 4 = 2 OR doc_id % 7 IN (2, 5)""",
     "codebook_valid": """
         SELECT doc_id, 'code_' || CAST(doc_id AS VARCHAR) AS id, lang AS label,
-          CASE doc_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 3 THEN NULL WHEN 4 THEN 1 ELSE 6 END AS count,
+          CAST(CASE doc_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 3 THEN NULL WHEN 4 THEN 1 ELSE 6 END AS BIGINT) AS count,
           CASE WHEN doc_id % 4 = 1 THEN CAST(4.0 AS DOUBLE) END AS vector_sum
         FROM documents WHERE NOT (doc_id % 4 = 2 OR doc_id % 7 IN (2, 5))""",
     "label_exact_match": sql(["established"], "SELECT label, code_id FROM established"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -61,3 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def cut_and_measure(df: DataFrame, **measures) -> tuple[DataFrame, dict]:
+    """:func:`cut_lineage`, with aggregates of the rows taken while they are written."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return out, seen.get
