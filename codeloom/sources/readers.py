@@ -74,8 +74,9 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
 
     A JSON document cannot be split. Data that grows belongs in JSON lines or a table.
     """
-    texts = spark.read.option("wholetext", "true").text(path)
-    return texts.select(parsing.parse_strict(F.regexp_replace("value", "^﻿", "")).alias("value"))
+    texts = spark.read.text(path, wholetext=True)
+    text = F.regexp_replace("value", "^\\x{FEFF}", "")
+    return parsing.computed(texts.select(text.alias("text")), value=parsing.parse_strict(F.col("text"))).select("value")
 
 
 def document_items(doc: DataFrame, path: str = "$") -> DataFrame:
@@ -98,7 +99,9 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
     problem = F.when(F.col("value").isNull(), F.lit("not a JSON document")).otherwise(
         F.array_join(contracts.errors_of(contracts.CODEBOOK, F.col("value")), ", ")
     )
-    checked = doc.withColumn("value", F.when(problem == "", F.col("value")).otherwise(F.raise_error(problem).cast("variant")))
+    checked = parsing.computed(doc, problem=problem).withColumn(
+        "value", F.when(F.col("problem") == "", F.col("value")).otherwise(F.raise_error("problem").cast("variant"))
+    )
     typed = contracts.CODE.columns(F.col("item"))
     typed["embedding"] = typed["embedding"].cast("array<float>")
     return document_items(checked, "$.codes").select(*[c.alias(n) for n, c in typed.items()], F.col("pos").alias("ord"))
