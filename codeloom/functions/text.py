@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Fixed values -----------------------------------------------------------------------------
 # Whitespace as Python's str.strip sees it: Unicode White_Space plus U+001C..U+001F.
 EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-# Words that name an action. Spanish gerunds are the rule; English -ing is the same device.
-ACTION_WORD = r"\b(\p{L}{2,}(?:ing|ando|endo|iendo))\b"
+# Words that name an action: two letters or more before -ando, -endo, -iendo or English -ing.
+# The word is taken whole and its end checked once, which spares backtracking over every word.
+ACTION_WORD = r"\b(\p{L}{2,}+(?<=\p{L}{2}(?:ing|ando|endo)))\b"
 # A code starts with a gerund, which may carry enclitic pronouns ("Sintiéndose perdido").
 GERUND_START = r"(?iu)^\p{L}*(?:ando|endo|iendo|ándo|éndo|iéndo)(?:me|te|se|nos|os|la|las|le|les|lo|los)*\b"
 GERUND_START_EN = r"(?iu)^\p{L}{2,}ing\b"

@@ -35,7 +35,8 @@ def merge_by_name(results: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The first description wins, code ids are united, ids are ``cat_{n}`` by first appearance.
     Returns ``categories(category_id, category_name, description, ord)`` and
-    ``category_codes(category_id, code_id, batch, pos, code_pos)``.
+    ``category_codes(category_id, code_id, batch, pos, code_pos)``. ``results`` is read for
+    both, so it should be a table and not a pending parse.
     """
     place = F.struct("batch", "pos")
     first = results.groupBy("category_name").agg(

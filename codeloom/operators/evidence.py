@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators import ingest
 from codeloom.operators.contracts import COMPONENTS
 
 EVIDENCE_CHAR_LIMIT = 100_000  # fixed value: characters of evidence that fit one request
 MISSING_TEXT = "Referenced insight text not found for ID: "  # fixed value
+SPREAD = 4096
 
 
 def enrich_insights(coded: DataFrame, label_map: DataFrame, distinct: bool = False, codes: str = "codigos_abiertos") -> DataFrame:
     """Add ``unified_code_ids``: the codes of a row's labels in label order.
 
     Works per distinct label list rather than per row. Equal lists are looked up once, rows
-    need no unique id, and the only group that is collected is one list.
+    need no unique id, and the only group that is collected is one list. Rows without codes
+    can match nothing; they are spread over all partitions instead of meeting on one key.
     """
     lists = coded.select(F.col(codes).alias("_list")).filter(F.size("_list") > 0).distinct()
     labels = lists.select("_list", F.posexplode("_list").alias("_pos", "label")).withColumn("label", T.strip(F.col("label")))
@@ -25,10 +28,14 @@ def enrich_insights(coded: DataFrame, label_map: DataFrame, distinct: bool = Fal
     ids = F.transform("_hits", lambda h: h["code_id"])
     found = found.select("_list", (F.array_distinct(ids) if distinct else ids).alias("unified_code_ids"))
     none = F.array().cast("array<string>")
+    row_key = next(c for c in coded.columns if c != codes)
+    spread = F.when(F.size(codes) > 0, 0).otherwise(F.pmod(F.xxhash64(row_key), F.lit(SPREAD)) + 1).cast("int")
+    same = (F.col(codes) == F.col("_list")) & (F.col("_spread") == F.col("_zero"))
     return (
-        coded.join(found, F.col(codes) == F.col("_list"), "left")
+        coded.withColumn("_spread", spread)
+        .join(found.withColumn("_zero", F.lit(0)), same, "left")
         .withColumn("unified_code_ids", F.coalesce("unified_code_ids", none))
-        .drop("_list")
+        .drop("_list", "_spread", "_zero")
     )
 
 
@@ -95,6 +102,15 @@ def axial_items(axial: DataFrame) -> DataFrame:
     return flat.select("category_id", "component", "pos", "description", F.explode_outer("ids").alias("insight_id"))
 
 
+def texts_for(refs: DataFrame, insights: DataFrame, order: str = "src_ord") -> DataFrame:
+    """Texts of the cited insights only, the last row per id winning.
+
+    Keeping the cited rows first means that only their texts are shuffled.
+    """
+    cited = refs.select(F.col("insight_id").alias("id")).distinct()
+    return ingest.insight_texts(insights.select("id", "text", order).join(cited, "id", "left_semi"), order)
+
+
 def resolve_texts(refs: DataFrame, texts: DataFrame) -> DataFrame:
     """Add ``text`` and ``found`` to ``refs(..., insight_id)``; unknown or empty ones get a placeholder."""
     known = texts.select(F.col("id").alias("insight_id"), F.nullif("text", F.lit("")).alias("_text"))

@@ -1,7 +1,6 @@
 """Narratives, corpus text, report text and totals.
 
-A text assembled from many rows is handed out in numbered parts of a bounded number of
-pieces. Small inputs give one part, which is the whole text; joined in part order the parts
+A text assembled from many rows is handed out in numbered parts of bounded size. Small inputs give one part, which is the whole text; joined in part order the parts
 always give exactly the whole.
 """
 
@@ -40,6 +39,7 @@ COMPONENT_TITLES = {
 }
 # --------------------------------------------------------------------------------------------
 PIECES_PER_PART = 1_000
+CHARS_PER_PART = 8_000_000
 
 
 def clusters(spark) -> DataFrame:
@@ -74,25 +74,26 @@ def full_narrative(blocks: DataFrame, key: str, per_part: int = PIECES_PER_PART)
     return lists.select(key, "part", text.alias("narrative"), F.size("_ps").cast("bigint").alias("n_blocks"))
 
 
-def _assembled(sections: DataFrame, order: list[str], head: str, piece: Column, per_part: int, name: str) -> DataFrame:
-    placed = with_position(sections, order, name="_pos")
-    placed = placed.withColumn("part", F.floor((F.col("_pos") - 1) / per_part).cast("bigint"))
-    lists = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("_pos", piece.alias("p")))).alias("_ps"))
-    body = F.array_join(F.transform("_ps", lambda x: x["p"]), "")
+def _assembled(sections: DataFrame, order: list[str], head: str, piece: Column, max_chars: int, name: str) -> DataFrame:
+    pieces = sections.withColumn("_p", piece).withColumn("_n", F.length("_p").cast("bigint"))
+    placed = with_position(pieces, order, name="_pos", running={"_end": "_n"})
+    placed = placed.withColumn("part", F.floor((F.col("_end") - F.col("_n")) / max_chars).cast("bigint"))
+    lists = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("_pos", "_p"))).alias("_ps"))
+    body = F.array_join(F.transform("_ps", lambda x: x["_p"]), "")
     text = F.concat(F.when(F.col("part") == 0, F.lit(head)).otherwise(F.lit("")), body)
     return lists.select("part", text.alias(name), F.size("_ps").cast("bigint").alias("n_sections"))
 
 
-def corpus_text(sections: DataFrame, order: list[str], per_part: int = PIECES_PER_PART) -> DataFrame:
+def corpus_text(sections: DataFrame, order: list[str], max_chars: int = CHARS_PER_PART) -> DataFrame:
     """All ``sections(category_name, narrative)`` as the text of one final request, in parts."""
     piece = F.concat(F.lit("## CATEGORÍA: "), "category_name", F.lit("\n\n"), "narrative", F.lit(f"\n\n{RULE}\n\n"))
-    return _assembled(sections, order, f"\n\n{RULE}\n\n", piece, per_part, "corpus")
+    return _assembled(sections, order, f"\n\n{RULE}\n\n", piece, max_chars, "corpus")
 
 
-def fallback_report(sections: DataFrame, order: list[str], per_part: int = PIECES_PER_PART) -> DataFrame:
+def fallback_report(sections: DataFrame, order: list[str], max_chars: int = CHARS_PER_PART) -> DataFrame:
     """The plain report used when no final synthesis comes back, in parts."""
     piece = F.concat(F.lit("### "), "category_name", F.lit("\n\n"), "narrative", F.lit("\n\n---\n\n"))
-    return _assembled(sections, order, REPORT_HEAD, piece, per_part, "report")
+    return _assembled(sections, order, REPORT_HEAD, piece, max_chars, "report")
 
 
 def synthesized(narratives: DataFrame, responses: DataFrame, key: str) -> DataFrame:

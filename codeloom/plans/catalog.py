@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,12 @@ KNOWN = [{"category_name": "Hábitos", "description": "Rutinas"}]
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with inp.one_query():
+            return fn(spark, sf_dir)
+
+    REGISTRY[fn.__name__] = run
     return fn
 
 
@@ -113,7 +119,7 @@ def jsonl_append(spark, d):
 
 def _checkpoint_lines(spark, d, path):
     """Coded rows as lines, every seventh one cut off as by a crash."""
-    rows = inp.coded(spark, d).withColumn("id", F.col("doc_id").cast("string"))
+    rows = inp.coded_once(spark, d).withColumn("id", F.col("doc_id").cast("string"))
     line = T.to_json(F.struct("id", "codigos_abiertos"))
     cut = F.when(F.col("doc_id") % 7 == 3, F.substring(line, 1, 12)).otherwise(line)
     rows.select(cut.alias("value")).write.text(path)
@@ -171,17 +177,17 @@ def failed_sink(spark, d):
 
 @query
 def open_codes(spark, d):
-    return inp.open_codes(spark, d)
+    return ingest.exploded_codes(inp.coded_once(spark, d), ["doc_id"])
 
 
 @query
 def label_counts(spark, d):
-    return ingest.distinct_labels(inp.coded(spark, d))
+    return ingest.distinct_labels(inp.coded_once(spark, d))
 
 
 @query
 def distinct_labels(spark, d):
-    return ingest.distinct_labels(inp.coded(spark, d)).select("label")
+    return ingest.distinct_labels(inp.coded_once(spark, d)).select("label")
 
 
 @query
@@ -458,7 +464,8 @@ def evidence_ids(spark, d):
 
 
 def _resolved(spark, d):
-    return ev.resolve_texts(evidence_ids(spark, d), ingest.insight_texts(inp.insights(spark, d)))
+    refs = cut_lineage(evidence_ids(spark, d))
+    return ev.resolve_texts(refs, ev.texts_for(refs, inp.insights(spark, d)))
 
 
 @query
@@ -497,7 +504,7 @@ def code_batches(spark, d):
 
 def _results(spark, d):
     split = contracts.validate_list_responses(inp.category_responses(spark, d), contracts.CATEGORY_RESULT, "response", ("doc_id",))
-    return split.valid.withColumnRenamed("doc_id", "batch")
+    return cut_lineage(split.valid.withColumnRenamed("doc_id", "batch"))
 
 
 @query
@@ -677,7 +684,7 @@ def synthesis_fallback(spark, d):
 
 @query
 def narrative_blocks(spark, d):
-    items = inp.axial_items(spark, d).select(
+    items = cut_lineage(inp.axial_items(spark, d)).select(
         "category_id", "component", F.lit(0).cast("bigint").alias("pos"),
         F.concat(F.lit("On "), "component").alias("description"), "insight_id",
     )

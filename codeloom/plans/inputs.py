@@ -6,12 +6,29 @@ code vectors, ``conversations`` the ordered narrative blocks. Every row of a tab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import ingest, report
 from codeloom.operators import evidence as ev
+from codeloom.session import cut_lineage
+
+_shared: dict[str, DataFrame] | None = None
+
+
+@contextmanager
+def one_query() -> Iterator[None]:
+    """While it lasts, :func:`coded` is materialised once and reused, so texts are read once."""
+    global _shared
+    outer, _shared = _shared, {}
+    try:
+        yield
+    finally:
+        _shared = outer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,11 +54,20 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("id"), "text", F.col("doc_id").alias("src_ord"))
 
 
-def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, codigos_abiertos``: rule-based codes of every document."""
+def coded_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, codigos_abiertos``: rule-based codes of every document, for a single use."""
     return ingest.open_code(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`coded_once`, materialised for queries that need it in several places."""
+    if _shared is None:
+        return coded_once(spark, sf_dir)
+    if sf_dir not in _shared:
+        _shared[sf_dir] = cut_lineage(coded_once(spark, sf_dir))
+    return _shared[sf_dir]
+
+
 def open_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.exploded_codes(coded(spark, sf_dir), ["doc_id"])
 
@@ -106,7 +132,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('{"id_fragmento":"'), key, F.lit('","fragmento_original":"doc '), key, F.lit('","codigos_abiertos":'),
         _quoted_labels(), F.lit(',"extra":1}'),
     )
-    rows = coded(spark, sf_dir).select("doc_id", js.alias("js"))
+    rows = coded_once(spark, sf_dir).select("doc_id", js.alias("js"))
     j, shape = F.col("js"), n % 9
     bare_id = F.replace(j, F.concat(F.lit('"id_fragmento":"'), key, F.lit('"')), F.concat(F.lit('"id_fragmento":'), key))
     response = (

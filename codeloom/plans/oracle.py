@@ -145,12 +145,17 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT conv_id AS category_id, CAST(floor(turn / 1000) AS BIGINT) AS part, count(*) AS n_blocks,
           string_agg('**' || role || E'**\n\n' || text, E'\n\n---\n\n' ORDER BY turn) AS narrative
         FROM conversations WHERE role <> 'system' AND text <> '' GROUP BY 1, 2"""),
+    # "conv 7" and the fixed text around it, 8 million characters to a part.
     "sections": (["narratives"], """
-        SELECT CAST(floor((row_number() OVER (ORDER BY category_id, part) - 1) / 1000) AS BIGINT) AS part,
-          row_number() OVER (ORDER BY category_id, part) AS p, 'conv ' || CAST(category_id AS VARCHAR) AS category_name, narrative FROM narratives"""),
-    "report_parts": (["sections"], f"""
+        SELECT row_number() OVER (ORDER BY category_id, part) AS p, 'conv ' || CAST(category_id AS VARCHAR) AS category_name, narrative,
+          sum(length(narrative) + length(CAST(category_id AS VARCHAR)) + 5) OVER (ORDER BY category_id, part ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+            - length(narrative) - length(CAST(category_id AS VARCHAR)) - 5 AS before,
+          row_number() OVER (ORDER BY category_id, part) - 1 AS n_before FROM narratives"""),
+    "report_sections": (["sections"], "SELECT *, CAST(floor((before + n_before * 13) / 8000000) AS BIGINT) AS part FROM sections"),
+    "corpus_sections": (["sections"], f"SELECT *, CAST(floor((before + n_before * {len('## CATEGORÍA: ') + 6 + len(report.RULE)}) / 8000000) AS BIGINT) AS part FROM sections"),
+    "report_parts": (["report_sections"], f"""
         SELECT part, count(*) AS n_sections, (CASE WHEN part = 0 THEN {text(report.REPORT_HEAD)} ELSE '' END)
-          || string_agg('### ' || category_name || E'\\n\\n' || narrative || E'\\n\\n---\\n\\n', '' ORDER BY p) AS report FROM sections GROUP BY part"""),
+          || string_agg('### ' || category_name || E'\\n\\n' || narrative || E'\\n\\n---\\n\\n', '' ORDER BY p) AS report FROM report_sections GROUP BY part"""),
     "clusters": ([], "SELECT * FROM (VALUES " + ", ".join(
         f"({text(a)}, '{b}', {n})" for a, b, n, _ in report.CLUSTERS
     ) + ") AS t(category_name, cluster, cluster_ord)"),
@@ -385,10 +390,10 @@ ORACLES: dict[str, str] = {
         SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang <> 'de' THEN upper(lang) END AS response, CAST(CASE WHEN lang = 'de' THEN 3 ELSE 1 END AS BIGINT) AS attempt
         FROM documents""",
     "full_narrative": sql(["narratives"], "SELECT category_id, part, md5(narrative) AS narrative_md5, n_blocks FROM narratives"),
-    "corpus_text": sql(["sections"], f"""
+    "corpus_text": sql(["corpus_sections"], f"""
         SELECT part, count(*) AS n_sections, md5((CASE WHEN part = 0 THEN E'\\n\\n{report.RULE}\\n\\n' ELSE '' END)
           || string_agg('## CATEGORÍA: ' || category_name || E'\\n\\n' || narrative || E'\\n\\n{report.RULE}\\n\\n', '' ORDER BY p)) AS corpus_md5
-        FROM sections GROUP BY part"""),
+        FROM corpus_sections GROUP BY part"""),
     "fallback_report": sql(["report_parts"], "SELECT part, md5(report) AS report_md5, n_sections FROM report_parts"),
     "report_file": sql(["report_parts"], r"""
         SELECT CAST(sum(len(report) - len(replace(report, E'\n', ''))) AS BIGINT) AS n_lines, CAST(sum(n_sections) AS BIGINT) AS n_sections FROM report_parts"""),

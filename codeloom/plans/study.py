@@ -93,12 +93,14 @@ def categorize_with_model(
 
 
 def analyse_with_model(
-    categories: DataFrame, category_codes: DataFrame, enriched: DataFrame, texts: DataFrame, responder: Responder, template: str
+    categories: DataFrame, category_codes: DataFrame, enriched: DataFrame, insights: DataFrame, responder: Responder, template: str
 ) -> Split:
     """Axial analysis per category and evidence part; categories without evidence are skipped."""
     merged, codes = cat.merge_by_id(categories, category_codes)
     refs = ev.category_evidence(codes, ev.evidence_index(enriched)).withColumnRenamed("id_fragmento", "insight_id")
-    prompts = cut_lineage(requests.axial_prompts(merged, ev.resolve_texts(refs, texts), template))
+    refs = cut_lineage(refs)
+    resolved = ev.resolve_texts(refs, ev.texts_for(refs, insights))
+    prompts = cut_lineage(requests.axial_prompts(merged, resolved, template))
     answers = respond(prompts, responder, ("category_id", "part"))
     split = contracts.validate_responses(answers, contracts.AXIAL_RESULT, "response", ("category_id", "part"))
     names = prompts.select("category_id", "part", "category_name")
@@ -107,9 +109,10 @@ def analyse_with_model(
     return Split(valid, split.rejects)
 
 
-def narrate_with_model(axial: DataFrame, texts: DataFrame, responder: Responder, template: str) -> Split:
+def narrate_with_model(axial: DataFrame, insights: DataFrame, responder: Responder, template: str) -> Split:
     """Narrative blocks per analysed category. A response without ``narrative_blocks`` is rejected."""
-    resolved = ev.resolve_texts(ev.cited_ids(axial), texts)
+    refs = cut_lineage(ev.cited_ids(axial))
+    resolved = ev.resolve_texts(refs, ev.texts_for(refs, insights))
     prompts = cut_lineage(requests.narrative_prompts(axial.drop("part"), resolved, template))
     answers = respond(prompts, responder, ("category_id", "category_name", "part"))
     parsed = parsing.with_parsed(answers, "response")

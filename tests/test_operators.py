@@ -167,7 +167,7 @@ def test_report_parts_join_to_the_whole(spark, tmp_path):
     rows = [(f"c{n}", f"text {n}") for n in range(5)]
     df = spark.createDataFrame(rows, "category_name string, narrative string")
     whole = report.REPORT_HEAD + "".join(f"### {a}\n\n{b}\n\n---\n\n" for a, b in rows)
-    parts = report.fallback_report(df, ["category_name"], per_part=2)
+    parts = report.fallback_report(df, ["category_name"], max_chars=50)
     assert "".join(r.report for r in parts.orderBy("part").collect()) == whole
     write_report(parts, "report", str(tmp_path / "r"))
     files = sorted(tmp_path.glob("r/part-*"))

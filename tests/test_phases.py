@@ -13,7 +13,7 @@ INSIGHTS = [("1", "I was walking and talking"), ("2", "we kept walking"), ("3",
 
 
 def insights(spark):
-    return spark.createDataFrame(INSIGHTS, "id string, text string")
+    return spark.createDataFrame(INSIGHTS, "id string, text string").withColumn("src_ord", F.col("id").cast("long"))
 
 
 def make_coder():
@@ -117,7 +117,7 @@ def test_preprocess_writes_its_outputs(spark, tmp_path):
 
 def test_stream_resumes_without_repeating(spark, tmp_path):
     source, out, offsets = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "offsets")
-    rows = insights(spark)
+    rows = insights(spark).select("id", "text")
     rows.filter("id < '3'").write.parquet(source)
     keeper = incremental.codebook_keeper(str(tmp_path / "book"), 0.6)
 
