@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators.leaders import greedy_leaders
 from codeloom.operators.ranking import with_position
-from codeloom.operators.similarity import GramSpace, VectorSpace
+from codeloom.operators.similarity import GramSpace, VectorSpace, best_match
 from codeloom.session import cut_lineage
 
 THETA = 0.90  # fixed value: the default merge threshold
@@ -97,16 +97,16 @@ def merge_labels(
 
     is_old = F.col("ord") <= F.lit(-1 if last is None else last)
     old_entries, new_entries = space.entries.filter(is_old), space.entries.filter(~is_old)
+    free = new_entries
     if last is not None:
-        taken = space.match(new_entries, old_entries).select(F.col("i").alias("ord")).distinct()
-        free = cut_lineage(new_entries.join(taken, "ord", "left_anti"))
-    else:
-        free = new_entries
+        best_old = cut_lineage(nearest_code(space, new_entries, old_entries))
+        free = cut_lineage(new_entries.join(best_old.select(F.col("i").alias("ord")), "ord", "left_anti"))
     leaders = greedy_leaders(space, free)
 
     led = new_entries.join(leaders, "ord", "left_anti")
-    codes = old_entries.unionByName(new_entries.join(leaders, "ord", "left_semi"))
-    nearest = nearest_code(space, led, codes)
+    nearest = nearest_code(space, led, new_entries.join(leaders, "ord", "left_semi"))
+    if last is not None:
+        nearest = best_match(best_old.union(nearest))
 
     created = fresh.join(leaders, "ord").withColumn("id", T.code_id(F.col("label")))
     ids = codebook.select("ord", "id").union(created.select("ord", "id"))

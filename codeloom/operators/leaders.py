@@ -5,11 +5,12 @@ The result is the lexicographically first maximal independent set of the similar
 which can be found in rounds: an item with an earlier leader neighbour drops out, an item
 whose earlier neighbours have all dropped out is a leader.
 
-The full graph is never built: a cluster of n near-copies would have n^2 edges. Each round
-compares the undecided items with only the first ``heads`` undecided items of every cell, so
-a cluster costs one comparison per member with its leader. Items that rank behind the heads
-of one of their cells may be dropped but not promoted in that round. ``heads`` grows from
-round to round, which bounds the number of rounds; no item is ever left out.
+The full graph is never built: a cluster of n near-copies would have n^2 edges. A round looks
+for leaders only among the heads, the first few undecided items of every cell, and then drops
+whatever resembles a leader it found. A member of a cluster is thus compared with the few
+leaders of its cells and not with its fellow members. Heads that rank behind the heads of
+another cell of theirs may be dropped but not promoted in that round. The number of heads
+grows from round to round, which bounds the number of rounds; no item is ever left out.
 """
 
 from __future__ import annotations
@@ -96,12 +97,13 @@ def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
         place = Window.partitionBy("cell").orderBy("ord")
         heads = left.filter("home").withColumn("_n", F.row_number().over(place))
         heads = cut_lineage(heads.filter(F.col("_n") <= heads_per_cell))
+        among = left.join(heads.select("ord").distinct(), "ord", "left_semi")
         edges, seen = cut_and_measure(
-            space.match(left, heads.drop("_n")).select("i", "j").distinct(), n=F.count(F.lit(1))
+            space.match(among, heads.drop("_n")).select("i", "j").distinct(), n=F.count(F.lit(1))
         )
         full = heads.groupBy("cell").agg(F.max("_n").alias("_n"), F.max("ord").alias("last"))
         full = full.filter(F.col("_n") == heads_per_cell).select("cell", "last")
-        # One pass over the entries: an item is complete if no cell of it has more heads before it.
+        # An item is complete if none of its cells hides earlier items; only heads can be.
         state = (
             left.join(full, "cell", "left")
             .groupBy("ord")
@@ -113,6 +115,9 @@ def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
         leaders = found if leaders is None else leaders.union(found)
         if n_open == 0:
             return leaders
-        still = state.filter(F.col("status") == OPEN).select("ord")
-        left = cut_lineage(left.join(still, "ord", "left_semi"))
+        rest = left.join(state.filter(F.col("status") == OPEN).select("ord"), "ord", "left_semi")
+        near = space.match(rest, left.join(found, "ord", "left_semi"), best=True).select(F.col("i").alias("ord"))
+        left, seen = cut_and_measure(rest.join(near, "ord", "left_anti"), n=F.count(F.lit(1)))
+        if seen["n"] == 0:
+            return leaders
         heads_per_cell *= GROWTH
