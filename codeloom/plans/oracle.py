@@ -178,21 +178,21 @@ def sql(views: list[str], body: str) -> str:
     return f"WITH RECURSIVE {ctes}\n{body}" if needed else body
 
 
-def greedy(nodes: str, pairs: str, forced: str = "0") -> str:
+def greedy(nodes: str, pairs: str, forced: str = "0", tag: str = "") -> str:
     """CTEs of the one-by-one merge: ``nodes(t)`` numbered from 1, ``pairs(x, y, sim)`` with y < x.
 
-    The first ``forced`` nodes are leaders whatever they resemble.
+    The first ``forced`` nodes are leaders whatever they resemble. The result is ``merged(x, y, sim)``.
     """
     return f""",
-        gp AS ({pairs}), gn AS (SELECT t, {forced} AS forced FROM ({nodes})),
-        nb AS (SELECT gn.t, gn.forced, coalesce(list(gp.y) FILTER (gp.y IS NOT NULL), []) AS js FROM gn LEFT JOIN gp ON gp.x = gn.t GROUP BY gn.t, gn.forced),
-        g(t, ls) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
-          SELECT nb.t, CASE WHEN nb.t > nb.forced AND list_has_any(g.ls, nb.js) THEN g.ls ELSE list_append(g.ls, nb.t) END FROM g JOIN nb ON nb.t = g.t + 1),
-        lead AS (SELECT unnest(ls) AS t FROM g WHERE t = (SELECT max(t) FROM g)),
-        merged AS (
-          SELECT t AS x, t AS y, CAST(NULL AS DOUBLE) AS sim FROM lead
-          UNION ALL SELECT x, arg_max(y, (sim, -y)), max(sim) FROM gp
-            WHERE y IN (SELECT t FROM lead) AND x NOT IN (SELECT t FROM lead) GROUP BY x)"""
+        gp{tag} AS ({pairs}), gn{tag} AS (SELECT t, {forced} AS forced FROM ({nodes})),
+        nb{tag} AS (SELECT n.t, n.forced, coalesce(list(p.y) FILTER (p.y IS NOT NULL), []) AS js FROM gn{tag} n LEFT JOIN gp{tag} p ON p.x = n.t GROUP BY n.t, n.forced),
+        g{tag}(t, ls) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+          SELECT n.t, CASE WHEN n.t > n.forced AND list_has_any(g.ls, n.js) THEN g.ls ELSE list_append(g.ls, n.t) END FROM g{tag} g JOIN nb{tag} n ON n.t = g.t + 1),
+        lead{tag} AS (SELECT unnest(ls) AS t FROM g{tag} WHERE t = (SELECT max(t) FROM g{tag})),
+        merged{tag} AS (
+          SELECT t AS x, t AS y, CAST(NULL AS DOUBLE) AS sim FROM lead{tag}
+          UNION ALL SELECT x, arg_max(y, (sim, -y)), max(sim) FROM gp{tag}
+            WHERE y IN (SELECT t FROM lead{tag}) AND x NOT IN (SELECT t FROM lead{tag}) GROUP BY x)"""
 
 
 def merge_vectors(theta: float) -> str:
@@ -208,6 +208,29 @@ def merge_labels(turns: str, forced: str, body: str) -> str:
     return sql([turns, "label_sims"], "").rstrip() + greedy(f"SELECT turn AS t FROM {turns}", pairs, forced) + body
 
 
+def study_run() -> str:
+    """Merge the labels of the clean insights, fit the codes to the seeds, group the rest, count."""
+    pairs = "SELECT a.{0} AS x, b.{0} AS y, s.sim FROM label_sims s JOIN {1} a ON a.ord = s.x JOIN {1} b ON b.ord = s.y WHERE b.{0} < a.{0} AND s.sim >= {2}"
+    return (
+        sql(["clean", "metadata", "open_codes", "codes", "label_sims", "seed_fit"], "").rstrip()
+        + """,
+        mine AS (SELECT i.id, o.label FROM open_codes o JOIN clean i ON i.src_ord = o.doc_id),
+        lab AS (SELECT label, code_id, ord, row_number() OVER (ORDER BY label) AS turn FROM codes WHERE label IN (SELECT label FROM mine))"""
+        + greedy("SELECT turn AS t FROM lab", pairs.format("turn", "lab", c.LABEL_THETA), tag="_a")
+        + """,
+        united AS (SELECT a.label, b.code_id FROM merged_a m JOIN lab a ON a.turn = m.x JOIN lab b ON b.turn = m.y),
+        rest AS (SELECT *, row_number() OVER (ORDER BY label) AS t FROM lab
+          WHERE code_id IN (SELECT code_id FROM united) AND code_id NOT IN (SELECT code_id FROM seed_fit))"""
+        + greedy("SELECT t FROM rest", pairs.format("t", "rest", c.SEED_CUTOFF), tag="_b")
+        + """,
+        groups AS (SELECT code_id, category_name AS category_id FROM seed_fit
+          UNION ALL SELECT a.code_id, b.label FROM merged_b m JOIN rest a ON a.t = m.x JOIN rest b ON b.t = m.y)
+        SELECT k.category_id, count(DISTINCT u.code_id) AS n_codes, count(DISTINCT i.id) AS n_insights, count(DISTINCT p.source) AS n_sources
+        FROM mine i JOIN united u ON u.label = i.label LEFT JOIN groups k ON k.code_id = u.code_id LEFT JOIN metadata p ON p.id = i.id
+        GROUP BY k.category_id"""
+    )
+
+
 LABEL_MAP = """
         SELECT a.label, b.code_id, CASE WHEN m.x <> m.y THEN 'similar' WHEN a.n > 1 THEN 'exact' ELSE 'new' END AS match_kind, round(m.sim, 6) AS sim
         FROM merged m JOIN {0} a ON a.turn = m.x JOIN {0} b ON b.turn = m.y"""
@@ -413,6 +436,7 @@ ORACLES: dict[str, str] = {
     "phase_totals": sql(["codes", "categories", "evidence", "narratives"], """
         SELECT 'insights' AS phase, count(*) AS n FROM documents UNION ALL SELECT 'codes', count(*) FROM codes UNION ALL
         SELECT 'categories', count(*) FROM categories UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'narratives', count(*) FROM narratives"""),
+    "study_run": study_run(),
     "stream_resume": sql(["open_codes"], """
         SELECT CAST(d.doc_id AS VARCHAR) AS id, coalesce(string_agg(o.label, '|' ORDER BY o.pos), '') AS codes
         FROM documents d LEFT JOIN open_codes o ON o.doc_id = d.doc_id GROUP BY d.doc_id"""),
