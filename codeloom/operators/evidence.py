@@ -24,16 +24,19 @@ def enrich_insights(coded: DataFrame, label_map: DataFrame, distinct: bool = Fal
     lists = coded.select(F.col(codes).alias("_list")).filter(F.size("_list") > 0).distinct()
     labels = lists.select("_list", F.posexplode("_list").alias("_pos", "label")).withColumn("label", T.strip(F.col("label")))
     hits = labels.join(label_map.select("label", "code_id"), "label")
-    found = hits.groupBy("_list").agg(F.array_sort(F.collect_list(F.struct("_pos", "code_id"))).alias("_hits"))
+    found = hits.groupBy("_list").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "code_id"))).alias("_hits"),
+        F.min(F.least("_pos", F.lit(0))).alias("_zero"),  # always 0, but not a literal: it has to stay a join key
+    )
     ids = F.transform("_hits", lambda h: h["code_id"])
-    found = found.select("_list", (F.array_distinct(ids) if distinct else ids).alias("unified_code_ids"))
+    found = found.select("_list", "_zero", (F.array_distinct(ids) if distinct else ids).alias("unified_code_ids"))
     none = F.array().cast("array<string>")
     row_key = next(c for c in coded.columns if c != codes)
     spread = F.when(F.size(codes) > 0, 0).otherwise(F.pmod(F.xxhash64(row_key), F.lit(SPREAD)) + 1).cast("int")
     same = (F.col(codes) == F.col("_list")) & (F.col("_spread") == F.col("_zero"))
     return (
         coded.withColumn("_spread", spread)
-        .join(found.withColumn("_zero", F.lit(0)), same, "left")
+        .join(found, same, "left")
         .withColumn("unified_code_ids", F.coalesce("unified_code_ids", none))
         .drop("_list", "_spread", "_zero")
     )

@@ -114,6 +114,18 @@ def cluster_rollup(categories: DataFrame, category_codes: DataFrame, cluster_map
     )
 
 
+def in_report_order(sections: DataFrame, cluster_map: DataFrame) -> DataFrame:
+    """Add ``cluster, cluster_ord, category_ord`` to sections, the fixed order of the report; unknown ones come last."""
+    known = F.broadcast(cluster_map)
+    return sections.join(known, "category_name", "left").withColumns(
+        {
+            "cluster": F.coalesce("cluster", F.lit("unassigned")),
+            "cluster_ord": F.coalesce("cluster_ord", F.lit(99)),
+            "category_ord": F.coalesce("category_ord", F.lit(99)),
+        }
+    )
+
+
 def assembled_blocks(items: DataFrame, per_part: int = PIECES_PER_PART) -> DataFrame:
     """Template blocks of axial items: one per category and component, with evidence in parts.
 

@@ -311,6 +311,33 @@ def codebook_valid(spark, d):
     return split.valid.select("doc_id", "id", "label", "count", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("vector_sum"))
 
 
+def _insight_lines(spark, d):
+    path = scratch_path(spark, "enriched")
+    inp.insight_records(spark, d).write.text(path)
+    return readers.read_jsonl_checked(spark, path, contracts.INSIGHT)
+
+
+@query
+def insight_valid(spark, d):
+    """Enriched insights read back under their contract."""
+    return _insight_lines(spark, d).valid.select("id_fragmento", "fragmento_original", F.array_join("unified_code_ids", ",").alias("ids"))
+
+
+@query
+def insight_rejects(spark, d):
+    return _insight_lines(spark, d).rejects.groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def category_contract_rejects(spark, d):
+    """The items of categorization responses lack a ``category_id``: each is rejected by the category contract."""
+    parsed = parsing.with_parsed(inp.category_responses(spark, d), "response")
+    items = F.try_variant_get("value", "$", "array<variant>")
+    rows = parsed.select("doc_id", F.posexplode(items).alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
+    bad = contracts.validate(rows, contracts.CATEGORY, keep=("doc_id", "pos")).rejects
+    return bad.select("doc_id", "pos", F.array_join("errors", ",").alias("errors"))
+
+
 # Codebook -----------------------------------------------------------------------------------
 
 
@@ -697,6 +724,12 @@ def cluster_rollup(spark, d):
     return report.cluster_rollup(inp.categories(spark, d), inp.category_codes(spark, d), report.clusters(spark))
 
 
+@query
+def report_order(spark, d):
+    rows = inp.categories(spark, d).select("category_id", "category_name")
+    return report.in_report_order(rows, report.clusters(spark)).select("category_id", "cluster", "cluster_ord", "category_ord")
+
+
 @query
 def phase_totals(spark, d):
     return report.phase_totals(

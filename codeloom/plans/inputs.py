@@ -197,6 +197,16 @@ def code_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", body.alias("record"))
 
 
+def insight_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched insights as JSON lines: some with a numeric id, a null text or no code list."""
+    n = F.col("doc_id")
+    key = F.when(n % 5 == 2, n.cast("string")).otherwise(F.concat(F.lit('"'), n.cast("string"), F.lit('"')))
+    text_ = F.when(n % 7 == 4, F.lit("null")).otherwise(F.concat(F.lit('"'), "source", F.lit('"')))
+    ids = F.when(n % 3 == 1, F.lit("")).otherwise(F.concat(F.lit(',"unified_code_ids":["'), "lang", F.lit('"]')))
+    line = F.concat(F.lit('{"id_fragmento":'), key, F.lit(',"fragmento_original":'), text_, ids, F.lit(',"id":1}'))
+    return table(spark, sf_dir, "documents").select(line.alias("value"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as narrative blocks; system turns have no title."""
     c = table(spark, sf_dir, "conversations")

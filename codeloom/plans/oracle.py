@@ -157,8 +157,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT part, count(*) AS n_sections, (CASE WHEN part = 0 THEN {text(report.REPORT_HEAD)} ELSE '' END)
           || string_agg('### ' || category_name || E'\\n\\n' || narrative || E'\\n\\n---\\n\\n', '' ORDER BY p) AS report FROM report_sections GROUP BY part"""),
     "clusters": ([], "SELECT * FROM (VALUES " + ", ".join(
-        f"({text(a)}, '{b}', {n})" for a, b, n, _ in report.CLUSTERS
-    ) + ") AS t(category_name, cluster, cluster_ord)"),
+        f"({text(a)}, '{b}', {n}, {m})" for a, b, n, m in report.CLUSTERS
+    ) + ") AS t(category_name, cluster, cluster_ord, category_ord)"),
     "stream_labels": (["codes"], "SELECT label, code_id, 1 AS n, ord, ord AS turn FROM codes"),
 }
 
@@ -323,6 +323,15 @@ ORACLES: dict[str, str] = {
           CAST(CASE doc_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 7 WHEN 3 THEN NULL WHEN 4 THEN 1 ELSE 6 END AS BIGINT) AS count,
           CASE WHEN doc_id % 4 = 1 THEN CAST(4.0 AS DOUBLE) END AS vector_sum
         FROM documents WHERE NOT (doc_id % 4 = 2 OR doc_id % 7 IN (2, 5))""",
+    "insight_valid": """
+        SELECT CAST(doc_id AS VARCHAR) AS id_fragmento, source AS fragmento_original, CASE WHEN doc_id % 3 = 1 THEN '' ELSE lang END AS ids
+        FROM documents WHERE doc_id % 5 <> 2 AND doc_id % 7 <> 4""",
+    "insight_rejects": """
+        SELECT errors, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN doc_id % 5 = 2 THEN '$.id_fragmento:type' END,
+          CASE WHEN doc_id % 7 = 4 THEN '$.fragmento_original:null' END) AS errors FROM documents) WHERE errors <> '' GROUP BY errors""",
+    "category_contract_rejects": """
+        SELECT doc_id, CAST(0 AS BIGINT) AS pos, '$.category_id:missing' AS errors FROM documents WHERE doc_id % 6 <> 4
+        UNION ALL SELECT doc_id, 1, '$.category_id:missing' FROM documents WHERE doc_id % 6 = 1""",
     "label_exact_match": sql(["established"], "SELECT label, code_id FROM established"),
     "label_new": sql(["codes"], "SELECT label FROM codes WHERE n = 1"),
     "label_pairs_sparse": sql(["code_matches"], "SELECT label, code_label, round(sim, 6) AS sim FROM code_matches"),
@@ -433,6 +442,10 @@ ORACLES: dict[str, str] = {
         SELECT coalesce(k.cluster, 'unassigned') AS cluster, CAST(coalesce(k.cluster_ord, 99) AS BIGINT) AS cluster_ord, count(DISTINCT g.category_id) AS n_categories,
           count(c.code_id) AS n_codes
         FROM categories g LEFT JOIN clusters k ON k.category_name = g.category_name LEFT JOIN category_codes c ON c.category_id = g.category_id GROUP BY 1, 2"""),
+    "report_order": sql(["categories", "clusters"], """
+        SELECT g.category_id, coalesce(k.cluster, 'unassigned') AS cluster, CAST(coalesce(k.cluster_ord, 99) AS BIGINT) AS cluster_ord,
+          CAST(coalesce(k.category_ord, 99) AS BIGINT) AS category_ord
+        FROM categories g LEFT JOIN clusters k ON k.category_name = g.category_name"""),
     "phase_totals": sql(["codes", "categories", "evidence", "narratives"], """
         SELECT 'insights' AS phase, count(*) AS n FROM documents UNION ALL SELECT 'codes', count(*) FROM codes UNION ALL
         SELECT 'categories', count(*) FROM categories UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'narratives', count(*) FROM narratives"""),
