@@ -42,15 +42,16 @@ _U = np.uint64
 
 
 def _hash_tokens(chunk: bytes) -> bytes:
-    found = TOKEN.findall(chunk.decode().lower())
-    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in found], dtype="<u8").tobytes()
+    core = chunk.strip(b".,;:!?()*#%&|")
+    words = [core.lower()] if core.isalpha() else [w.encode() for w in TOKEN.findall(chunk.decode().lower())]
+    return b"".join([xxhash.xxh64_digest(w) for w in words])
 
 
 _chunks = Memo(_hash_tokens, KEPT)
 
 
 def token_hashes(text: bytes) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_chunks.__getitem__, text.split())), dtype="<u8")
+    return np.frombuffer(b"".join(map(_chunks.__getitem__, text.split())), dtype=">u8").astype(np.uint64)
 
 
 def _seed(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
@@ -60,7 +61,8 @@ def _seed(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     if n > 0:
         for k, used in enumerate(mask):
             if used == "1":
-                out = (out ^ tokens[k : k + n]) * _U(0x9E3779B97F4A7C15)
+                out ^= tokens[k : k + n]
+                out *= _U(0x9E3779B97F4A7C15)
                 out ^= out >> _U(29)
     return out
 
@@ -131,25 +133,31 @@ def _candidates(docs: DataFrame, table, short, reach: int, id_col: str, text_col
         shift = _U(64 - (len(flags).bit_length() - 1))
         for b in small_batches(batches):
             rows, keys, firsts, stretches, runs = [], [], [], [], []
-            for row, text in enumerate(text_bytes(b.column(1))):
-                tokens = token_hashes(text)
-                hits = []
-                for found, _ in seeds(tokens, lengths):
-                    where = np.flatnonzero(flags[(found >> shift).astype(np.int64)])
-                    if len(where):
-                        hits += [(part, found[part]) for part in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1)]
-                if not hits:
-                    continue
-                hits.sort(key=lambda h: int(h[0][0]))
-                key = hashlib.md5(text).hexdigest()
-                while hits:
-                    first, end, own = max(0, int(hits[0][0][0]) - reach), 0, []
-                    while hits and (not own or int(hits[0][0][0]) <= end + reach):
-                        where, marks = hits.pop(0)
-                        end = max(end, int(where[-1]))
-                        own.append({"run_key": hashlib.md5(marks.tobytes()).hexdigest(), "place": int(where[0]) - first, "hashes": marks.astype(np.int64).tolist()})
-                    rows.append(row), keys.append(key), firsts.append(first), runs.append(own)
-                    stretches.append(tokens[first : end + 2 * reach].astype(np.int64))
+            texts = text_bytes(b.column(1))
+            own = [token_hashes(t) for t in texts]
+            ends = np.cumsum([len(t) for t in own])
+            starts = ends - [len(t) for t in own]
+            tokens = np.concatenate([*own, np.zeros(0, dtype=np.uint64)])
+            hits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for found, span in seeds(tokens, lengths):
+                where = np.flatnonzero(flags[(found >> shift).astype(np.int64)])
+                of = np.searchsorted(ends, where, side="right")
+                inside = where + span <= ends[of] if len(where) else np.zeros(0, dtype=bool)  # not across two texts
+                where, of = where[inside], of[inside]
+                for part in np.split(np.arange(len(where)), np.flatnonzero((np.diff(where) > 1) | (np.diff(of) > 0)) + 1):
+                    if len(part):
+                        hits.setdefault(int(of[part[0]]), []).append((where[part] - starts[of[part[0]]], found[where[part]]))
+            for row, some in sorted(hits.items()):
+                some.sort(key=lambda h: int(h[0][0]))
+                key, k = hashlib.md5(texts[row]).hexdigest(), 0
+                while k < len(some):
+                    first, end, near = max(0, int(some[k][0][0]) - reach), 0, []
+                    while k < len(some) and (not near or int(some[k][0][0]) <= end + reach):
+                        where, marks = some[k]
+                        k, end = k + 1, max(end, int(where[-1]))
+                        near.append({"run_key": hashlib.md5(marks.tobytes()).hexdigest(), "place": int(where[0]) - first, "hashes": marks.astype(np.int64).tolist()})
+                    rows.append(row), keys.append(key), firsts.append(first), runs.append(near)
+                    stretches.append(own[row][first : end + 2 * reach].astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string()), pa.array(firsts, pa.int64()), pa.array(stretches, pa.list_(pa.int64())), pa.array(runs, pa.list_(RUN))],
                 names=["doc", "text_key", "first", "tokens", "runs"],

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, packing, pii, sharding, simhash, toxicity
+from codeloom.llm import decontam, html_text, packing, pii, quality_model, quality_rules, sharding, simhash, token_counts, toxicity
 from codeloom.llm.common import crc_bucket, table
 
 #: A vocabulary file is named by its parameter; the default is that of the installed package of public tokenizers.
 WORD_VOCABULARY = "word_bpe_49k.json"
+PIECE_VOCABULARY = "piece_bpe_32k.model"
 
 
 def vocabulary(name: str) -> str:
@@ -24,6 +25,10 @@ def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary(PIECE_VOCABULARY))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
 
@@ -49,13 +54,31 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_rules.judge(table(spark, sf_dir, "documents"), trusted)
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(crc_bucket(F.col("doc_id"), 5) != 0)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    held_out, predicted = crc_bucket(F.col("doc_id"), 5) == 0, (F.col("score") >= quality_model.ON_THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii_spans, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_sharding, op9_simhash_neardup)
+    f.__name__: f for f in (op1_pii_spans, op2_token_counts, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_sharding, op7_quality_rules, op8_html_extraction, op9_simhash_neardup, op10_quality_classifier)
 }
 ORACLES: dict[str, str] = {}

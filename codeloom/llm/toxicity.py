@@ -48,6 +48,9 @@ _WORDS = re.compile(r"[^\W\d_]+")
 
 def fold_chunk(chunk: bytes) -> str:
     """The folded words of a white-space separated chunk, space-joined."""
+    core = chunk.strip(b".,;:!?()*#%&|")
+    if core.isalpha():  # of bytes: A-Z and a-z only
+        return core.lower().decode()
     text = chunk.decode()
     if not (text.isascii() and text.isalpha()):
         text = unicodedata.normalize("NFKC", text).replace("​", "").replace("­", "")
@@ -231,8 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("toxic"))
     n = usable.count()
     share = min(1.0, train_rows / max(n, 1))
-    picked = usable.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000))
-    train = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(picked, "k")
+    picked = cut_lineage(usable.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    train = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "k")  # the sample's size is bounded
     # Equal texts count once, with the label most of them have.
     train = cut_lineage(train.groupBy("text").agg(F.round(F.avg("toxic")).cast("int").alias("toxic")))
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
