@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import let, words_of
 
-BUCKETS = 1 << 14
-SMOOTHING = 0.5
-THRESHOLD = -0.35
+BUCKETS = 1 << 16
+#: Pseudo-counts per bucket, spread over both multinomials by their sizes: rare buckets weigh little.
+SMOOTHING = 10.0
+THRESHOLD = -0.1
 LEAST_WORDS = 50
 #: Trusted ids are broadcast up to this many (about 32 MB), beyond that joined by shuffle.
 BROADCAST_IDS = 2_000_000
@@ -76,9 +77,11 @@ def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKE
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("corpus"), F.count_if("good").alias("good"))
     total = counts.agg(F.sum("corpus").alias("corpus_n"), F.sum("good").alias("good_n")).first()  # one row
     good_n, corpus_n = float(total.good_n or 0), float(total.corpus_n or 0)
-    extra = SMOOTHING * buckets
-    ratio = ((F.col("good") + SMOOTHING) / (good_n + extra)) / ((F.col("corpus") + SMOOTHING) / (corpus_n + extra))
-    return counts.select("bucket", (F.log(ratio) if good_n else F.lit(0.0)).alias("weight"))
+    share = good_n / max(corpus_n, 1.0)
+    # Equal to (good + S share) / (good_n + S share B) over (corpus + S) / (corpus_n + S B), with B buckets. The corpus' count is
+    # one less, for the n-gram being scored: else what is rare would look untrusted because its own document has it.
+    ratio = (F.col("good") + SMOOTHING * share) / ((F.col("corpus") - 1 + SMOOTHING) * share) if good_n else F.lit(1.0)
+    return counts.select("bucket", F.log(ratio).alias("weight"))
 
 
 def _constant(weights: DataFrame, buckets: int) -> Column:

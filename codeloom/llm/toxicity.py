@@ -189,7 +189,7 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     if not len(y) or x.max(initial=0) <= 0:
         return a, b
     z = np.stack([np.ones_like(x), x], axis=1)
-    w, ridge = np.array([a, b]), np.diag([1e-6, 0.02])
+    w, ridge = np.array([a, b]), np.diag([1e-6, 0.002])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(2), z.T @ (y - p) - ridge @ w)
