@@ -35,7 +35,7 @@ from codeloom.session import cut_lineage
 MASKS = ("11111111", "1101001011", "10010011011", "111000111011")
 WINDOW = 13
 AGREE = 0.8
-BITS = 22
+BITS = 24
 KEPT = 300_000
 TOKEN = re.compile(r"[^\W_]+")
 _U = np.uint64
@@ -107,13 +107,15 @@ def _test_seeds(items: DataFrame) -> DataFrame:
 
 
 def _bit_table(marks: DataFrame, bits: int) -> np.ndarray:
-    """2^bits flags of the test hashes: at most 2^(bits - 6) words come to the driver, whatever the benchmark's size."""
-    slot = F.shiftrightunsigned("hash", 64 - bits)
-    words = marks.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(hash, %d) & 63 AS INT))" % (64 - bits)).alias("flag"))
+    """2^bits flags, two for every test hash (its first and its last ``bits`` bits): at most 2^(bits - 6) words come to the
+    driver, whatever the benchmark's size. A position that is no test hash passes both with the square of the table's density."""
+    slots = F.array(F.shiftrightunsigned("hash", 64 - bits), F.col("hash").bitwiseAND(F.lit((1 << bits) - 1)))
+    flag = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("slot").bitwiseAND(F.lit(63)).cast("int"))
+    words = marks.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("word"), flag.alias("flag"))
     flags = np.zeros(1 << (bits - 6), dtype=np.int64)
     for r in words.groupBy("word").agg(F.bit_or("flag").alias("flags")).collect():
         flags[r.word] = r["flags"]
-    return np.unpackbits(flags.view(np.uint8), bitorder="little").astype(bool)
+    return flags
 
 
 RUN = pa.struct([("run_key", pa.string()), ("place", pa.int32()), ("hashes", pa.list_(pa.int64()))])
@@ -129,8 +131,8 @@ def _candidates(docs: DataFrame, table, short, reach: int, id_col: str, text_col
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, lengths = table.value, short.value
-        shift = _U(64 - (len(flags).bit_length() - 1))
+        flags, lengths = np.unpackbits(table.value.view(np.uint8), bitorder="little").view(bool), short.value
+        shift, low = _U(64 - (len(flags).bit_length() - 1)), _U(len(flags) - 1)
         for b in small_batches(batches):
             rows, keys, firsts, stretches, runs = [], [], [], [], []
             texts = text_bytes(b.column(1))
@@ -141,6 +143,7 @@ def _candidates(docs: DataFrame, table, short, reach: int, id_col: str, text_col
             hits: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
             for found, span in seeds(tokens, lengths):
                 where = np.flatnonzero(flags[(found >> shift).astype(np.int64)])
+                where = where[flags[(found[where] & low).astype(np.int64)]]
                 of = np.searchsorted(ends, where, side="right")
                 inside = where + span <= ends[of] if len(where) else np.zeros(0, dtype=bool)  # not across two texts
                 where, of = where[inside], of[inside]
