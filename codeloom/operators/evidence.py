@@ -75,19 +75,23 @@ def without_evidence(categories: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def cited_ids(axial: DataFrame) -> DataFrame:
-    """Every evidence id an axial analysis cites, once: ``category_id, insight_id``.
+    """Every evidence id an axial analysis cites, once: ``category_id[, part], insight_id``.
 
-    ``axial(category_id, analysis struct<paradigm_model, properties_and_dimensions>)``.
+    ``axial(category_id[, part], analysis struct<paradigm_model, properties_and_dimensions>)``.
     """
+    key = [c for c in ("category_id", "part") if c in axial.columns]
     lists = [F.flatten(F.transform(F.col(f"analysis.paradigm_model.{c}"), lambda x: x["evidence_insight_ids"])) for c in COMPONENTS]
     lists.append(F.flatten(F.transform("analysis.properties_and_dimensions", lambda x: x["evidence_insight_ids"])))
     none = F.array().cast("array<string>")
     united = F.array_distinct(F.flatten(F.array(*[F.coalesce(x, none) for x in lists])))
-    return axial.select("category_id", F.explode(united).alias("insight_id")).distinct()
+    return axial.select(*key, F.explode(united).alias("insight_id")).distinct()
 
 
 def axial_items(axial: DataFrame) -> DataFrame:
-    """Working form of axial analyses: ``category_id, component, pos, description, insight_id``."""
+    """Working form of axial analyses: ``category_id, component, pos, description, insight_id``.
+
+    Where a category was analysed in parts, ``pos`` goes on from part to part, as if their lists were joined.
+    """
     spec = "array<struct<component:string,pos:bigint,description:string,ids:array<string>>>"
 
     def items(column: str, component: str, description: str):
@@ -101,7 +105,9 @@ def axial_items(axial: DataFrame) -> DataFrame:
 
     parts = [items(f"analysis.paradigm_model.{c}", c, "description") for c in COMPONENTS]
     parts.append(items("analysis.properties_and_dimensions", "properties_and_dimensions", "property_description"))
-    flat = axial.select("category_id", F.inline(F.flatten(F.array(*parts))))
+    flat = axial.select(*[c for c in ("category_id", "part") if c in axial.columns], F.inline(F.flatten(F.array(*parts))))
+    if "part" in axial.columns:
+        flat = through_parts(flat, ["category_id", "component"], ["part"])
     return flat.select("category_id", "component", "pos", "description", F.explode_outer("ids").alias("insight_id"))
 
 
@@ -124,8 +130,20 @@ def resolve_texts(refs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def evidence_parts(resolved: DataFrame, limit: int = EVIDENCE_CHAR_LIMIT, slots: int = 3) -> DataFrame:
-    """Running length per category and the request part each text falls into.
+def through_parts(rows: DataFrame, key: list[str], parts: list[str], pos: str = "pos") -> DataFrame:
+    """Number ``pos`` (0-based within each part) through all parts of a key; the part columns go.
+
+    Offsets come from one row per part, so a key's rows need not meet.
+    """
+    sizes = rows.groupBy(*key, *parts).agg((F.max(pos) + 1).alias("_n"))
+    before = Window.partitionBy(*key).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*key, *parts, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    moved = rows.join(offsets, [*key, *parts]).withColumn(pos, (F.col(pos) + F.col("_off")).cast("bigint"))
+    return moved.select(*[c for c in rows.columns if c not in parts])
+
+
+def evidence_parts(resolved: DataFrame, limit: int = EVIDENCE_CHAR_LIMIT, slots: int = 3, key: str = "category_id", name: str = "part") -> DataFrame:
+    """Running length per ``key`` (a category) and the request part each text falls into.
 
     Adds ``running_chars``, ``within_budget`` and ``part``. Evidence has no order of its own,
     so it is taken by the hash of its id. The leading hash digits cut every category into
@@ -134,16 +152,16 @@ def evidence_parts(resolved: DataFrame, limit: int = EVIDENCE_CHAR_LIMIT, slots:
     """
     keyed = resolved.withColumn("_h", F.md5("insight_id")).withColumn("_n", F.length("text").cast("bigint"))
     keyed = keyed.withColumn("_slice", F.substring("_h", 1, slots))
-    sums = keyed.groupBy("category_id", "_slice").agg(F.sum("_n").alias("_sum"))
-    before = Window.partitionBy("category_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("category_id", "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("category_id", "_slice").orderBy("_h", "insight_id").rowsBetween(Window.unboundedPreceding, 0)
+    sums = keyed.groupBy(key, "_slice").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    local = Window.partitionBy(key, "_slice").orderBy("_h", "insight_id").rowsBetween(Window.unboundedPreceding, 0)
     running = F.col("_off") + F.sum("_n").over(local)
     return (
-        keyed.join(offsets, ["category_id", "_slice"])
+        keyed.join(offsets, [key, "_slice"])
         .withColumn("running_chars", running)
         .withColumn("within_budget", F.col("running_chars") <= limit)
-        .withColumn("part", F.floor((F.col("running_chars") - F.col("_n")) / limit).cast("bigint"))
+        .withColumn(name, F.floor((F.col("running_chars") - F.col("_n")) / limit).cast("bigint"))
         .drop("_h", "_n", "_slice", "_off")
     )
 

@@ -14,12 +14,30 @@ Embedder = Callable[[list[str]], list[Sequence[float] | None]]
 ATTEMPTS = 3  # fixed value: tries per request
 
 
+def _halving(call: Callable[[list], list], items: list) -> tuple[list, list[str | None]]:
+    """``call`` over as many items at a time as it takes: a failing run is halved down to single items.
+
+    Gives the answers, None where an item alone fails, and the error of each such item.
+    """
+    try:
+        answers = list(call(items))
+        if len(answers) != len(items):
+            raise ValueError(f"{len(answers)} answers to {len(items)} prompts")
+        return answers, [None] * len(items)
+    except Exception as e:  # a model may fail in any way
+        if len(items) == 1:
+            return [None], [f"{type(e).__name__}: {e}"]
+    half = len(items) // 2
+    first, second = _halving(call, items[:half]), _halving(call, items[half:])
+    return first[0] + second[0], first[1] + second[1]
+
+
 def respond(requests: DataFrame, responder: Responder, key: Sequence[str] = ("id",)) -> DataFrame:
     """Call ``responder(prompts, models)`` per Arrow batch of ``requests(key..., prompt[, model])``.
 
-    Gives ``key..., response, error``. A failing batch yields null responses with the error
-    text instead of failing the job. The result is materialised, as calls are slow and need
-    not answer the same way twice.
+    Gives ``key..., response, error``. A failing batch is asked again in halves, so only the prompts that
+    fail by themselves yield null responses, with the error text, instead of failing the job. The result
+    is materialised, as calls are slow and need not answer the same way twice.
     """
     key = list(key)
     if "model" not in requests.columns:
@@ -31,15 +49,9 @@ def respond(requests: DataFrame, responder: Responder, key: Sequence[str] = ("id
         for pdf in batches:
             if pdf.empty:
                 continue
-            error = None
-            try:
-                models = [m if isinstance(m, str) else None for m in pdf["model"]]
-                answers = list(responder(list(pdf["prompt"]), models))
-                if len(answers) != len(pdf):
-                    raise ValueError(f"{len(answers)} answers to {len(pdf)} prompts")
-            except Exception as e:  # a model may fail in any way
-                answers, error = [None] * len(pdf), f"{type(e).__name__}: {e}"
-            yield pdf[key].assign(response=answers, error=error)
+            asked_for = [(p, m if isinstance(m, str) else None) for p, m in zip(pdf["prompt"], pdf["model"])]
+            answers, errors = _halving(lambda some: responder([p for p, _ in some], [m for _, m in some]), asked_for)
+            yield pdf[key].assign(response=answers, error=errors)
 
     return cut_lineage(asked.mapInPandas(run, f"{fields}, response string, error string"))
 
@@ -78,7 +90,7 @@ def respond_until_valid(
 def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
     """Add ``embedding array<float>`` by calling ``embedder(texts)`` per Arrow batch.
 
-    An item without a vector stays null; a failing batch leaves its rows null.
+    An item without a vector stays null; a failing batch is halved, so only texts that fail by themselves stay null.
     """
     schema = df.schema.simpleString()[len("struct<") : -1]
 
@@ -86,10 +98,7 @@ def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
         for pdf in batches:
             if pdf.empty:
                 continue
-            try:
-                vectors = [None if v is None else [float(x) for x in v] for v in embedder(list(pdf[text]))]
-            except Exception:
-                vectors = [None] * len(pdf)
+            vectors, _ = _halving(lambda some: [None if v is None else [float(x) for x in v] for v in embedder(some)], list(pdf[text]))
             yield pdf.assign(embedding=vectors)
 
     return df.mapInPandas(run, f"{schema},embedding:array<float>")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators.evidence import through_parts
 from codeloom.operators.ranking import with_position
 
 # Fixed values -------------------------------------------------------------------------------
@@ -40,6 +41,8 @@ COMPONENT_TITLES = {
 # --------------------------------------------------------------------------------------------
 PIECES_PER_PART = 1_000
 CHARS_PER_PART = 8_000_000
+#: At least what headings and separators add to a section of the corpus or the report.
+SECTION_OVERHEAD = 110
 
 
 def clusters(spark) -> DataFrame:
@@ -48,10 +51,15 @@ def clusters(spark) -> DataFrame:
 
 
 def block_rows(narratives: DataFrame) -> DataFrame:
-    """``narratives(category_id, category_name, narrative_blocks)`` as rows with a 0-based ``pos``."""
-    return narratives.select("category_id", "category_name", F.posexplode("narrative_blocks").alias("pos", "_b")).select(
-        "category_id", "category_name", F.col("pos").cast("bigint").alias("pos"), "_b.title", "_b.text"
+    """``narratives(category_id, category_name[, part[, piece]], narrative_blocks)`` as rows with a 0-based ``pos``.
+
+    Several narratives of a category follow each other in the order of their parts and pieces.
+    """
+    parts = [c for c in ("part", "piece") if c in narratives.columns]
+    rows = narratives.select("category_id", "category_name", *parts, F.posexplode("narrative_blocks").alias("pos", "_b")).select(
+        "category_id", "category_name", *parts, F.col("pos").cast("bigint").alias("pos"), "_b.title", "_b.text"
     )
+    return through_parts(rows, ["category_id"], parts) if parts else rows
 
 
 def complete_blocks(blocks: DataFrame) -> DataFrame:
@@ -75,7 +83,9 @@ def full_narrative(blocks: DataFrame, key: str, per_part: int = PIECES_PER_PART)
 
 
 def _assembled(sections: DataFrame, order: list[str], head: str, piece: Column, max_chars: int, name: str) -> DataFrame:
-    pieces = sections.withColumn("_p", piece).withColumn("_n", F.length("_p").cast("bigint"))
+    # Measured without what surrounds a section, so that corpus and report are cut at the same sections.
+    measured = (F.length("category_name") + F.length("narrative") + SECTION_OVERHEAD).cast("bigint")
+    pieces = sections.withColumn("_p", piece).withColumn("_n", measured)
     placed = with_position(pieces, order, name="_pos", running={"_end": "_n"})
     placed = placed.withColumn("part", F.floor((F.col("_end") - F.col("_n")) / max_chars).cast("bigint"))
     lists = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("_pos", "_p"))).alias("_ps"))

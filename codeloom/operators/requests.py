@@ -80,8 +80,16 @@ def axial_prompts(categories: DataFrame, resolved: DataFrame, template: str, lim
 
 
 def narrative_prompts(axial: DataFrame, resolved: DataFrame, template: str, limit: int = ev.EVIDENCE_CHAR_LIMIT) -> DataFrame:
-    """Narration, slots ``category_name, paradigm_model_json, properties_json, evidence_json``."""
-    lists = _evidence_lists(ev.evidence_parts(resolved, limit))
+    """Narration, slots ``category_name, paradigm_model_json, properties_json, evidence_json``:
+    ``category_id, category_name, part, piece, prompt``.
+
+    ``axial`` and ``resolved`` may have a ``part``: each analysis is told with its own evidence only, in as many
+    pieces as that takes.
+    """
+    if "part" not in axial.columns:
+        axial, resolved = axial.withColumn("part", F.lit(0).cast("bigint")), resolved.withColumn("part", F.lit(0).cast("bigint"))
+    placed = ev.evidence_parts(resolved.withColumn("_told", F.struct("category_id", "part")), limit, key="_told", name="piece")
+    lists = placed.groupBy("category_id", "part", "piece").agg(F.array_sort(F.collect_list(F.struct("running_chars", "insight_id", "text"))).alias("e"))
     pairs = F.transform("e", lambda x: F.concat(T.json_scalar(x["insight_id"]), F.lit(": "), T.json_scalar(x["text"])))
     evidence = F.concat(F.lit("{\n    "), F.array_join(pairs, ",\n    "), F.lit("\n}"))
     slots = {
@@ -90,8 +98,8 @@ def narrative_prompts(axial: DataFrame, resolved: DataFrame, template: str, limi
         "properties_json": T.to_json(F.col("analysis.properties_and_dimensions")),
         "evidence_json": F.coalesce(evidence, F.lit("{}")),
     }
-    return axial.join(lists, "category_id", "left").select(
-        "category_id", "category_name", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
+    return axial.join(lists, ["category_id", "part"], "left").select(
+        "category_id", "category_name", F.col("part").cast("bigint").alias("part"), F.coalesce("piece", F.lit(0)).cast("bigint").alias("piece"),
         render(template, slots).alias("prompt"),
     )
 

@@ -36,7 +36,10 @@ def coded_rows(insights: DataFrame, results: DataFrame, key: str = "id") -> Data
 
 
 def failed_rows(insights: DataFrame, rejects: DataFrame, key: str = "id") -> DataFrame:
-    """Insights whose call or response failed, kept for a later run: ``id, insight_original, error``."""
+    """Insights whose call or response failed, kept for a later run: ``id, insight_original, error``.
+
+    ``key`` tells rows apart; ids may repeat.
+    """
     return insights.join(rejects.select(key, "reason"), key).select(
-        F.col(key).alias("id"), F.struct("id", "text").alias("insight_original"), F.col("reason").alias("error")
+        "id", F.struct("id", "text").alias("insight_original"), F.col("reason").alias("error")
     )

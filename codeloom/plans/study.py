@@ -42,15 +42,20 @@ def preprocess(src: DataFrame, out: str | None = None, ord_col: str = "src_ord")
 def code_with_model(insights: DataFrame, responder: Responder, template: str) -> Split:
     """Open coding through a model: coded rows, and failed rows for the next run.
 
-    A request is repeated up to three times while its response cannot be parsed and validated.
+    A request is repeated up to three times while its response cannot be parsed and validated. Requests
+    and answers go by row (``src_ord``, numbered here where there is none), as ids may repeat.
     """
+    given = insights.columns
+    if "src_ord" not in given:
+        insights = cut_lineage(insights.withColumn("src_ord", F.monotonically_increasing_id()))
     value = parsing.parse_strict(parsing.json_block(F.col("response")))
     usable = (F.size(contracts.errors_of(contracts.CODING_RESULT, value)) == 0) & ~parsing.is_empty_value(value)
     prompts = requests.coding_prompts(insights, template)
-    good, bad = respond_until_valid(prompts, responder, usable, ("id",))
-    checked = contracts.validate_responses(good, contracts.CODING_RESULT, "response", ("id",))
-    failed = bad.select("id", F.coalesce("error", F.lit("invalid response")).alias("reason"))
-    return Split(resume.coded_rows(insights, checked.valid), resume.failed_rows(insights, failed))
+    good, bad = respond_until_valid(prompts, responder, usable, ("src_ord",))
+    checked = contracts.validate_responses(good, contracts.CODING_RESULT, "response", ("src_ord",))
+    failed = bad.select("src_ord", F.coalesce("error", F.lit("invalid response")).alias("reason"))
+    coded = resume.coded_rows(insights, checked.valid, "src_ord")
+    return Split(coded if "src_ord" in given else coded.drop("src_ord"), resume.failed_rows(insights, failed, "src_ord"))
 
 
 class Categorized(NamedTuple):
@@ -95,7 +100,11 @@ def categorize_with_model(
 def analyse_with_model(
     categories: DataFrame, category_codes: DataFrame, enriched: DataFrame, insights: DataFrame, responder: Responder, template: str
 ) -> Split:
-    """Axial analysis per category and evidence part; categories without evidence are skipped."""
+    """Axial analysis per category and evidence part; categories without evidence are skipped.
+
+    The parts of a category are one analysis whose lists go on from part to part: their items and narratives are
+    numbered through by ``axial_items`` and ``report.block_rows``.
+    """
     merged, codes = cat.merge_by_id(categories, category_codes)
     refs = ev.category_evidence(codes, ev.evidence_index(enriched)).withColumnRenamed("id_fragmento", "insight_id")
     refs = cut_lineage(refs)
@@ -110,14 +119,18 @@ def analyse_with_model(
 
 
 def narrate_with_model(axial: DataFrame, insights: DataFrame, responder: Responder, template: str) -> Split:
-    """Narrative blocks per analysed category. A response without ``narrative_blocks`` is rejected."""
+    """Narrative blocks per analysis, told with the evidence that this analysis cites.
+
+    Evidence beyond the size of one request goes on in the next ``piece``. A response without
+    ``narrative_blocks`` is rejected.
+    """
     refs = cut_lineage(ev.cited_ids(axial))
     resolved = ev.resolve_texts(refs, ev.texts_for(refs, insights))
-    prompts = cut_lineage(requests.narrative_prompts(axial.drop("part"), resolved, template))
-    answers = respond(prompts, responder, ("category_id", "category_name", "part"))
+    prompts = cut_lineage(requests.narrative_prompts(axial, resolved, template))
+    answers = respond(prompts, responder, ("category_id", "category_name", "part", "piece"))
     parsed = parsing.with_parsed(answers, "response")
     found = F.try_variant_get("value", "$.narrative_blocks", "array<struct<title:string,text:string,evidence_ids:array<string>>>")
-    keep = ["category_id", "category_name", "part"]
+    keep = ["category_id", "category_name", "part", "piece"]
     rows = parsed.withColumn("narrative_blocks", F.when(F.col("status") == parsing.OK, found))
     reason = F.when(F.col("status") == parsing.OK, F.lit("no_narrative_blocks")).otherwise(F.col("status"))
     return Split(
@@ -161,16 +174,23 @@ def run_study(
     seeds: DataFrame,
     theta: float = cb.THETA,
     cutoff: float = 0.5,
+    label_map: DataFrame | None = None,
 ) -> Study:
     """The whole run without a model: rule-based codes, merged codebook, best-fit categories.
 
     ``insights(id, text)`` minus those in the checkpoint ``done`` are coded; codes that fit no
-    seed keyword form new categories among themselves.
+    seed keyword form new categories among themselves. ``label_map`` is that of earlier runs: only labels it lacks
+    are merged and counted, and ``merge.label_map`` holds old and new.
     """
     todo = resume.pending(insights.select("id", "text"), done)
     new = ingest.open_code(todo).withColumns({"id_fragmento": F.col("id"), "fragmento_original": F.col("text")})
     coded = cut_lineage(resume.with_checkpoint(done, new))
-    merge = cb.merge_labels(ingest.distinct_labels(coded), codebook, theta)
+    labels = ingest.distinct_labels(coded)
+    if label_map is not None:
+        labels = labels.join(label_map.select("label"), "label", "left_anti")
+    merge = cb.merge_labels(labels, codebook, theta)
+    if label_map is not None:
+        merge = merge._replace(label_map=label_map.unionByName(merge.label_map, allowMissingColumns=True))
     book = cut_lineage(merge.codebook)
     fit, rest = cat.best_fit_by_keyword(book.select(F.col("id").alias("code_id"), "label"), seeds, cutoff)
     emergent = cat.emergent_categories(rest, cutoff)

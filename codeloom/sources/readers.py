@@ -10,6 +10,7 @@ from codeloom.functions import parsing
 from codeloom.functions import text as T
 from codeloom.operators import contracts
 from codeloom.operators.contracts import Split
+from codeloom.operators.ranking import with_position
 
 INSIGHTS = "id string, text string"
 CODED = (
@@ -85,8 +86,31 @@ def document_items(doc: DataFrame, path: str = "$") -> DataFrame:
     return doc.select(F.posexplode(items).alias("pos", "item")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _value_lines(spark: SparkSession, path: str, whole_keys: tuple[str, ...] = ()) -> DataFrame | None:
+    """``value`` of each line where the files are JSON lines, as the writers leave them, else None (one document).
+
+    The first line decides: an object on a line of its own is a row, unless it has one of ``whole_keys``.
+    """
+    lines = spark.read.text(path).filter(~T.is_blank(F.col("value"))).select(F.col("value").alias("line"))
+    first = lines.limit(1).select(parsing.parse_strict(F.col("line")).alias("v"))
+    is_row = F.try_variant_get("v", "$", "map<string,variant>").isNotNull()
+    for k in whole_keys:
+        is_row = is_row & F.try_variant_get("v", f"$.{k}", "array<variant>").isNull()
+    seen = first.select(F.coalesce(is_row, F.lit(False)).alias("r")).first()
+    if seen is not None and not seen.r:
+        return None
+    return parsing.computed(lines, value=parsing.parse_strict(F.col("line"))).select("value")
+
+
+def _checked(rows: DataFrame, problem) -> DataFrame:
+    """``value`` of the rows; reading one with a problem fails with the problem's text."""
+    found = parsing.computed(rows, problem=problem)
+    fine = F.col("value").isNotNull() & (F.col("problem") == "")
+    return found.select(F.when(fine, F.col("value")).otherwise(F.raise_error(F.col("problem")).cast("variant")).alias("value"))
+
+
 def read_codebook(spark: SparkSession, path: str) -> DataFrame:
-    """The codebook document as ``id, label, description, embedding, count, ord``.
+    """The codebook as ``id, label, description, embedding, count, ord``, from one document or from lines as written.
 
     No file means an empty codebook. A corrupt or invalid one is an error: carrying on with
     an empty codebook would overwrite it.
@@ -95,22 +119,47 @@ def read_codebook(spark: SparkSession, path: str) -> DataFrame:
         from codeloom.operators.codebook import empty_codebook
 
         return empty_codebook(spark)
-    doc = read_document(spark, path)
-    problem = F.when(F.col("value").isNull(), F.lit("not a JSON document")).otherwise(
-        F.array_join(contracts.errors_of(contracts.CODEBOOK, F.col("value")), ", ")
-    )
-    checked = parsing.computed(doc, problem=problem).withColumn(
-        "value", F.when(F.col("problem") == "", F.col("value")).otherwise(F.raise_error("problem").cast("variant"))
+    rows = _value_lines(spark, path, ("codes",))
+    contract = contracts.CODEBOOK if rows is None else contracts.CODE
+    problem = F.when(F.col("value").isNull(), F.lit("codebook: not JSON")).otherwise(
+        F.array_join(contracts.errors_of(contract, F.col("value")), ", ")
     )
+    if rows is None:
+        items = document_items(_checked(read_document(spark, path), problem), "$.codes").withColumnRenamed("pos", "ord")
+    else:
+        items = _checked(rows, problem).select(F.col("value").alias("item"), F.try_variant_get("value", "$.ord", "bigint").alias("ord"))
     typed = contracts.CODE.columns(F.col("item"))
     typed["embedding"] = typed["embedding"].cast("array<float>")
-    return document_items(checked, "$.codes").select(*[c.alias(n) for n, c in typed.items()], F.col("pos").alias("ord"))
+    return items.select(*[c.alias(n) for n, c in typed.items()], "ord")
+
+
+def read_embedding_dim(spark: SparkSession, path: str) -> int | None:
+    """The length of the codebook's vectors as it was written down, None where it was not."""
+    rows = _value_lines(spark, path, ("codes",))
+    if rows is None:
+        found = read_document(spark, path).select(F.try_variant_get("value", "$.metadata.embedding_dim", "bigint").alias("n"))
+    else:
+        found = rows.select(F.try_variant_get("value", "$.embedding_dim", "bigint").alias("n"))
+    return found.agg(F.max("n")).first()[0]
 
 
 def read_categories(spark: SparkSession, path: str) -> Split:
-    """The categories document: valid rows in document order (``ord``), rejects with ``errors``."""
-    items = document_items(read_document(spark, path)).withColumnsRenamed({"item": "value", "pos": "ord"})
-    return contracts.validate(items, contracts.CATEGORY, keep=("ord",))
+    """The categories, from one document or from lines as written: valid rows with ``ord``, rejects with ``errors``.
+
+    ``ord`` is the place in the document, or the ``ord`` of a line (null where it has none). A document that is no list is a reject.
+    """
+    rows = _value_lines(spark, path)
+    if rows is not None:
+        parsed = rows.withColumn("ord", F.try_variant_get("value", "$.ord", "bigint"))
+        checked = contracts.validate(parsed.filter(F.col("value").isNotNull()), contracts.CATEGORY, keep=("ord",))
+        broken = parsed.filter(F.col("value").isNull()).select("ord", F.array(F.lit("$:unparsable")).alias("errors"))
+        return Split(checked.valid, checked.rejects.select("ord", "errors").unionByName(broken))
+    doc = read_document(spark, path)
+    items = document_items(doc).withColumnsRenamed({"item": "value", "pos": "ord"})
+    checked = contracts.validate(items, contracts.CATEGORY, keep=("ord",))
+    no_list = doc.filter(F.try_variant_get("value", "$", "array<variant>").isNull())
+    broken = no_list.select(F.lit(None).cast("bigint").alias("ord"), F.array(F.lit("$:not_a_list")).alias("errors"))
+    return Split(checked.valid, checked.rejects.select("ord", "errors").unionByName(broken))
 
 
 def seed_categories(config: DataFrame) -> DataFrame:
@@ -123,8 +172,9 @@ def seed_categories(config: DataFrame) -> DataFrame:
 
 def seed_keywords(seeds: DataFrame) -> DataFrame:
     """One row per keyword: ``keyword, category_name, seed_ord`` with a running ordinal."""
-    rows = seeds.select("seed_ord", "category_name", F.posexplode("keywords").alias("k", "keyword"))
-    return rows.select("keyword", "category_name", (F.col("seed_ord") * 100_000 + F.col("k")).cast("bigint").alias("seed_ord"))
+    rows = seeds.select(F.col("seed_ord").alias("_seed"), "category_name", F.posexplode("keywords").alias("_k", "keyword"))
+    placed = with_position(rows, ["_seed", "_k", "category_name", "keyword"], name="_place")
+    return placed.select("keyword", "category_name", (F.col("_place") - 1).alias("seed_ord"))
 
 
 def research_questions(config: DataFrame) -> DataFrame:

@@ -75,7 +75,8 @@ def code_stream(
 def codebook_keeper(root: str, theta: float = cb.THETA, embed=None) -> Callable[[DataFrame, int], None]:
     """An ``after_batch`` step that merges a batch's labels into the next codebook version.
 
-    Version N is made from version N-1 and batch N alone, so a replay gives the same version.
+    Version N is made from the greatest earlier version and batch N alone, so a replay gives the same version.
+    Mapped labels without a codebook are an error: an empty one would silently take its place.
     Only labels that no earlier batch has mapped are merged; the map is kept next to it.
     """
 
@@ -89,8 +90,11 @@ def codebook_keeper(root: str, theta: float = cb.THETA, embed=None) -> Callable[
         spark = coded.sparkSession
         books = previous(spark, "codebook", cb.SCHEMA, batch_id)
         if "version" in books.columns:
-            books = books.filter(F.col("version") == batch_id - 1).drop("version")
+            last = books.agg(F.max("version")).first()[0]
+            books = books.filter(F.col("version") == last).drop("version")
         maps = previous(spark, "label_map", "label string, code_id string, match_kind string, sim double", batch_id)
+        if books.isEmpty() and not maps.isEmpty():
+            raise RuntimeError(f"{root}: labels are mapped, but no codebook version before {batch_id} is there")
         labels = ingest.distinct_labels(coded).join(maps.select("label"), "label", "left_anti")
         merged = cb.merge_labels(labels, books, theta, embed)
         write_version(merged.codebook, f"{root}/codebook", batch_id)
