@@ -35,6 +35,7 @@ CATEGORY_TEMPLATE = (
 )
 AXIAL_TEMPLATE = "Category {category_name} ({category_description}). Cite ids, as {{\"paradigm_model\": {{}}}}.\n{evidence_json}\n"
 QUESTIONS = ["What do people do?", "What holds them back?"]
+REPORT_PART_CHARS = 200_000
 KNOWN = [{"category_name": "Hábitos", "description": "Rutinas"}]
 
 
@@ -159,6 +160,34 @@ def codebook_file(spark, d):
     return back.select("id", "label", "description", "count", "ord", "embedding_dim")
 
 
+@query
+def codebook_round_trip(spark, d):
+    """A codebook as written is read back, with the length of its vectors."""
+    path = scratch_path(spark, "codebook")
+    book = with_position(inp.codes(spark, d), ["label"], name="ord").select(
+        F.col("code_id").alias("id"), "label", F.concat(F.lit('a "label"\n'), "label").alias("description"),
+        F.array(F.length("label") / 4, F.lit(0.5)).cast("array<float>").alias("embedding"), F.col("n").alias("count"), "ord",
+    )
+    writers.write_codebook(book, path, embedding_dim=2)
+    back = readers.read_codebook(spark, path)
+    dim = F.lit(readers.read_embedding_dim(spark, path)).alias("embedding_dim")
+    return back.select("id", "label", "description", F.col("embedding")[0].cast("double").alias("first"), "count", "ord", dim)
+
+
+@query
+def categories_round_trip(spark, d):
+    """Categories as written are read back; one without a name is a reject."""
+    path = scratch_path(spark, "categories")
+    lists = inp.category_codes(spark, d).groupBy("category_id").agg(F.collect_list(F.struct("code_id")).alias("code_assignments"))
+    named = inp.categories(spark, d).withColumn("category_name", F.when(F.col("ord") != 3, F.col("category_name")))
+    writers.write_categories(named.join(lists, "category_id").select("category_id", "category_name", "code_assignments", "ord"), path)
+    valid, rejects = readers.read_categories(spark, path)
+    none = F.lit(None)
+    return valid.select("ord", "category_name", F.size("code_assignments").cast("bigint").alias("n_codes"), F.lit(True).alias("valid")).union(
+        rejects.select("ord", none.cast("string"), none.cast("bigint"), F.lit(False))
+    )
+
+
 @query
 def failed_sink(spark, d):
     path = scratch_path(spark, "failed")
@@ -666,9 +695,63 @@ def retry_rejects(spark, d):
     return good.select("id", "response", "attempt").union(bad.select("id", "response", "attempt"))
 
 
+@query
+def model_failures(spark, d):
+    """A model that breaks on some texts: only these go without an answer."""
+    asked = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"))
+
+    def responder(prompts, models):
+        if any(len(p) % 11 == 0 for p in prompts):
+            raise ValueError("bad prompt")
+        return [f"{len(p)} characters" for p in prompts]
+
+    return model.respond(asked, responder).select("id", "response", "error")
+
+
+@query
+def coding_run(spark, d):
+    """Open coding through a model over insights with repeated ids: a row for each insight, coded or failed."""
+    rows = ingest.clean_insights(inp.insights_src(spark, d)).valid.select("id", "text", "src_ord")
+
+    def coder(prompts, models):
+        import json
+
+        out = []
+        for p in prompts:
+            asked = json.loads(p)
+            asked["codigos_abiertos"] = [f"length {len(asked['fragmento_original'])}"]
+            out.append("no answer" if len(asked["fragmento_original"]) % 7 == 0 else "```json\n" + json.dumps(asked) + "\n```")
+        return out
+
+    coded, failed = study.code_with_model(rows, coder, "{json_input}")
+    none = F.lit(None).cast("string")
+    return coded.select("id", F.md5("text").alias("text_md5"), F.col("codigos_abiertos")[0].alias("code"), none.alias("error")).union(
+        failed.select("id", F.md5("insight_original.text"), none, "error")
+    )
+
+
 # Reports ------------------------------------------------------------------------------------
 
 
+@query
+def block_order(spark, d):
+    """Narratives of a category told in several parts: their blocks follow each other part by part."""
+    turns = inp.table(spark, d, "conversations").where("text IS NOT NULL")
+    told = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text"))).alias("narrative_blocks"))
+    category = F.concat(F.lit("cat_"), (F.col("conv_id") % 11).cast("string"))
+    narratives = told.select(category.alias("category_id"), category.alias("category_name"), F.col("conv_id").alias("part"), F.lit(0).cast("bigint").alias("piece"), "narrative_blocks")
+    return report.block_rows(narratives).select("category_id", "pos", "title", F.md5("text").alias("text_md5"))
+
+
+@query
+def report_parts(spark, d):
+    """Corpus and plain report are cut at the same sections, so an answer to a part of one replaces that of the other."""
+    sections = inp.table(spark, d, "documents").select("doc_id", F.col("source").alias("category_name"), F.col("text").alias("narrative"))
+    corpus = report.corpus_text(sections, ["doc_id"], REPORT_PART_CHARS).select("part", F.col("n_sections").alias("n_corpus"))
+    plain = report.fallback_report(sections, ["doc_id"], REPORT_PART_CHARS).select("part", F.col("n_sections").alias("n_report"))
+    return corpus.join(plain, "part", "full")
+
+
 @query
 def full_narrative(spark, d):
     rows = report.full_narrative(inp.blocks(spark, d), "category_id")

@@ -274,6 +274,26 @@ ORACLES: dict[str, str] = {
         FROM documents WHERE doc_id % 7 = 3) GROUP BY line""",
     "codebook_file": sql(["codes"], """
         SELECT code_id AS id, label, CAST(NULL AS VARCHAR) AS description, n AS count, ord, CAST(768 AS BIGINT) AS embedding_dim FROM codes"""),
+    "codebook_round_trip": sql(["codes"], """
+        SELECT code_id AS id, label, 'a "label"' || chr(10) || label AS description, length(label) / 4.0::DOUBLE AS first, n AS count, ord,
+          CAST(2 AS BIGINT) AS embedding_dim FROM codes"""),
+    "categories_round_trip": sql(["categories", "category_codes"], """
+        SELECT CAST(substr(c.category_id, 5, 2) AS BIGINT) AS ord, CASE WHEN c.category_id <> 'cat_3' THEN any_value(c.category_name) END AS category_name,
+          CASE WHEN c.category_id <> 'cat_3' THEN count(*) END AS n_codes, c.category_id <> 'cat_3' AS valid
+        FROM categories c JOIN category_codes k ON k.category_id = c.category_id GROUP BY c.category_id"""),
+    "model_failures": """
+        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) % 11 <> 0 THEN CAST(length(text) AS VARCHAR) || ' characters' END AS response,
+          CASE WHEN length(text) % 11 = 0 THEN 'ValueError: bad prompt' END AS error FROM documents""",
+    "coding_run": sql(["clean"], """
+        SELECT id, md5(text) AS text_md5, CASE WHEN length(text) % 7 <> 0 THEN 'length ' || CAST(length(text) AS VARCHAR) END AS code,
+          CASE WHEN length(text) % 7 = 0 THEN 'invalid response' END AS error FROM clean"""),
+    "block_order": """
+        SELECT 'cat_' || CAST(conv_id % 11 AS VARCHAR) AS category_id, row_number() OVER (PARTITION BY conv_id % 11 ORDER BY conv_id, turn, role, text) - 1 AS pos,
+          role AS title, md5(text) AS text_md5 FROM conversations WHERE text IS NOT NULL""",
+    "report_parts": f"""
+        SELECT part, count(*) AS n_corpus, count(*) AS n_report FROM (
+          SELECT CAST(floor((sum(n) OVER (ORDER BY doc_id) - n) / {c.REPORT_PART_CHARS}) AS BIGINT) AS part
+          FROM (SELECT doc_id, length(source) + length(text) + {report.SECTION_OVERHEAD} AS n FROM documents)) GROUP BY part""",
     "failed_sink": sql(["judged"], """
         SELECT CAST(j.doc_id AS VARCHAR) AS id, CAST(j.doc_id AS VARCHAR) AS original_id, md5(d.text) AS text_md5, j.status AS error, 'r1' AS run_id
         FROM judged j JOIN documents d ON d.doc_id = j.doc_id WHERE j.status <> 'ok'"""),
