@@ -51,7 +51,7 @@ NOISE_WORDS = frozenset(
 MAIN_WORDS = frozenset("main article articlebody".split())
 
 MARKUP = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+[^>]*+)(?:>|\Z))", re.DOTALL
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+[^>]*+)(?:>|\Z))", re.DOTALL
 )
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
