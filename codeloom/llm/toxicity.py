@@ -33,6 +33,7 @@ CANDIDATES = 20_000
 PREFIX_LENGTHS = (4, 5, 6, 7, 8)
 CHUNKS_KEPT = 300_000
 ON_THRESHOLD = 0.7
+TWICE = "2"
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters inside words.
 LOOKALIKES = dict(zip("аеіјорсухѕһԁԛԝᴀαονρτυχкмтнвάόί", "aeijopcyxshdqwaaovptuxkmthvaoi"))
@@ -81,9 +82,15 @@ def fold(text: bytes) -> str:
 
 
 def _features(folded: str) -> set[str]:
-    """Whole words (``" word "``) and beginnings of words (``" wor"``)."""
-    words = set(folded.split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in PREFIX_LENGTHS if len(w) >= n}
+    """Whole words (``" word "``) and beginnings of words (``" wor"``); those that occur twice or more also marked with ``TWICE``."""
+    counts: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        counts[f" {w} "] += n
+        for size in PREFIX_LENGTHS:
+            if len(w) < size:
+                break
+            counts[f" {w[:size]}"] += n
+    return set(counts) | {TWICE + w for w, n in counts.items() if n > 1}
 
 
 def _gain(t: float, c: float, toxic: float, clean: float) -> float:
@@ -102,8 +109,9 @@ def _weight(t: float, c: float, toxic: float, clean: float) -> float:
 def choose(rows: list[tuple[int, list[str]]], toxic: int, clean: int) -> dict[str, float]:
     """Entries with weights: greedily the one with the greatest gain among toxic documents not yet explained.
 
-    ``rows`` are ``(label, entries)`` of the documents that have any candidate. Ties: whole words before beginnings, long
-    before short, then alphabetically. An explained document no longer counts for or against later entries.
+    ``rows`` are ``(label, entries)`` of the documents that have any candidate. Ties: single before repeated, whole words before
+    beginnings, long before short, then alphabetically. An explained document no longer counts for or against later
+    entries. What is a sign only where it is repeated (a stem that clean texts have now and then) gets half the weight per match.
     """
     having: dict[str, list[int]] = {}
     for k, (_, terms) in enumerate(rows):
@@ -113,11 +121,12 @@ def choose(rows: list[tuple[int, list[str]]], toxic: int, clean: int) -> dict[st
     lexicon: dict[str, float] = {}
     explained = [False] * len(rows)
     while counts:
-        term = max(counts, key=lambda w: (_gain(*counts[w], toxic, clean), w[-1] == " ", len(w), w))
+        term = max(counts, key=lambda w: (_gain(*counts[w], toxic, clean), w[0] != TWICE, w[-1] == " ", len(w), w))
         t, c = counts.pop(term)
         if t < LEAST_TOXIC or _gain(t, c, toxic, clean) < LEAST_GAIN:
             break
-        lexicon[term] = _weight(t, c, toxic, clean)
+        per_match, plain = _weight(t, c, toxic, clean) / (1 + (term[0] == TWICE)), term.removeprefix(TWICE)
+        lexicon[plain] = max(per_match, lexicon.get(plain, 0.0))
         for k in having[term]:
             label, terms = rows[k]
             if label and not explained[k]:
@@ -144,7 +153,7 @@ def _extended(lexicon: dict[str, float], rows: list[tuple[int, list[str]]], toxi
     return lexicon | {
         w: _weight(t, c, toxic, clean)
         for w, (t, c) in counts.items()
-        if w[-1] == " " and w not in lexicon and t >= 0.02 * toxic and t >= 10 and c <= 0.002 * t and len(company.get(w, ())) >= 2
+        if w[0] == " " == w[-1] and w not in lexicon and t >= 0.02 * toxic and t >= 10 and c <= 0.002 * t and len(company.get(w, ())) >= 2
     }
 
 
