@@ -22,8 +22,6 @@ from codeloom.session import cut_and_measure, cut_lineage
 
 GROWTH = 8
 OPEN, LEADER, DROPPED = 0, 1, 2
-# A rest of at most this many edges is settled in order by one task; more are settled in rounds.
-SMALL_REST = 200_000
 
 
 def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -45,43 +43,12 @@ def _step(edges: DataFrame, state: DataFrame) -> DataFrame:
     return state.join(seen, "ord", "left").select("ord", "complete", status.alias("status"))
 
 
-def _in_order(open_: int, leader: int, dropped: int):
-    """Settle a bounded set of edges in a single pass over the nodes in order."""
-
-    def run(table):
-        import pyarrow as pa
-
-        cols = {c: table.column(c).to_pylist() for c in table.column_names}
-        complete, earlier = {}, {}
-        for i, ci, j, cj in zip(cols["i"], cols["complete_i"], cols["j"], cols["complete_j"]):
-            complete[i], complete[j] = ci, cj
-            earlier.setdefault(i, []).append(j)
-        status = {}
-        for node in sorted(complete):
-            seen = [status[j] for j in earlier.get(node, ())]
-            if leader in seen:
-                status[node] = dropped
-            else:
-                status[node] = leader if complete[node] and open_ not in seen else open_
-        return pa.table({"ord": pa.array(status.keys(), pa.int64()), "settled": pa.array(status.values(), pa.int32())})
-
-    return run
-
-
-def _settle(edges: DataFrame, n_edges: int, state: DataFrame) -> tuple[DataFrame, int]:
+def _settle(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
     """Propagate leader/dropped along ``edges(i, j)``, all nodes being open, until nothing changes.
 
     Gives the state and the number of nodes still open.
     """
     still_open = F.count_if(F.col("status") == OPEN)
-    if n_edges <= SMALL_REST:
-        flags = state.select("ord", "complete")
-        rest = edges.join(flags.toDF("i", "complete_i"), "i").join(flags.toDF("j", "complete_j"), "j")
-        done = rest.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(_in_order(OPEN, LEADER, DROPPED), "ord bigint, settled int")
-        alone = F.when(F.col("complete"), LEADER).otherwise(OPEN)
-        settled = state.join(done, "ord", "left").withColumn("status", F.coalesce("settled", alone))
-        out, seen = cut_and_measure(settled.select("ord", "complete", "status"), open=still_open)
-        return out, seen["open"]
     state, open_before = cut_lineage(state), None
     while True:
         state, seen = cut_and_measure(_step(edges, state), open=still_open)
@@ -98,9 +65,7 @@ def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
         heads = left.filter("home").withColumn("_n", F.row_number().over(place))
         heads = cut_lineage(heads.filter(F.col("_n") <= heads_per_cell))
         among = left.join(heads.select("ord").distinct(), "ord", "left_semi")
-        edges, seen = cut_and_measure(
-            space.match(among, heads.drop("_n")).select("i", "j").distinct(), n=F.count(F.lit(1))
-        )
+        edges = cut_lineage(space.match(among, heads.drop("_n")).select("i", "j").distinct())
         full = heads.groupBy("cell").agg(F.max("_n").alias("_n"), F.max("ord").alias("last"))
         full = full.filter(F.col("_n") == heads_per_cell).select("cell", "last")
         # An item is complete if none of its cells hides earlier items; only heads can be.
@@ -110,7 +75,7 @@ def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
             .agg((F.count_if(F.col("ord") > F.col("last")) == 0).alias("complete"))
             .withColumn("status", F.lit(OPEN))
         )
-        state, n_open = _settle(edges, seen["n"], state)
+        state, n_open = _settle(edges, state)
         found = state.filter(F.col("status") == LEADER).select("ord")
         leaders = found if leaders is None else leaders.union(found)
         if n_open == 0:

@@ -50,10 +50,9 @@ def vector_leaders(spark, x, theta, parts=3, **space_args):
     return space, sorted(r[0] for r in ld.greedy_leaders(space, space.entries).collect())
 
 
-@pytest.mark.parametrize("rest, heads, rows", [(200_000, 1024, 1024), (0, 1024, 40), (0, 4, 50), (200_000, 3, 30)])
-def test_leaders_equal_sequential(spark, monkeypatch, rest, heads, rows):
-    """Also where rounds, several cells and very few heads per cell are forced."""
-    monkeypatch.setattr(ld, "SMALL_REST", rest)
+@pytest.mark.parametrize("heads, rows", [(1024, 1024), (1024, 40), (4, 50)])
+def test_leaders_equal_sequential(spark, monkeypatch, heads, rows):
+    """Also where several cells and very few heads per cell are forced."""
     monkeypatch.setattr(VectorSpace, "first_heads", heads)
     x = clustered(200, 8, 25, 0.4)
     to = one_by_one(x, 0.9)

@@ -147,3 +147,54 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
         coded.write.mode("overwrite").parquet(f"{out}/batch_id=0")
     assert incremental.coded_so_far(spark, out).count() == 4
     assert incremental.coded_so_far(spark, out, before=0).count() == 0
+
+
+def test_repeated_ids_stay_one_row_each(spark):
+    rows = spark.createDataFrame([("a", "walking here", 1), ("a", "no answer", 2), ("b", "talking", 3)], "id string, text string, src_ord long")
+    coded, failed = study.code_with_model(rows, make_coder(), "{json_input}")
+    assert sorted((r.id, r.text, *r.codigos_abiertos) for r in coded.collect()) == [("a", "walking here", "walking"), ("b", "talking", "talking")]
+    assert [(r.id, r.insight_original.text) for r in failed.collect()] == [("a", "no answer")]
+
+
+def test_parts_of_an_analysis_are_told_with_their_own_evidence(spark):
+    def of(part, names):
+        items = [{"description": n, "evidence_insight_ids": [n]} for n in names]
+        model = {"causal_conditions": items, "context": [], "intervening_conditions": [], "action_strategies": [], "consequences": []}
+        return ("c", "C", part, {"paradigm_model": model, "properties_and_dimensions": []})
+
+    item = "array<struct<description:string,evidence_insight_ids:array<string>>>"
+    paradigm = ",".join(f"{c}:{item}" for c in ("causal_conditions", "context", "intervening_conditions", "action_strategies", "consequences"))
+    schema = (
+        "category_id string, category_name string, part long, analysis struct<paradigm_model:struct<" + paradigm
+        + ">,properties_and_dimensions:array<struct<property_description:string,evidence_insight_ids:array<string>>>>"
+    )
+    axial = spark.createDataFrame([of(0, ["a", "b"]), of(1, ["c"]), of(2, [])], schema)
+    texts = spark.createDataFrame([(n, f"text {n}", k) for k, n in enumerate("abc")], "id string, text string, src_ord long")
+
+    def narrator(prompts, models):
+        import json as j
+
+        out = []
+        for p in prompts:
+            ids = sorted(j.loads(p))
+            out.append(j.dumps({"narrative_blocks": [{"title": f"t{i}", "text": f"of {','.join(ids)}", "evidence_ids": ids} for i in range(2)]}))
+        return out
+
+    told, lost = study.narrate_with_model(axial, texts, narrator, "{evidence_json}")
+    assert lost.count() == 0 and told.count() == 3
+    blocks = sorted((r.pos, r.title, r.text) for r in study.report.block_rows(told).collect())
+    assert blocks == [(0, "t0", "of a,b"), (1, "t1", "of a,b"), (2, "t0", "of c"), (3, "t1", "of c"), (4, "t0", "of "), (5, "t1", "of ")]
+    items = sorted((r.pos, r.description) for r in study.ev.axial_items(axial).collect())
+    assert items == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_a_rerun_counts_nothing_twice(spark):
+    rows = spark.createDataFrame([("1", "walking and talking"), ("2", "walking")], "id string, text string")
+    nothing = spark.createDataFrame([], "id string, text string, id_fragmento string, fragmento_original string, codigos_abiertos array<string>")
+    meta = spark.createDataFrame([], "id string, method string, source string")
+    seeds = spark.createDataFrame([("walking", "Moving", 0)], "keyword string, category_name string, seed_ord long")
+    first = study.run_study(rows, meta, nothing, cb.empty_codebook(spark), seeds)
+    book = sorted((r.label, r["count"]) for r in first.merge.codebook.collect())
+    again = study.run_study(rows, meta, first.coded, first.merge.codebook, seeds, label_map=first.merge.label_map)
+    assert sorted((r.label, r["count"]) for r in again.merge.codebook.collect()) == book
+    assert sorted(map(repr, again.enriched.select("id", "unified_code_ids").collect())) == sorted(map(repr, first.enriched.select("id", "unified_code_ids").collect()))

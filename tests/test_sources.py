@@ -69,3 +69,46 @@ def test_sinks(spark, tmp_path):
     csv = str(tmp_path / "csv")
     df.write.option("header", "true").csv(csv)
     assert readers.read_table(spark, csv, "csv").columns == ["id", "text"]
+
+
+def test_what_is_written_is_read_back(spark, tmp_path):
+    from codeloom.operators import codebook as cb
+    from codeloom.sources import writers
+
+    book = spark.createDataFrame([("i1", "l1", "d", [0.5, 1.0], 3, 1), ("i2", "l2", None, None, 1, 2)], cb.SCHEMA)
+    writers.write_codebook(book, str(tmp_path / "book"), 2)
+    back = readers.read_codebook(spark, str(tmp_path / "book")).orderBy("ord").collect()
+    assert [tuple(r) for r in back] == [tuple(r) for r in book.orderBy("ord").collect()]
+    assert readers.read_embedding_dim(spark, str(tmp_path / "book")) == 2
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.json").write_text('{"id": "i1", "label": 4}\n')
+    with pytest.raises(Exception, match="label"):
+        readers.read_codebook(spark, str(tmp_path / "broken")).collect()
+    named = spark.createDataFrame([("c1", "C", [("i1",)], 0), ("c2", None, [], 1)], "category_id string, category_name string, code_assignments array<struct<code_id:string>>, ord long")
+    writers.write_categories(named, str(tmp_path / "cats"))
+    valid, rejects = readers.read_categories(spark, str(tmp_path / "cats"))
+    assert [(r.ord, r.category_id) for r in valid.collect()] == [(0, "c1")] and [r.ord for r in rejects.collect()] == [1]
+    (tmp_path / "cats.json").write_text('{"a": [\n 1]}')
+    valid, rejects = readers.read_categories(spark, str(tmp_path / "cats.json"))
+    assert valid.count() == 0 and [r.errors for r in rejects.collect()] == [["$:not_a_list"]]
+
+
+def test_a_failing_prompt_fails_alone(spark):
+    from codeloom.operators import model
+
+    asked = spark.createDataFrame([(str(k), f"p{k}") for k in range(20)], "id string, prompt string").coalesce(1)
+
+    def responder(prompts, models):
+        if "p7" in prompts:
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    got = {r.id: (r.response, r.error) for r in model.respond(asked, responder).collect()}
+    assert got["7"] == (None, "ValueError: no") and all(got[str(k)] == (f"P{k}", None) for k in range(20) if k != 7)
+
+    def embedder(texts):
+        if "p3" in texts:
+            raise ValueError("no")
+        return [[1.0]] * len(texts)
+
+    assert [r.id for r in model.embed(asked, "prompt", embedder).where("embedding IS NULL").collect()] == ["3"]
