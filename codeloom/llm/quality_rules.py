@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import let, words_of
+from codeloom.session import cut_lineage
 
 BUCKETS = 1 << 16
 #: Pseudo-counts per bucket, spread over both multinomials by their sizes: rare buckets weigh little.
@@ -74,7 +75,7 @@ def bucket_weights(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKE
     marked = docs.select(id_col, F.col(text_col).alias("_text")).join(trusted, F.col(id_col) == F.col("_trusted"), "left")
     found = let(words_of(F.col("_text")), lambda w: _buckets(w, buckets))
     grams = marked.select(F.col("_trusted").isNotNull().alias("good"), F.explode(found).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("corpus"), F.count_if("good").alias("good"))
+    counts = cut_lineage(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("corpus"), F.count_if("good").alias("good")))
     total = counts.agg(F.sum("corpus").alias("corpus_n"), F.sum("good").alias("good_n")).first()  # one row
     good_n, corpus_n = float(total.good_n or 0), float(total.corpus_n or 0)
     share = good_n / max(corpus_n, 1.0)
