@@ -116,7 +116,7 @@ def synthesized(narratives: DataFrame, responses: DataFrame, key: str) -> DataFr
 def cluster_rollup(categories: DataFrame, category_codes: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """Categories and codes per cluster, in report order; unknown categories come last as ``unassigned``."""
     sizes = category_codes.distinct().groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = categories.join(F.broadcast(cluster_map), "category_name", "left").join(sizes, "category_id", "left")
+    rows = categories.join(cluster_map, "category_name", "left").join(sizes, "category_id", "left")
     return rows.groupBy(
         F.coalesce("cluster", F.lit("unassigned")).alias("cluster"), F.coalesce("cluster_ord", F.lit(99)).alias("cluster_ord")
     ).agg(
@@ -126,8 +126,7 @@ def cluster_rollup(categories: DataFrame, category_codes: DataFrame, cluster_map
 
 def in_report_order(sections: DataFrame, cluster_map: DataFrame) -> DataFrame:
     """Add ``cluster, cluster_ord, category_ord`` to sections, the fixed order of the report; unknown ones come last."""
-    known = F.broadcast(cluster_map)
-    return sections.join(known, "category_name", "left").withColumns(
+    return sections.join(cluster_map, "category_name", "left").withColumns(
         {
             "cluster": F.coalesce("cluster", F.lit("unassigned")),
             "cluster_ord": F.coalesce("cluster_ord", F.lit(99)),

@@ -730,6 +730,46 @@ def coding_run(spark, d):
     )
 
 
+@query
+def merge_embedded(spark, d):
+    """Labels merged on a model's vectors; those that the model gives none for are rejected."""
+
+    def embedder(texts):
+        return [None if len(t) % 7 == 0 else [float(k == len(t) % 7) for k in range(7)] for t in texts]
+
+    labels = inp.codes(spark, d).select("label", "n")
+    merge = cb.merge_labels(labels, cb.empty_codebook(spark), 0.9, embed=lambda df: model.embed(df, "label", embedder))
+    none = F.lit(None)
+    return merge.label_map.select("label", "code_id", "match_kind", F.round("sim", 6).alias("sim")).union(
+        merge.rejects.select("label", none.cast("string"), "reason", none.cast("double"))
+    )
+
+
+@query
+def categorize_run(spark, d):
+    """Categories through a model over the whole codebook, and over some of its codes."""
+    book = with_position(inp.codes(spark, d), ["label"], name="ord").select(F.col("code_id").alias("id"), "label", "ord")
+
+    def responder(prompts, models):
+        import json
+
+        out = []
+        for p in prompts:
+            asked, names = (json.loads(x) for x in p.split("##"))
+            groups = {}
+            for c in asked:
+                groups.setdefault(f"length {len(names[c['code_id']]) % 5}", []).append(c)
+            out.append(json.dumps([{"category_name": k, "is_new": True, "description": k, "code_assignments": v} for k, v in groups.items()]))
+        return out
+
+    def run(only):
+        done = study.categorize_with_model(book, responder, "{codes_to_categorize_json}##{codebook_map_json}", KNOWN, only=only, batches_per_wave=16)
+        return done.category_codes.join(done.categories, "category_id").select("category_name", "code_id")
+
+    some = book.where(F.col("label").contains("er")).select(F.col("id").alias("code_id"))
+    return run(None).withColumn("codes", F.lit("all")).union(run(some).withColumn("codes", F.lit("some")))
+
+
 # Reports ------------------------------------------------------------------------------------
 
 

@@ -287,6 +287,14 @@ ORACLES: dict[str, str] = {
     "coding_run": sql(["clean"], """
         SELECT id, md5(text) AS text_md5, CASE WHEN length(text) % 7 <> 0 THEN 'length ' || CAST(length(text) AS VARCHAR) END AS code,
           CASE WHEN length(text) % 7 = 0 THEN 'invalid response' END AS error FROM clean"""),
+    "merge_embedded": sql(["codes"], """
+        SELECT label, CASE WHEN c > 0 THEN 'code_' || substr(sha256(first), 1, 32) END AS code_id,
+          CASE WHEN c = 0 THEN 'no_embedding' WHEN label = first THEN 'new' ELSE 'similar' END AS match_kind,
+          CASE WHEN c > 0 AND label <> first THEN 1.0::DOUBLE END AS sim
+        FROM (SELECT label, length(label) % 7 AS c, min(label) OVER (PARTITION BY length(label) % 7) AS first FROM codes)"""),
+    "categorize_run": sql(["codes"], """
+        SELECT 'length ' || CAST(length(label) % 5 AS VARCHAR) AS category_name, code_id, unnest(CASE WHEN contains(label, 'er') THEN ['all', 'some'] ELSE ['all'] END) AS codes
+        FROM codes"""),
     "block_order": """
         SELECT 'cat_' || CAST(conv_id % 11 AS VARCHAR) AS category_id, row_number() OVER (PARTITION BY conv_id % 11 ORDER BY conv_id, turn, role, text) - 1 AS pos,
           role AS title, md5(text) AS text_md5 FROM conversations WHERE text IS NOT NULL""",
