@@ -674,22 +674,22 @@ def replay_respond(spark, d):
 @query
 def model_respond(spark, d):
     asked = inp.table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("prompt"), F.when(F.col("lang") == "fr", "advanced").alias("model")
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"), F.when(F.col("lang") == "fr", "advanced").alias("model")
     )
 
     def responder(prompts, models):
-        return [None if p == "de" else f"{m or 'default'}:{p}" for p, m in zip(prompts, models)]
+        return [None if len(p) % 5 == 0 else f"{m or 'default'}:{len(p)}" for p, m in zip(prompts, models)]
 
     return model.respond(asked, responder).select("id", "response", "error")
 
 
 @query
 def retry_rejects(spark, d):
-    """A responder that leaves out German texts at every try and answers the rest at once."""
-    asked = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("prompt"))
+    """A responder that leaves out some texts at every try and answers the rest at once."""
+    asked = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("prompt"))
 
     def responder(prompts, models):
-        return [None if p == "de" else p.upper() for p in prompts]
+        return [None if len(p) % 5 == 0 else str(len(p)) for p in prompts]
 
     good, bad = model.respond_until_valid(asked, responder, F.col("response").isNotNull())
     return good.select("id", "response", "attempt").union(bad.select("id", "response", "attempt"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import ingest, report
 from codeloom.operators import evidence as ev
+from codeloom.operators.ranking import with_position
 from codeloom.session import cut_lineage
 
 _shared: dict[str, DataFrame] | None = None
@@ -215,12 +216,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed categories: the six most frequent labels, which is what the ranking is for."""
-    top = ingest.distinct_labels(coded(spark, sf_dir)).orderBy(F.desc("n"), "label").limit(6)
-    return top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "label"))).alias("t")).select(
-        F.posexplode("t").alias("p", "e")
-    ).select(
-        F.col("e.label").alias("keyword"),
-        F.concat(F.lit("seed_"), (F.col("p") + 1).cast("string")).alias("category_name"),
-        (F.col("p") + 1).cast("bigint").alias("seed_ord"),
-    )
+    """Seed categories with several keywords each: the labels of three documents or more, by first letter."""
+    used = ingest.distinct_labels(coded(spark, sf_dir)).where("n >= 3")
+    words = used.select(F.col("label").alias("keyword"), F.concat(F.lit("seed_"), F.substring("label", 1, 1)).alias("category_name"))
+    return with_position(words, ["category_name", "keyword"], name="seed_ord").select("keyword", "category_name", "seed_ord")

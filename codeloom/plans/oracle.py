@@ -129,10 +129,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         SELECT a.label, b.label AS code_label, b.ord AS code_ord, s.sim FROM label_sims s
         JOIN codes a ON a.ord = s.x AND a.n = 1 JOIN codes b ON b.ord = s.y AND b.n > 1 WHERE s.sim >= {c.LABEL_THETA}"""),
     "vectors": ([], "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"),
-    "seeds": (["open_codes"], """
-        SELECT label AS keyword, 'seed_' || CAST(rn AS VARCHAR) AS category_name, rn AS seed_ord
-        FROM (SELECT label, row_number() OVER (ORDER BY n DESC, label) AS rn
-              FROM (SELECT label, count(*) AS n FROM open_codes GROUP BY label)) WHERE rn <= 6"""),
+    "seeds": (["codes"], """
+        SELECT label AS keyword, 'seed_' || left(label, 1) AS category_name, row_number() OVER (ORDER BY left(label, 1), label) AS seed_ord
+        FROM codes WHERE n >= 3"""),
     "seed_sims": (["grams", "norms", "seeds", "codes"], f"""
         SELECT k.code_id, s.category_name, s.seed_ord, x.sim FROM (
           SELECT a.ord AS x, b.ord AS y, sum(a.w * b.w) / sqrt(max(na.n) * max(nb.n)) AS sim
@@ -444,10 +443,12 @@ ORACLES: dict[str, str] = {
     "replay_respond": sql(["responses"], """
         SELECT CAST(doc_id AS VARCHAR) AS id, md5(response) AS response_md5, CASE WHEN response IS NULL THEN 'no_response' END AS error FROM responses"""),
     "model_respond": """
-        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang = 'de' THEN NULL WHEN lang = 'fr' THEN 'advanced:fr' ELSE 'default:' || lang END AS response,
+        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) % 5 <> 0
+            THEN (CASE WHEN lang = 'fr' THEN 'advanced:' ELSE 'default:' END) || CAST(length(text) AS VARCHAR) END AS response,
           CAST(NULL AS VARCHAR) AS error FROM documents""",
     "retry_rejects": """
-        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN lang <> 'de' THEN upper(lang) END AS response, CAST(CASE WHEN lang = 'de' THEN 3 ELSE 1 END AS BIGINT) AS attempt
+        SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN length(text) % 5 <> 0 THEN CAST(length(text) AS VARCHAR) END AS response,
+          CAST(CASE WHEN length(text) % 5 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempt
         FROM documents""",
     "full_narrative": sql(["narratives"], "SELECT category_id, part, md5(narrative) AS narrative_md5, n_blocks FROM narratives"),
     "corpus_text": sql(["corpus_sections"], f"""
