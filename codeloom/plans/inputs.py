@@ -216,7 +216,7 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed categories with several keywords each: the labels of three documents or more, by first letter."""
-    used = ingest.distinct_labels(coded(spark, sf_dir)).where("n >= 3")
+    """Seed categories with several keywords each: the short labels of three documents or more, by first letter."""
+    used = ingest.distinct_labels(coded(spark, sf_dir)).where("n >= 3 AND length(label) <= 5")
     words = used.select(F.col("label").alias("keyword"), F.concat(F.lit("seed_"), F.substring("label", 1, 1)).alias("category_name"))
     return with_position(words, ["category_name", "keyword"], name="seed_ord").select("keyword", "category_name", "seed_ord")

@@ -131,7 +131,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "vectors": ([], "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"),
     "seeds": (["codes"], """
         SELECT label AS keyword, 'seed_' || left(label, 1) AS category_name, row_number() OVER (ORDER BY left(label, 1), label) AS seed_ord
-        FROM codes WHERE n >= 3"""),
+        FROM codes WHERE n >= 3 AND length(label) <= 5"""),
     "seed_sims": (["grams", "norms", "seeds", "codes"], f"""
         SELECT k.code_id, s.category_name, s.seed_ord, x.sim FROM (
           SELECT a.ord AS x, b.ord AS y, sum(a.w * b.w) / sqrt(max(na.n) * max(nb.n)) AS sim
