@@ -177,7 +177,8 @@ def _flipped(prints: DataFrame, plan: list[tuple[list[int], int]], probing: bool
 
 def _stars(prints: DataFrame, distance: int) -> DataFrame:
     """Links through the values within ``distance / 2`` bits: each fingerprint with the least that shares one."""
-    flips = F.array(*[F.lit(_signed(x)) for x in ball(list(range(BITS)), distance // 2)])
+    masks = ",".join(str(_signed(x)) for x in ball(list(range(BITS)), distance // 2))
+    flips = F.split(F.lit(masks), ",").cast("array<bigint>")  # folded to one constant
     near = prints.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("value"))
     least = near.groupBy("value").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     return near.join(least, "value").where("fp <> v").select(F.col("fp").alias("u"), "v")
