@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut_and_measure
+from codeloom.session import cut_lineage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(pairs: DataFrame) -> DataFrame:
     def cut(e: DataFrame):
         proper = e.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
         one_way = proper.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        return cut_and_measure(one_way, n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        kept = cut_lineage(one_way)  # measured after the cut: an observation never ends where the plan folds to no rows
+        return kept, kept.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
 
     edges, seen = cut(pairs)
     while seen["n"]:
