@@ -1,0 +1,70 @@
+import random
+
+import corpus_pipeline
+from codeloom.llm import jaccard, simhash
+
+
+def sets_of(rows):
+    out = []
+    for r in rows:
+        words = (r[1] or "").lower().split()
+        out.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    return out
+
+
+def kept(rows):
+    """One row of each component of all pairs with a Jaccard similarity of at least 0.8."""
+    sets, group = sets_of(rows), list(range(len(rows)))
+
+    def find(a):
+        while group[a] != a:
+            a = group[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                group[find(a)] = find(b)
+    first = {}
+    for k, r in enumerate(rows):
+        first[find(k)] = min(first.get(find(k), r), r)
+    return sorted(first.values())
+
+
+def test_copies_that_differ_in_more_than_four_bits_are_one(spark):
+    rng, rows = random.Random(1), []
+    for k in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((len(rows), " ".join(words)))
+        for changes in (1, 3, 4, 5, 7):  # each change touches five shingles
+            other = list(words)
+            for at in rng.sample(range(5, 195, 6), changes):
+                other[at] = "new"
+            rows.append((len(rows), " ".join(other)))
+    rows += [(900, ""), (901, " \n"), (902, "one two"), (903, "ONE  two"), (904, "one")]
+    sets = sets_of(rows)
+    far = [(a, b) for a in range(240) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (simhash.fingerprint(rows[a][1].encode()) ^ simhash.fingerprint(rows[b][1].encode())).bit_count() > 4]
+    assert far
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == kept(rows)
+
+
+def test_a_chain_and_a_large_group(spark):
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join(["x", *words[:60], f"copy{k}", *words[60:]])) for k in range(300)]
+    rows += [(1000 + k, " ".join(f"c{j}" for j in range(6 * k, 6 * k + 100))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.first_of_each(docs).collect())) == kept(rows) == [rows[0], rows[300]]
+
+
+def test_equals_brute_force_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    assert sorted(map(tuple, jaccard.first_of_each(docs).collect())) == kept(sorted(map(tuple, docs.collect())))
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    got = jaccard.first_of_each(odd_docs)
+    assert got.columns == odd_docs.columns and sorted((r.doc_id for r in got.collect()), key=str) == [1, 3, 6, 7, 8]
+    assert jaccard.first_of_each(no_docs).collect() == []
