@@ -11,8 +11,10 @@ stretches of tokens around them, and runs of neighbouring hashes. A run is looke
 passage found in a third of all documents costs one look-up and one diagonal per document. The benchmark is never assumed to
 be small: Spark joins by hash, and broadcasts a side only where its own size check allows.
 
-Edge cases: null and empty texts match nothing; items shorter than the span of a mask are matched by a seed over all their tokens;
-items without a token match nothing; repeated items and rows give repeated results per row; a document is named by its id and its text's MD5, so
+Items of fewer than ``WINDOW`` tokens have masks of their own: their tokens in five parts, less any as many parts as substitutions are
+allowed, so whichever tokens are substituted, one mask ignores them all.
+
+Edge cases: null and empty texts match nothing; items without a token match nothing; repeated items and rows give repeated results per row; a document is named by its id and its text's MD5, so
 equal ids with different texts are told apart; an empty table on either side gives no matches; other columns are ignored.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +70,19 @@ def _seed(tokens: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
+def short_masks(n: int) -> list[str]:
+    """Masks for items of ``n`` tokens, fewer than ``WINDOW``: each starts and ends with a token that counts."""
+    spare = n - int(np.ceil(AGREE * n))
+    parts = [[at * 5 // n in left for at in range(n)] for left in combinations(range(5), 5 - spare)]
+    return sorted({"".join("01"[used] for used in part).strip("0") for part in parts})
+
+
 def seeds(tokens: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, int]]:
-    """``(hashes by position, span)`` for every mask, and for all-counting masks of the lengths in ``short``."""
-    for k, mask in enumerate([*MASKS, *("1" * n for n in short)]):
-        yield _seed(tokens, mask, k + 1 if k < len(MASKS) else 1000 + len(mask)), len(mask)
+    """``(hashes by position, span)`` for every mask, and for the masks of items of the lengths in ``short``."""
+    for k, mask in enumerate(MASKS):
+        yield _seed(tokens, mask, k + 1), len(mask)
+    for mask in sorted({mask for n in short for mask in short_masks(n)}):
+        yield _seed(tokens, mask, 1000 + int(mask, 2)), len(mask)
 
 
 LONGEST = max(map(len, MASKS))
@@ -97,7 +109,7 @@ def _test_seeds(items: DataFrame) -> DataFrame:
             keys, hashes, places = [], [], []
             for key, item in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = np.array(item, dtype=np.int64).astype(np.uint64)
-                for marks, _ in seeds(own, (len(own),) if len(own) < LONGEST else ()):
+                for marks, _ in seeds(own, (len(own),) if len(own) < WINDOW else ()):
                     keys += [key] * len(marks)
                     hashes += marks.astype(np.int64).tolist()
                     places += range(len(marks))
@@ -203,8 +215,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     items = cut_lineage(_items(benchmark, item_col, item_text))
     test = cut_lineage(_test_seeds(items))
-    small = F.when(F.size("item") < LONGEST, F.size("item"))
-    lengths = items.agg(F.collect_set(small).alias("short")).first().short  # fewer than the longest mask has places
+    small = F.when(F.size("item") < WINDOW, F.size("item"))
+    lengths = items.agg(F.collect_set(small).alias("short")).first().short  # fewer than WINDOW values
     context = docs.sparkSession.sparkContext
     table, short = context.broadcast(_bit_table(test, bits)), context.broadcast(tuple(sorted(lengths)))
     found = cut_lineage(_candidates(docs, table, short, 2 * WINDOW + LONGEST, id_col, text_col))

@@ -74,3 +74,29 @@ def test_masks_find_a_window_with_any_two_substitutions():
     n = decontam.WINDOW
     for bad in [*combinations(range(n), 1), *combinations(range(n), 2)]:
         assert any(all(used == "0" or at + k not in bad for k, used in enumerate(mask)) for mask in decontam.MASKS for at in range(n - len(mask) + 1)), bad
+
+
+def test_short_masks_find_every_allowed_substitution():
+    from itertools import combinations
+
+    for n in range(1, decontam.WINDOW):
+        spare = n - int(np.ceil(decontam.AGREE * n))
+        masks = decontam.short_masks(n)
+        for bad in combinations(range(n), spare):
+            assert any(all(used == "0" or at + k not in bad for k, used in enumerate(mask)) for mask in masks for at in range(n - len(mask) + 1)), (n, bad)
+
+
+def test_short_items_with_substitutions(spark):
+    from itertools import combinations
+
+    items = [(n, " ".join(f"{w}{n}" for w in ITEM[:n])) for n in range(1, decontam.WINDOW)]
+    docs = []
+    for n, text in items:
+        for spare in (1, 2, 3):
+            for bad in list(combinations(range(n), spare))[:: 1 if spare < 3 else 7]:
+                words = ["other" if k in bad else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), " ".join(words)))
+                docs.append((len(docs), "before it " + " ".join(words) + " after"))
+        docs += [(len(docs), " ".join(text.split()[1:])), (len(docs) + 1, " ".join(text.split()[:-2]))]
+    found = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == plain(docs, items)
