@@ -34,7 +34,7 @@ BROADCAST_HOSTS = 20_000
 
 # Elements by what HTML says of them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title xmp object canvas".split())
+RAW = frozenset("script style noscript template iframe svg textarea title xmp".split())
 NOISE_TAGS = frozenset("nav header footer aside form button select dialog menu head fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -51,7 +51,7 @@ NOISE_WORDS = frozenset(
 MAIN_WORDS = frozenset("main article articlebody".split())
 
 MARKUP = re.compile(
-    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+[^>]*+)(?:>|\Z))", re.DOTALL
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z))", re.DOTALL
 )
 NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -135,7 +135,7 @@ def blocks(html: str) -> list[tuple[str, str, str]]:
                 pop_to("p")
             if tag in SAME_ENDS:
                 pop_to(*SAME_ENDS[tag])
-        if tag in RAW:
+        if tag in RAW and not (tag == "svg" and m[3].endswith("/")):  # of these, only svg can close itself
             end = RAW_END[tag].search(html, at)
             at = end.end() if end else size
             continue

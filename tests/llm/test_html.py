@@ -94,3 +94,20 @@ def test_articles_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     expected = {r.page_id: article(r.html) for r in pages.collect()}
     assert {r.page_id: r.text for r in html_text.extract(pages).collect()} == expected
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<article><p data-props="' + "<b>hidden</b> more " * 200 + '">shown</p></article>', "shown"), ("<p data-x='" + "a > b " * 1000 + "'>shown</p>", "shown"),
+        ('<p>a<svg class="icon"/>b</p><p>c</p>', "ab c"), ("<p>a<svg/>b</p><p>c<svg><text>no</text></svg>d</p>", "ab cd"), ("<article>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</article>", "a x=2 b"),
+        ("<article><object data=f><p>instead</p></object><canvas>drawn</canvas></article>", "instead drawn"), ("<p>a<script src=x />not</script>b</p>", "ab"),
+    ],
+)
+def test_long_values_and_embedded_elements(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_unclosed_quotes_are_quick():
+    for html in ("<a \">" * 100_000, "<a '>\">" * 100_000, "<a x='\"" * 100_000, "<p>" * 100_000 + "<a \"" + "<p '>" * 100_000, "<svg/>" * 100_000):
+        html_text.main_text(html)
