@@ -1,10 +1,15 @@
-"""From raw documents to packed training sequences: each stage works on all that the one before it kept."""
+"""From raw documents to packed training sequences: each stage works on all that the one before it kept.
+
+Edge cases: null and empty texts score like texts without a match, are near-duplicates of each other (one stays), meet no benchmark item and are
+packed as their closing id alone; null ids are documents like any other; rows with equal id and text are one document; very long texts are read whole; an
+empty table passes through; further columns, whatever their names, pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import decontam, jaccard, packing, pii, queries, toxicity
+from codeloom.llm import decontam, packing, pii, queries, simhash, toxicity
 from codeloom.llm.common import table
 from codeloom.session import scratch_path
 
@@ -14,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.first_of_each(docs)
+    return simhash.first_of_each(docs)
 
 
 def drop_benchmark_overlap(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
