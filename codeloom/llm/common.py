@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed value: the white space of all contracts, space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Chunks beyond this length are not remembered.
+LONGEST_KEPT = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,22 +39,44 @@ def crc_bucket(key: Column, buckets: int) -> Column:
 
 
 class Memo(dict):
-    """``f(key)`` kept for at most ``limit`` keys; a full table starts anew, so memory is bounded.
+    """``f(key)`` kept for at most ``limit`` keys of at most ``longest`` bytes or characters; a full table starts anew.
 
-    The limit changes speed only: a forgotten key is worked out again.
+    Long keys are worked out each time, so memory is bounded by ``limit`` and ``longest``, whatever the texts hold. The limits change
+    speed only. :func:`released` empties the table when a task ends, as Python workers outlive their tasks.
     """
 
-    def __init__(self, f: Callable, limit: int):
+    def __init__(self, f: Callable, limit: int, longest: int = LONGEST_KEPT):
         super().__init__()
-        self.f, self.limit = f, limit
+        self.f, self.limit, self.longest = f, limit, longest
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[key] = self.f(key)
+        value = self.f(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
+def released(batches: Iterator[pa.RecordBatch], *forget: Callable[[], None]) -> Iterator[pa.RecordBatch]:
+    """The batches a task gives; ``forget`` is called when it ends, is stopped or fails.
+
+    Tables of a module are emptied through a function of that module: a table named here would travel as a copy.
+    """
+    try:
+        yield from batches
+    finally:
+        for f in forget:
+            f()
+
+
+def fresh(name: str, *taken: str) -> str:
+    """``name``, with underscores added until it is none of ``taken``."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The texts of a batch as UTF-8, null as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]

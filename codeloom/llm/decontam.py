@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Memo, small_batches, text_bytes
+from codeloom.llm.common import Memo, fresh, released, small_batches, text_bytes
 from codeloom.session import cut_lineage
 
 # The masks, 1 for a token that counts. A 13-token stretch with two substitutions matches one of them.
@@ -53,6 +53,10 @@ def _hash_tokens(chunk: bytes) -> bytes:
 _chunks = Memo(_hash_tokens, KEPT)
 
 
+def forget() -> None:
+    _chunks.clear()
+
+
 def token_hashes(text: bytes) -> np.ndarray:
     return np.frombuffer(b"".join(map(_chunks.__getitem__, text.split())), dtype=">u8").astype(np.uint64)
 
@@ -98,7 +102,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [hashlib.md5(t.tobytes()).hexdigest() for t in own]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array(own, pa.list_(pa.int64()))], names=["item_id", "item_key", "item"])
 
-    return benchmark.select(id_col, text_col).mapInArrow(cut, f"item_id {kind}, item_key string, item array<bigint>").where(F.size("item") > 0)
+    return benchmark.select(id_col, text_col).mapInArrow(lambda batches: released(cut(batches), forget), f"item_id {kind}, item_key string, item array<bigint>").where(F.size("item") > 0)
 
 
 def _test_seeds(items: DataFrame) -> DataFrame:
@@ -178,7 +182,7 @@ def _candidates(docs: DataFrame, table, short, reach: int, id_col: str, text_col
                 names=["doc", "text_key", "first", "tokens", "runs"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(scan, f"doc {kind}, text_key string, first bigint, tokens array<bigint>, runs array<{RUN_SQL}>")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: released(scan(batches), forget), f"doc {kind}, text_key string, first bigint, tokens array<bigint>, runs array<{RUN_SQL}>")
 
 
 def best_stretch(doc: np.ndarray, item: np.ndarray, offset: int, window: int = WINDOW) -> tuple[int, int]:
@@ -238,6 +242,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` without those that overlap a benchmark item."""
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("_bad_id")) & (F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col("_bad_key"))
+    bad_id, bad_key = fresh("_bad_id", *docs.columns), fresh("_bad_key", *docs.columns)
+    found = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    on = F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col(bad_key))
     return docs.join(found, on, "left_anti")

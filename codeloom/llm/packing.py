@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Memo, small_batches, text_bytes
+from codeloom.llm.common import Memo, released, small_batches, text_bytes
 
 CAPACITY = 2048
 OPEN_BINS = 16_384
@@ -85,6 +85,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: s
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
+        yield from released(cut_with(tokenizer, batches), tokenizer.chunks.clear, tokenizer.pre_tokens.clear)
+
+    def cut_with(tokenizer: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             rows, numbers, starts, lengths, sums = [], [], [], [], []
             for row, text in enumerate(text_bytes(b.column(1))):

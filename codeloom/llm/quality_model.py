@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Memo, small_batches, text_bytes
+from codeloom.llm.common import Memo, released, small_batches, text_bytes
 from codeloom.session import cut_lineage
 
 PASSAGE = 64
@@ -56,6 +56,10 @@ def _word(chunk: bytes) -> bytes:
 _words = Memo(_word, WORDS_KEPT)
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, and the first passage of each text.
 
@@ -191,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in bags], pa.binary())], names=["k", "label", "bag"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = rows.select("k", "text", "label").mapInArrow(encode, f"k {kind}, label int, bag binary").dropDuplicates(["k"]).toArrow()
+    got = rows.select("k", "text", "label").mapInArrow(lambda batches: released(encode(batches), forget), f"k {kind}, label int, bag binary").dropDuplicates(["k"]).toArrow()
     bags = [np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES) for x in got.column("bag").to_pylist()]
     order = np.argsort(np.array([str(k) for k in got.column("k").to_pylist()], dtype=str), kind="stable")
     return train([bags[k] for k in order], np.array(got.column("label").to_pylist(), dtype=np.float32)[order])
@@ -205,4 +209,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.scores(text_bytes(b.column(1))), pa.float64())], names=[id_col, "score"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: released(run(batches), forget), f"`{id_col}` {kind}, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import small_batches, text_bytes
+from codeloom.llm.common import fresh, small_batches, text_bytes
 from codeloom.llm.components import components
 from codeloom.session import cut_lineage
 
@@ -154,7 +154,7 @@ def make_plan(prints: DataFrame, distance: int = DISTANCE) -> list[tuple[list[in
             continue
         costs = []
         for i, bits in enumerate(layout):
-            pairs, n = sums.get(m * 100 + i, (0.0, 0))
+            pairs, n = sums.get(m * 100 + i, (0.0, 1))  # without a fingerprint the plan with the fewest probes
             sizes = [sum(comb(len(bits), r) for r in range(t + 1)) for t in range(-1, distance + 1)]
             costs.append([PROBE_COST * n * s + PAIR_COST * pairs * s for s in sizes])
         cost, thresholds = allocate(costs, distance - m + 1)
@@ -167,12 +167,10 @@ def make_plan(prints: DataFrame, distance: int = DISTANCE) -> list[tuple[list[in
 
 def _flipped(prints: DataFrame, plan: list[tuple[list[int], int]], probing: bool) -> DataFrame:
     """``fp, part, value``: the partition values of each fingerprint, or all those within the thresholds."""
-    made = [
-        F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits)))).bitwiseXOR(F.lit(_signed(flip))).alias("value"))
-        for i, (bits, t) in enumerate(plan)
-        for flip in ball(bits, t if probing else 0)
-    ]
-    return prints.select("fp", F.explode(F.array(*made)).alias("k")).select("fp", "k.part", "k.value")
+    made = [(i, sum(1 << b for b in bits), flip) for i, (bits, t) in enumerate(plan) for flip in ball(bits, t if probing else 0)]
+    part, mask, flip = (F.split(F.lit(",".join(str(_signed(x)) for x in column)), ",").cast("array<bigint>") for column in zip(*made))  # folded to constants
+    each = prints.select("fp", F.explode(F.arrays_zip(part.alias("part"), mask.alias("mask"), flip.alias("flip"))).alias("k"))
+    return each.select("fp", F.col("k.part").cast("int").alias("part"), F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"))
 
 
 def _stars(prints: DataFrame, distance: int) -> DataFrame:
@@ -220,12 +218,10 @@ def classes(signed: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id")
 def first_of_each(docs: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs``, one document of each component: that with the smallest id (null last, then the
     smallest fingerprint). Rows with equal id and fingerprint are one document."""
-    mark = "_fingerprint"
-    while mark in docs.columns:
-        mark += "_"
-    signed = cut_lineage(with_fingerprints(docs, "fp", text_col, [id_col]).distinct())
+    mark, lead_id, lead_fp = (fresh(name, *docs.columns) for name in ("_fingerprint", "_lead_id", "_lead_fp"))
+    signed = cut_lineage(with_fingerprints(docs.select(id_col, text_col), "fp", text_col, [id_col]).distinct())
     ranked = signed.join(classes(signed, distance, id_col), "fp").withColumn("at", F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("fp")))
-    leaders = ranked.groupBy("root").agg(F.min("at").alias("at")).select(F.col(f"at.{id_col}").alias("lead_id"), F.col("at.fp").alias("lead_fp"))
+    leaders = ranked.groupBy("root").agg(F.min("at").alias("at")).select(F.col(f"at.{id_col}").alias(lead_id), F.col("at.fp").alias(lead_fp))
     marked = with_fingerprints(docs, mark, text_col)
-    on = (F.col(mark) == F.col("lead_fp")) & F.col(id_col).eqNullSafe(F.col("lead_id"))
+    on = (F.col(mark) == F.col(lead_fp)) & F.col(id_col).eqNullSafe(F.col(lead_id))
     return marked.join(leaders, on, "left_semi").dropDuplicates([mark, id_col]).select(*docs.columns)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Memo, small_batches, text_bytes
+from codeloom.llm.common import Memo, released, small_batches, text_bytes
 from codeloom.session import cut_lineage
 
 TRAIN_ROWS = 20_000
@@ -73,6 +73,10 @@ def _unsigned(part: str) -> str:
 _folded = Memo(fold_chunk, CHUNKS_KEPT)
 
 
+def forget() -> None:
+    _folded.clear()
+
+
 def fold(text: bytes) -> str:
     """Folded words between single spaces, with a space at either end."""
     return " " + " ".join(filter(None, map(_folded.__getitem__, text.split()))) + " "
@@ -251,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model({}, *_fit_curve(np.zeros(toxic + clean), np.array([1.0] * toxic + [0.0] * clean)))
-    counted = train.select("text", "toxic").mapInArrow(_spread, "toxic int, term string, n bigint").groupBy("term")
+    counted = train.select("text", "toxic").mapInArrow(lambda batches: released(_spread(batches), forget), "toxic int, term string, n bigint").groupBy("term")
     both = counted.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     lift = (F.col("t") + 0.5) * (clean + 1) / ((F.col("c") + 0.5) * (toxic + 1))
     likely = both.where((F.col("t") >= LEAST_TOXIC) & (lift > 8)).orderBy(F.desc(F.col("t") * F.log(lift)), "term").limit(CANDIDATES)
@@ -264,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             rows = [k for k, x in enumerate(own) if x]
             yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(rows, pa.int64())), pa.array([own[k] for k in rows], pa.list_(pa.string()))], names=["toxic", "terms"])
 
-    rows = [(r.toxic, r.terms) for r in train.select("text", "toxic").mapInArrow(having, "toxic int, terms array<string>").collect()]
+    rows = [(r.toxic, r.terms) for r in train.select("text", "toxic").mapInArrow(lambda batches: released(having(batches), forget), "toxic int, terms array<string>").collect()]
     rows.sort()
     lexicon = _extended(choose(rows, toxic, clean), rows, toxic, clean)
 
@@ -273,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in small_batches(batches):
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([matcher.signal(t)[0] for t in text_bytes(b.column(0))], pa.float64())], names=["toxic", "x"])
 
-    seen = train.select("text", "toxic").mapInArrow(signals, "toxic int, x double").groupBy("toxic", "x").count().collect()
+    seen = train.select("text", "toxic").mapInArrow(lambda batches: released(signals(batches), forget), "toxic int, x double").groupBy("toxic", "x").count().collect()
     seen.sort()
     x, y, k = (np.array([r[i] for r in seen], dtype=float) for i in (1, 0, 2))
     return Model(lexicon, *_fit_curve(np.repeat(x, k.astype(int)), np.repeat(y, k.astype(int))))
@@ -289,7 +293,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             got = [rate(t) for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int64())], names=[id_col, "score", "n_hits"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, n_hits bigint")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: released(run(batches), forget), f"`{id_col}` {kind}, score double, n_hits bigint")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = ON_THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -301,4 +305,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = ON_THRESHOLD, t
         for b in small_batches(batches):
             yield b.filter(pa.array([rate(t)[0] < threshold for t in text_bytes(b.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: released(run(batches), forget), docs.schema)

@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeloom.llm import decontam, packing, pii, queries, simhash, toxicity
 
@@ -62,3 +64,17 @@ def test_an_empty_table_passes_through(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_odd_rows_and_clashing_columns_pass_through(spark, odd_docs):
+    clashing = ["_fingerprint", "_lead_id", "_lead_fp", "_bad_id", "_bad_key", "lead_id", "lead_fp", "at", "root", "lang", "source", "n_chars"]
+    docs = odd_docs.select("*", *[F.lit("?").alias(c) for c in clashing[:-1]], F.length("text").cast("bigint").alias("n_chars"))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        if name != "packing":
+            assert docs.columns == columns
+        if name == "simhash_neardup":
+            ids = [r.doc_id for r in docs.select("doc_id").collect()]
+            assert ids.count(1) == 1 and 2 not in ids and ids.count(3) == 1 and not {4, 5} & set(ids) and {6, 7, 8} <= set(ids)
+    assert {1, 3, 6, 7, 8} <= {r.doc_id for r in docs.collect()}
