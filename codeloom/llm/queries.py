@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, html_text, packing, pii, quality_model, quality_rules, sharding, simhash, token_counts, toxicity
+from codeloom.llm import decontam, html_text, language_id, packing, pii, prefix_trie, quality_model, quality_rules, sharding, simhash, structure_repair, token_counts, toxicity
 from codeloom.llm.common import crc_bucket, table
 
 #: A vocabulary file is named by its parameter; the default is that of the installed package of public tokenizers.
@@ -77,8 +77,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, convs = prefix_trie.with_shared_heads(prefix_trie.turns(table(spark, sf_dir, "conversations")))
+    return prefix_trie.digest(prefix_trie.build(rows, convs))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return structure_repair.digest(conversations, structure_repair.repair(structure_repair.damage(conversations)))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    found = language_id.predict(docs, language_id.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii_spans, op2_token_counts, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_sharding, op7_quality_rules, op8_html_extraction, op9_simhash_neardup, op10_quality_classifier)
+    f.__name__: f for f in (op1_pii_spans, op2_token_counts, op3_best_fit_packing, op4_decontamination, op5_toxicity, op6_sharding, op7_quality_rules, op8_html_extraction, op9_simhash_neardup, op10_quality_classifier, op11_prefix_trie, op12_structure_repair, op13_language_id)
 }
 ORACLES: dict[str, str] = {}
