@@ -52,6 +52,16 @@ def merge_by_name(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return categories, codes.select("category_id", "code_id", "at.batch", "at.pos", "at.code_pos")
 
 
+def with_found(known: DataFrame | None, found: DataFrame) -> DataFrame:
+    """``category_name, description, first``: the categories known so far (none at first) and those of later results, each with its first
+    description and place."""
+    place = F.struct("batch", "pos")
+    rows = found.select("category_name", "description", place.alias("first"))
+    if known is not None:
+        rows = known.unionByName(rows)
+    return rows.groupBy("category_name").agg(F.min_by("description", "first").alias("description"), F.min("first").alias("first"))
+
+
 def merge_by_id(categories: DataFrame, category_codes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Merge rows that share a ``category_id``: first name and description (by ``ord``), codes united."""
     merged = categories.groupBy("category_id").agg(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,10 +89,73 @@ def respond_until_valid(
         left = left.join(bad.select(*key), key, "left_semi")
 
 
-def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
-    """Add ``embedding array<float>`` by calling ``embedder(texts)`` per Arrow batch.
+class Retry(NamedTuple):
+    """Which errors of a model pass, and how often and how patiently it is asked again.
 
-    An item without a vector stays null; a failing batch is halved, so only texts that fail by themselves stay null.
+    An item is tried ``tries`` times; after a passing error the items of that call wait, at first ``first_wait`` seconds and twice as long each
+    time up to ``longest_wait``, and go into calls of a quarter of the size. Calls of a task keep ``interval`` seconds apart.
+    """
+
+    errors: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError)
+    tries: int = 5  # fixed value
+    first_wait: float = 2.0  # fixed value
+    longest_wait: float = 60.0  # fixed value
+    batch: int = 100  # fixed value: items per call
+    interval: float = 0.0
+
+
+def retrying(call: Callable[[list], list], items: list, policy: Retry, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> tuple[list, list[str | None]]:
+    """``call`` over ``items`` under a policy: the answers (None where there is none) and the error of each item that has one.
+
+    Only listed errors are waited out. A call that fails in any other way is asked again in halves at once, so the items that
+    fail by themselves are found and the others are answered.
+    """
+    answers: list = [None] * len(items)
+    errors: list[str | None] = [None] * len(items)
+    last = -float("inf")
+
+    def ask(some: list[int]) -> list[int]:
+        """The items that met a passing error."""
+        nonlocal last
+        due = last + policy.interval - clock()
+        if due > 0:
+            sleep(due)
+        last = clock()
+        try:
+            got = list(call([items[k] for k in some]))
+            if len(got) != len(some):
+                raise ValueError(f"{len(got)} answers to {len(some)} items")
+        except Exception as e:  # a model may fail in any way
+            text = f"{type(e).__name__}: {e}"
+            if isinstance(e, policy.errors):
+                for k in some:
+                    errors[k] = text
+                return some
+            if len(some) == 1:
+                errors[some[0]] = text
+                return []
+            half = len(some) // 2
+            return ask(some[:half]) + ask(some[half:])
+        for k, answer in zip(some, got):
+            answers[k], errors[k] = answer, None
+        return []
+
+    left, size = list(range(len(items))), max(1, policy.batch)
+    for attempt in range(policy.tries):
+        left = [k for at in range(0, len(left), size) for k in ask(left[at : at + size])]
+        if not left:
+            break
+        if attempt + 1 < policy.tries:
+            sleep(min(policy.longest_wait, policy.first_wait * 2**attempt))
+            size = max(1, size // 4)
+    return answers, errors
+
+
+def embed(df: DataFrame, text: str, embedder: Embedder, retry: Retry | None = None, error: str | None = None) -> DataFrame:
+    """Add ``embedding array<float>`` by calling ``embedder(texts)`` per Arrow batch, and the error text as column ``error`` if named.
+
+    An item without a vector stays null; a failing batch is halved, so only texts that fail by themselves stay null. With ``retry``,
+    errors that pass are waited out first. Null and blank texts are not asked for.
     """
     schema = df.schema.simpleString()[len("struct<") : -1]
 
@@ -98,7 +163,13 @@ def embed(df: DataFrame, text: str, embedder: Embedder) -> DataFrame:
         for pdf in batches:
             if pdf.empty:
                 continue
-            vectors, _ = _halving(lambda some: [None if v is None else [float(x) for x in v] for v in embedder(some)], list(pdf[text]))
-            yield pdf.assign(embedding=vectors)
-
-    return df.mapInPandas(run, f"{schema},embedding:array<float>")
+            texts = list(pdf[text])
+            asked = [k for k, t in enumerate(texts) if isinstance(t, str) and t.strip()]
+            call = lambda some: [None if v is None else [float(x) for x in v] for v in embedder(some)]
+            some = [texts[k] for k in asked]
+            vectors, wrong = _halving(call, some) if retry is None and some else retrying(call, some, retry or Retry())
+            by, why = dict(zip(asked, vectors)), dict(zip(asked, wrong))
+            out = pdf.assign(embedding=[by.get(k) for k in range(len(texts))])
+            yield out if error is None else out.assign(**{error: [why.get(k) for k in range(len(texts))]})
+
+    return df.mapInPandas(run, f"{schema},embedding:array<float>" + (f",{error}:string" if error else ""))

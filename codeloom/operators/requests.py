@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
@@ -28,27 +28,43 @@ def coding_prompts(insights: DataFrame, template: str) -> DataFrame:
 
 
 def category_prompts(
-    batches: DataFrame, codebook: DataFrame, template: str, known: list[dict], questions: Sequence[str] = ()
+    batches: DataFrame, codebook: DataFrame, template: str, known: list[dict] | DataFrame, questions: Sequence[str] = ()
 ) -> DataFrame:
     """Categorization, slots ``research_questions, seed_categories_json, codebook_map_json,
     codes_to_categorize_json``: ``batch, prompt``.
 
-    The codebook map of a prompt holds the codes of its own batch. The whole codebook in every
-    prompt would make the requests grow with the square of the codebook.
+    ``known`` are the categories to offer, or one row ``known_json`` of them. The codebook map of a prompt holds
+    the codes of its own batch. The whole codebook in every prompt would make the requests grow with the square of the codebook.
     """
     rows = batches.join(codebook.select(F.col("id").alias("code_id"), "label"), "code_id")
     lists = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "code_id", "label"))).alias("c"))
     ids = F.transform("c", lambda x: T.indented_object({"code_id": T.json_scalar(x["code_id"])}, level=1))
     pairs = F.transform("c", lambda x: F.concat(T.json_scalar(x["code_id"]), F.lit(": "), T.json_scalar(x["label"])))
+    offered = F.lit(as_json(known)) if isinstance(known, list) else F.col("known_json")
+    if isinstance(known, DataFrame):  # one row, as long as the list that every prompt has to hold anyway
+        lists = lists.withColumn("_one", F.lit(1)).join(F.broadcast(known.select("known_json", F.lit(1).alias("_one"))), "_one")
     slots = {
         "research_questions": F.lit("\n".join(f"- {q}" for q in questions)),
-        "seed_categories_json": F.lit(json.dumps(known, indent=2, ensure_ascii=False)),
+        "seed_categories_json": offered,
         "codebook_map_json": F.concat(F.lit("{\n  "), F.array_join(pairs, ",\n  "), F.lit("\n}")),
         "codes_to_categorize_json": T.indented_list(ids),
     }
     return lists.select("batch", render(template, slots).alias("prompt"))
 
 
+def as_json(categories: list[dict]) -> str:
+    return json.dumps(categories, indent=2, ensure_ascii=False)
+
+
+def known_json(known: DataFrame, seeds: list[dict]) -> DataFrame:
+    """One row ``known_json``: ``known(category_name, description, first)`` in order of ``first``, or the seeds where none is known."""
+    said: dict[str, Column] = {"category_name": T.json_scalar(F.col("x.category_name")), "description": T.json_scalar(F.col("x.description"))}
+    entries = known.select("first", F.struct("category_name", F.coalesce("description", F.lit("")).alias("description")).alias("x"))
+    listed = entries.select("first", T.indented_object(said, level=1).alias("entry")).agg(F.array_sort(F.collect_list(F.struct("first", "entry"))).alias("e"))
+    text = T.indented_list(F.transform("e", lambda x: x["entry"]))
+    return listed.select(F.when(F.size("e") == 0, F.lit(as_json(seeds))).otherwise(text).alias("known_json"))
+
+
 def _evidence_lists(parts: DataFrame) -> DataFrame:
     """Evidence of one request part in the order it was measured in; bounded by the request size."""
     return parts.groupBy("category_id", "part").agg(

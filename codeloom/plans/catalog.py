@@ -19,8 +19,10 @@ from codeloom.operators.ranking import with_position
 from codeloom.operators.similarity import GramSpace, VectorSpace, matches_between
 from codeloom.plans import inputs as inp
 from codeloom.plans import study
+from codeloom.plans.ledger import Ledger
 from codeloom.session import cut_lineage, scratch_path
 from codeloom.sources import readers, writers
+from codeloom.sources.codebook_log import CodebookLog
 from codeloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +120,17 @@ def jsonl_append(spark, d):
     return readers.read_jsonl_or_empty(spark, path)
 
 
+@query
+def append_once(spark, d):
+    """Two runs append; the first is repeated with other rows, which take the place of its own."""
+    path = scratch_path(spark, "append")
+    rows = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    writers.append_once(rows.filter("lang = 'en'").select("id", "text"), path, "english")
+    writers.append_once(rows.filter("lang != 'en'").select("id", "text"), path, "others")
+    writers.append_once(rows.filter("lang = 'en'").select("id", F.upper("lang").alias("text")), path, "english")
+    return readers.read_appended(spark, path).select("id", F.md5("text").alias("text_md5"), "run_id")
+
+
 def _checkpoint_lines(spark, d, path):
     """Coded rows as lines, every seventh one cut off as by a crash."""
     rows = inp.coded_once(spark, d).withColumn("id", F.col("doc_id").cast("string"))
@@ -763,13 +776,115 @@ def categorize_run(spark, d):
         return out
 
     def run(only):
-        done = study.categorize_with_model(book, responder, "{codes_to_categorize_json}##{codebook_map_json}", KNOWN, only=only, batches_per_wave=16)
+        done = study.categorize_with_model(book, responder, "{codes_to_categorize_json}##{codebook_map_json}", KNOWN, only=only)
         return done.category_codes.join(done.categories, "category_id").select("category_name", "code_id")
 
     some = book.where(F.col("label").contains("er")).select(F.col("id").alias("code_id"))
     return run(None).withColumn("codes", F.lit("all")).union(run(some).withColumn("codes", F.lit("some")))
 
 
+@query
+def embed_retry(spark, d):
+    """A model that passes over some texts, breaks on some for good, and on some at first, or again and again."""
+    docs = inp.table(spark, d, "documents").select("doc_id", "text")
+
+    def embedder(texts, met={}):  # noqa: B006  what this worker was asked before, by length
+        for t in texts:
+            if len(t) % 13 == 0 or (len(t) % 5 == 0 and not met.get(t)):
+                met[t] = True
+                raise TimeoutError("later")
+            if len(t) % 7 == 0:
+                raise ValueError("never")
+        return [None if len(t) % 11 == 0 else [float(len(t))] for t in texts]
+
+    retry = model.Retry(first_wait=0.001, longest_wait=0.002, batch=16)
+    got = model.embed(docs, "text", embedder, retry, "error")
+    return got.select("doc_id", F.col("embedding")[0].cast("double").alias("first"), "error")
+
+
+# Axial analysis and narration ---------------------------------------------------------------
+
+
+def _analyst():
+    def analyst(prompts, models):
+        """Sorts evidence by whether its length is even, and unites what is told alike."""
+        import json
+
+        def item(ids, about=None):
+            if about:
+                return {"description": about, "evidence_insight_ids": ids}
+            return {"property_name": "all", "property_description": "everything", "dimensional_range": "short to long", "evidence_insight_ids": ids}
+
+        out = []
+        for p in prompts:
+            kind, body = p.split("##", 1)
+            given = json.loads(body)
+            if kind == "AXIAL":
+                told = {}
+                for e in given:
+                    told.setdefault("odd" if len(e["fragmento_original"]) % 2 else "even", []).append(e["id_fragmento"])
+                every = [e["id_fragmento"] for e in given]
+            else:
+                told = {}
+                for x in given["paradigm_model"]["context"]:
+                    told.setdefault(x["description"], []).extend(x["evidence_insight_ids"])
+                every = [i for x in given["properties_and_dimensions"] for i in x["evidence_insight_ids"]]
+            out.append(json.dumps({"paradigm_model": {"context": [item(ids, about) for about, ids in sorted(told.items())]}, "properties_and_dimensions": [item(every)]}))
+        return out
+
+    return analyst
+
+
+def _analysed(spark, d, uniting):
+    named = inp.categories(spark, d).withColumn("description", F.lit(None).cast("string"))
+    return study.analyse_with_model(named, inp.category_codes(spark, d), inp.enriched(spark, d), inp.insights(spark, d), _analyst(), "AXIAL##{evidence_json}", uniting)
+
+
+@query
+def axial_run(spark, d):
+    """One analysis per category, from as many parts as its evidence takes."""
+    done = _analysed(spark, d, "UNITE##{analyses_json}")
+    rows = cut_lineage(done.valid)
+    items = ev.axial_items(rows).groupBy("category_id", "component", "pos", "description").agg(F.count_distinct("insight_id").alias("n_insights"))
+    analyses = rows.groupBy("category_id").agg(F.count(F.lit(1)).alias("n_analyses"), F.first("category_name").alias("category_name"), F.first("ord").alias("ord"))
+    return items.join(analyses, "category_id").select("category_id", "category_name", "ord", "component", "pos", "description", "n_insights", "n_analyses")
+
+
+@query
+def narrate_run(spark, d):
+    """Every part of an analysis told with its own evidence, in as many pieces as that takes."""
+
+    def narrator(prompts, models):
+        import json
+
+        out = []
+        for p in prompts:
+            told = json.loads(p)
+            out.append(json.dumps({"narrative_blocks": [{"title": str(len(told)), "text": str(sum(map(len, told.values()))), "evidence_ids": sorted(told)}]}))
+        return out
+
+    done = study.narrate_with_model(cut_lineage(_analysed(spark, d, None).valid), inp.insights(spark, d), narrator, "{evidence_json}")
+    block = F.col("narrative_blocks")[0]
+    return done.valid.select("category_id", "category_name", "ord", "part", "piece", block["title"].cast("bigint").alias("n_insights"), block["text"].cast("bigint").alias("n_characters"))
+
+
+@query
+def synthesis_run(spark, d):
+    """The report over narratives of eleven categories, in their order; no final answer comes back, so it is assembled."""
+    turns = inp.table(spark, d, "conversations")
+    told = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), "text"))).alias("narrative_blocks"))
+    n = F.col("conv_id") % 11
+    narratives = told.select(
+        F.concat(F.lit("cat_"), (n + 1).cast("string")).alias("category_id"), F.concat(F.lit("name "), (n + 1).cast("string")).alias("category_name"),
+        F.col("conv_id").alias("part"), F.lit(0).cast("bigint").alias("piece"), "narrative_blocks", n.alias("ord"),
+    )
+
+    def writer(prompts, models):
+        return [None if p.startswith("REPORT") else f"{m}: {len(p)} characters" for p, m in zip(prompts, models)]
+
+    return study.synthesize(narratives, writer, "{full_narrative}", "REPORT{synthesized_narratives}", model="advanced")
+
+
 # Reports ------------------------------------------------------------------------------------
 
 
@@ -878,9 +993,119 @@ def study_run(spark, d):
     )
 
 
+#: Words the scripted coder chooses from by the length of a text.
+CODE_WORDS = ["planning", "saving", "trusting", "asking", "borrowing", "comparing", "delaying", "hoping", "investing", "learning", "sharing", "waiting"]
+
+
+def _scripted_models(fails: bool) -> study.Models:
+    """Models that answer by rules; the coder may fail on texts whose length is a multiple of seven."""
+    words = CODE_WORDS
+
+    def coder(prompts, models):
+        import json
+
+        out = []
+        for p in prompts:
+            asked = json.loads(p)
+            n = len(asked["fragmento_original"])
+            asked["codigos_abiertos"] = [f"{words[n % len(words)]} {n % 100:02d}"]
+            out.append("no answer" if fails and n % 7 == 0 else "```json\n" + json.dumps(asked) + "\n```")
+        return out
+
+    def categorizer(prompts, models):
+        import json
+
+        out = []
+        for p in prompts:
+            asked, names = (json.loads(x) for x in p.split("##"))
+            groups = {}
+            for c in asked:
+                groups.setdefault(f"length {len(names[c['code_id']]) % 5}", []).append(c)
+            out.append(json.dumps([{"category_name": k, "is_new": True, "description": k, "code_assignments": v} for k, v in groups.items()]))
+        return out
+
+    def analyst(prompts, models):
+        import json
+
+        return [json.dumps({"paradigm_model": {"context": [{"description": "all", "evidence_insight_ids": [e["id_fragmento"] for e in json.loads(p)]}]}}) for p in prompts]
+
+    return study.Models(coder, categorizer, analyst)
+
+
+def _run_pipeline(spark, d, root, fails):
+    templates = study.Templates("{json_input}", "{codes_to_categorize_json}##{codebook_map_json}", "{evidence_json}")
+    return study.run_pipeline(inp.insights(spark, d), root, _scripted_models(fails), templates, KNOWN, QUESTIONS)
+
+
+@query
+def pipeline_run(spark, d):
+    """The whole run with models: codes and cited insights of each category, read back from what the run wrote."""
+    root = scratch_path(spark, "pipeline")
+    _run_pipeline(spark, d, root, fails=True)
+    ledger = Ledger(spark, root)
+    cited = ev.cited_ids(ledger.latest("axial", "axial")).groupBy("category_id").agg(F.count_distinct("insight_id").alias("n_insights"))
+    sizes = ledger.latest("categorize", "category_codes").groupBy("category_id").agg(F.count(F.lit(1)).alias("n_codes"))
+    names = ledger.latest("categorize", "categories").select("category_id", "category_name")
+    results = readers.read_jsonl(spark, f"{ledger.last('enrich').path}/results", readers.CODED)
+    written = results.select(F.lit("results").alias("category_name"), F.size(F.array_distinct("unified_code_ids")).cast("bigint").alias("n")).groupBy("category_name").agg(F.sum("n").alias("n_codes"), F.count(F.lit(1)).alias("n_insights"))
+    failed = ledger.read("coding", "failed").groupBy(F.col("error").alias("category_name")).agg(F.lit(0).cast("bigint").alias("n_codes"), F.count(F.lit(1)).alias("n_insights"))
+    return names.join(sizes, "category_id").join(cited, "category_id").select("category_name", "n_codes", "n_insights").union(written).union(failed)
+
+
+@query
+def pipeline_rerun(spark, d):
+    """A run whose coder fails on some texts, one that makes up for them, and one with nothing left to ask: what became of each phase."""
+    root = scratch_path(spark, "pipeline")
+    rows = [(run, *o) for run in (1, 2, 3) for o in _run_pipeline(spark, d, root, fails=run == 1)]
+    return spark.createDataFrame(rows, "run bigint, phase string, status string, asked bigint, rows bigint")
+
+
 # Incremental --------------------------------------------------------------------------------
 
 
+def _inbox(spark, d, path, files):
+    """The documents as so many files, one written after the other; every fifth document comes again in the next file."""
+    docs = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
+    for k in range(files):
+        again = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % files == (k - 1) % files) if k else F.lit(False)
+        docs.where((F.col("doc_id") % files == k) | again).select("id", "text").coalesce(1).write.mode("append").parquet(path)
+    return lambda: incremental.insight_stream(spark.readStream, path, "id string, text string", max_files=1)
+
+
+@query
+def stream_state_resume(spark, d):
+    """Several files and micro-batches with repeated ids, and a coder that fails on some texts: these come up again in later runs."""
+    root = scratch_path(spark, "stream")
+    inbox = _inbox(spark, d, f"{root}/in", 3)
+
+    def coder(rows):
+        n = F.length("text")
+        fails = ((n % 7 == 0) & (F.col("attempt") == 1)) | (n % 35 == 0)
+        rows = rows.withColumn("fails", F.coalesce(fails, F.lit(False)))
+        bad = rows.where("fails").select("id", F.struct("id", "text").alias("insight_original"), F.lit("no answer").alias("error"))
+        return contracts.Split(incremental.rule_coder(rows.where("NOT fails")), bad)
+
+    for _ in range(3):
+        incremental.code_stream(inbox(), f"{root}/coded", f"{root}/offsets", coder)
+    coded = incremental.coded_so_far(spark, f"{root}/coded").select("id", F.array_join("codigos_abiertos", "|").alias("codes"))
+    failed = incremental.failed_so_far(spark, f"{root}/coded").groupBy("id").agg(F.count(F.lit(1)).alias("n_failed"), F.max("final").alias("final"))
+    return coded.join(failed, "id", "full").select("id", "codes", F.coalesce("n_failed", F.lit(0).cast("bigint")).alias("n_failed"), F.coalesce("final", F.lit(False)).alias("final"))
+
+
+@query
+def stream_codebook_log(spark, d):
+    """A codebook from elsewhere, labels that come in several batches, a batch that is replayed, a base written in between."""
+    root = scratch_path(spark, "stream")
+    inbox = _inbox(spark, d, f"{root}/in", 3)
+    log = CodebookLog(spark, f"{root}/book", base_every=2)
+    log.start(_book(spark, d))
+    keeper = incremental.codebook_keeper(f"{root}/book", LABEL_THETA, base_every=2)
+    incremental.code_stream(inbox(), f"{root}/coded", f"{root}/offsets", after_batch=keeper)
+    keeper(spark.read.schema(incremental.CODED).parquet(f"{root}/coded/batch_id=2"), 2)
+    uses = log.read().select(F.col("id").alias("code_id"), F.col("count").alias("n_uses"))
+    return log.label_map().join(uses, "code_id").select("label", "code_id", "match_kind", rounded("sim"), "n_uses")
+
+
 def _document_stream(spark, d):
     reader = spark.readStream.option("pathGlobFilter", "documents.parquet")
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"

@@ -131,7 +131,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "vectors": ([], "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"),
     "seeds": (["codes"], """
         SELECT label AS keyword, 'seed_' || left(label, 1) AS category_name, row_number() OVER (ORDER BY left(label, 1), label) AS seed_ord
-        FROM codes WHERE n >= 3 AND length(label) <= 5"""),
+        FROM codes WHERE n >= 3"""),
     "seed_sims": (["grams", "norms", "seeds", "codes"], f"""
         SELECT k.code_id, s.category_name, s.seed_ord, x.sim FROM (
           SELECT a.ord AS x, b.ord AS y, sum(a.w * b.w) / sqrt(max(na.n) * max(nb.n)) AS sim
@@ -158,6 +158,21 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "clusters": ([], "SELECT * FROM (VALUES " + ", ".join(
         f"({text(a)}, '{b}', {n}, {m})" for a, b, n, m in report.CLUSTERS
     ) + ") AS t(category_name, cluster, cluster_ord, category_ord)"),
+    # The scripted coder's one label per text, and its category.
+    "scripted": ([], """
+        SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, length(text) % 7 = 0 AS late, label, 'length ' || CAST(length(label) % 5 AS VARCHAR) AS category
+        FROM (SELECT *, (""" + "[" + ", ".join(f"'{w}'" for w in c.CODE_WORDS) + f"""])[length(text) % {len(c.CODE_WORDS)} + 1] || ' ' || lpad(CAST(length(text) % 100 AS VARCHAR), 2, '0') AS label FROM documents)"""),
+    # Evidence of a category in requests of 100,000 characters, and what is told of a request in pieces of that size.
+    "told": (["evidence", "category_codes", "categories"], """
+        SELECT *, CAST(floor((sum(n) OVER (PARTITION BY category_id, part ORDER BY md5(id), id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n) / 100000) AS BIGINT) AS piece
+        FROM (SELECT p.*, length(d.text) AS n, CAST(floor((sum(length(d.text)) OVER (PARTITION BY category_id ORDER BY md5(id), id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(d.text)) / 100000) AS BIGINT) AS part
+              FROM (SELECT DISTINCT c.category_id, k.category_name, CAST(substr(c.category_id, 5) AS BIGINT) AS ord, e.id_fragmento AS id FROM evidence e
+                    JOIN category_codes c ON c.code_id = e.code_id JOIN categories k ON k.category_id = c.category_id) p
+              JOIN documents d ON CAST(d.doc_id AS VARCHAR) = p.id)"""),
+    "stream_turns": (["open_codes", "codes"], """
+        SELECT c.label, c.code_id, c.n, c.ord, row_number() OVER (ORDER BY c.n = 1, CASE WHEN c.n = 1 THEN b.batch END, c.label) AS turn
+        FROM codes c JOIN (SELECT label, min(doc_id % 3) AS batch FROM open_codes GROUP BY label) b ON b.label = c.label"""),
     "stream_labels": (["codes"], "SELECT label, code_id, 1 AS n, ord, ord AS turn FROM codes"),
 }
 
@@ -243,6 +258,30 @@ _coding_prompt = (
     + """ || E',\\n  "codigos_abiertos": []\\n}' || E'\\n'"""
 )
 
+
+
+def pipeline_rerun() -> str:
+    """Three runs of the scripted models: the first lacks the texts that fail, the second makes up for them, the third has nothing to do."""
+    parts = """(SELECT count(*) FROM (SELECT DISTINCT category, floor(before / 100000) FROM (
+        SELECT category, sum(length(text)) OVER (PARTITION BY category ORDER BY md5(id), id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(text) AS before
+        FROM scripted WHERE {0})))"""
+    first, every = "NOT late", "true"
+    counts = sql(["scripted"], f"""
+        , a AS (SELECT count(*) AS n, count(*) FILTER (late) AS f, count(DISTINCT label) AS l, count(DISTINCT label) FILTER ({first}) AS l1,
+          count(DISTINCT category) AS c, count(DISTINCT category) FILTER ({first}) AS c1, {parts.format(every)} AS p, {parts.format(first)} AS p1 FROM scripted)""")
+    runs = {
+        (1, "done"): {"coding": ("n", "n - f"), "codebook": ("0", "l1"), "categorize": ("ceil(l1 / 50)", "c1"), "enrich": ("0", "n - f"), "axial": ("p1", "p1")},
+        (2, "done"): {"coding": ("f", "f"), "codebook": ("0", "l - l1"), "categorize": ("ceil(l / 50)", "c"), "enrich": ("0", "f"), "axial": ("p", "p")},
+        (3, "skipped"): {"coding": ("0", "f"), "codebook": ("0", "l - l1"), "categorize": ("0", "c"), "enrich": ("0", "f"), "axial": ("0", "p")},
+    }
+    rows = [
+        f"SELECT CAST({run} AS BIGINT) AS run, '{phase}' AS phase, '{status}' AS status, CAST({asked} AS BIGINT) AS asked, CAST({n} AS BIGINT) AS rows FROM a"
+        for (run, status), phases in runs.items()
+        for phase, (asked, n) in phases.items()
+    ]
+    return counts + "\n" + " UNION ALL ".join(rows)
+
+
 ORACLES: dict[str, str] = {
     "ingest_clean": sql(["clean"], "SELECT * FROM clean"),
     "ingest_rejects": sql(["normalised"], "SELECT src_ord, reason FROM normalised WHERE reason IS NOT NULL"),
@@ -479,6 +518,39 @@ ORACLES: dict[str, str] = {
         SELECT 'insights' AS phase, count(*) AS n FROM documents UNION ALL SELECT 'codes', count(*) FROM codes UNION ALL
         SELECT 'categories', count(*) FROM categories UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'narratives', count(*) FROM narratives"""),
     "study_run": study_run(),
+    "embed_retry": """
+        SELECT doc_id, CASE WHEN n % 13 <> 0 AND n % 7 <> 0 AND n % 11 <> 0 THEN CAST(n AS DOUBLE) END AS first,
+          CASE WHEN n % 13 = 0 THEN 'TimeoutError: later' WHEN n % 7 = 0 THEN 'ValueError: never' END AS error
+        FROM (SELECT doc_id, length(text) AS n FROM documents)""",
+    "append_once": """
+        SELECT CAST(doc_id AS VARCHAR) AS id, md5(CASE WHEN lang = 'en' THEN upper(lang) ELSE text END) AS text_md5, CASE WHEN lang = 'en' THEN 'english' ELSE 'others' END AS run_id
+        FROM documents WHERE lang IS NOT NULL""",
+    "axial_run": sql(["told"], """
+        SELECT category_id, category_name, ord, 'context' AS component, row_number() OVER (PARTITION BY category_id ORDER BY odd) - 1 AS pos,
+          CASE WHEN odd THEN 'odd' ELSE 'even' END AS description, n_insights, 1 AS n_analyses
+        FROM (SELECT category_id, category_name, ord, n % 2 = 1 AS odd, count(*) AS n_insights FROM told GROUP BY ALL)
+        UNION ALL SELECT category_id, category_name, ord, 'properties_and_dimensions', 0, 'everything', count(*), 1 FROM told GROUP BY ALL"""),
+    "narrate_run": sql(["told"], """
+        SELECT category_id, category_name, ord, part, piece, count(*) AS n_insights, CAST(sum(n) AS BIGINT) AS n_characters FROM told GROUP BY ALL"""),
+    "synthesis_run": f"""
+        WITH placed AS (SELECT conv_id % 11 + 1 AS c, role, text, row_number() OVER (PARTITION BY conv_id % 11 ORDER BY conv_id, turn, role, text) - 1 AS pos FROM conversations),
+        narratives AS (SELECT c, pos // 1000 AS part, string_agg('**' || role || E'**\n\n' || text, {text(report.BLOCK_SEPARATOR)} ORDER BY pos) AS t
+          FROM placed WHERE role <> '' AND text <> '' GROUP BY 1, 2)
+        SELECT CAST(0 AS BIGINT) AS part, {text(report.REPORT_HEAD)} || string_agg('### name ' || CAST(c AS VARCHAR) || E'\n\nadvanced: ' || CAST(length(t) AS VARCHAR)
+          || E' characters\n\n---\n\n', '' ORDER BY c, part) AS report FROM narratives""",
+    "pipeline_run": sql(["scripted"], """
+        SELECT category AS category_name, count(DISTINCT label) AS n_codes, count(DISTINCT id) AS n_insights FROM scripted WHERE NOT late GROUP BY category
+        UNION ALL SELECT 'results', count(*), count(*) FROM scripted WHERE NOT late
+        UNION ALL SELECT 'invalid response', 0, count(*) FROM scripted WHERE late HAVING count(*) > 0"""),
+    "pipeline_rerun": pipeline_rerun(),
+    "stream_state_resume": sql(["open_codes"], """
+        SELECT CAST(d.doc_id AS VARCHAR) AS id, CASE WHEN max(length(d.text)) % 35 <> 0 THEN coalesce(string_agg(o.label, '|' ORDER BY o.pos), '') END AS codes,
+          CASE WHEN max(length(d.text)) % 35 = 0 THEN 3 WHEN max(length(d.text)) % 7 = 0 THEN 1 ELSE 0 END AS n_failed, max(length(d.text)) % 35 = 0 AS final
+        FROM documents d LEFT JOIN open_codes o ON o.doc_id = d.doc_id GROUP BY d.doc_id"""),
+    "stream_codebook_log": merge_labels("stream_turns", "(SELECT count(*) FROM codes WHERE n > 1)", """
+        SELECT a.label, b.code_id, CASE WHEN m.x <> m.y THEN 'similar' WHEN a.n > 1 THEN 'exact' ELSE 'new' END AS match_kind, round(m.sim, 6) AS sim,
+          count(*) OVER (PARTITION BY b.code_id) + CASE WHEN b.n > 1 THEN 1 ELSE 0 END AS n_uses
+        FROM merged m JOIN stream_turns a ON a.turn = m.x JOIN stream_turns b ON b.turn = m.y"""),
     "stream_resume": sql(["open_codes"], """
         SELECT CAST(d.doc_id AS VARCHAR) AS id, coalesce(string_agg(o.label, '|' ORDER BY o.pos), '') AS codes
         FROM documents d LEFT JOIN open_codes o ON o.doc_id = d.doc_id GROUP BY d.doc_id"""),

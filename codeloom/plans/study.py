@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -14,8 +17,11 @@ from codeloom.operators import contracts, ingest, report, requests, resume
 from codeloom.operators import evidence as ev
 from codeloom.operators.contracts import Split
 from codeloom.operators.model import Responder, respond, respond_until_valid
-from codeloom.session import cut_lineage
+from codeloom.operators.uniting import unite
+from codeloom.plans.ledger import Ledger, Outcome, content
+from codeloom.session import cut_lineage, scratch_path
 from codeloom.sources import writers
+from codeloom.sources.codebook_log import CodebookLog
 
 
 class Preprocessed(NamedTuple):
@@ -72,36 +78,47 @@ def categorize_with_model(
     questions: list[str] = (),
     only: DataFrame | None = None,
     batch_size: int = cat.BATCH_SIZE,
-    batches_per_wave: int = 1,
+    batches_per_wave: int | None = None,
 ) -> Categorized:
     """Categorize codes in batches; every wave of batches is told the categories found before it.
 
-    One batch per wave is the strictly sequential form; more batches per wave run in parallel.
-    The first wave is told the seeds. Failed batches are rejected and their codes left over.
+    Waves double in size (1, 2, 4, … batches), so their number is the logarithm of that of the batches; ``batches_per_wave=1``
+    is the strictly sequential form. The known categories are a table merged wave by wave and put into the prompts as one
+    row; results are written by wave to the shared folder. The driver sees the number of batches alone. The first wave is told the
+    seeds, and so is every other until a category is known. Failed batches are rejected and their codes left over.
     """
+    spark = codebook.sparkSession
     chosen = codebook if only is None else codebook.join(only.select(F.col("code_id").alias("id")), "id", "left_semi")
     batches = cut_lineage(cat.code_batches(chosen, batch_size))
     n_batches = (batches.agg(F.max("batch")).first()[0] or 0) + 1
-    known, results, rejects = seeds, None, None
-    for first in range(0, n_batches, batches_per_wave):
-        wave = batches.filter((F.col("batch") >= first) & (F.col("batch") < first + batches_per_wave))
-        answers = respond(requests.category_prompts(wave, codebook, template, known, questions), responder, ("batch",))
+    path = scratch_path(spark, "categorize")
+    known: DataFrame | None = None
+    offered: list[dict] | DataFrame = seeds
+    first, size, wave = 0, batches_per_wave or 1, 0
+    while first < n_batches:
+        own = batches.filter((F.col("batch") >= first) & (F.col("batch") < first + size))
+        answers = respond(requests.category_prompts(own, codebook, template, offered, questions), responder, ("batch",))
         good, bad = contracts.validate_list_responses(answers, contracts.CATEGORY_RESULT, "response", ("batch",))
-        good = cut_lineage(good)
-        results = good if results is None else results.unionByName(good)
-        rejects = bad if rejects is None else rejects.unionByName(bad)
-        if first + batches_per_wave < n_batches:
-            # Names and descriptions only: they have to fit the next prompt.
-            found = cat.merge_by_name(results)[0].orderBy("ord").select("category_name", "description").collect()
-            known = [r.asDict() for r in found] or seeds
+        writers.write_version(good, f"{path}/results", wave)
+        writers.write_version(bad, f"{path}/rejects", wave)
+        first, wave = first + size, wave + 1
+        size = batches_per_wave or 2 * size
+        if first < n_batches:
+            found = spark.read.parquet(f"{path}/results/version={wave - 1}")
+            known = cut_lineage(cat.with_found(known, found))
+            offered = requests.known_json(known, seeds)
+    results, rejects = (spark.read.schema(df.schema).parquet(f"{path}/{name}").select(*df.columns) for name, df in (("results", good), ("rejects", bad)))
     return Categorized(*cat.merge_by_name(results), rejects)
 
 
 def analyse_with_model(
-    categories: DataFrame, category_codes: DataFrame, enriched: DataFrame, insights: DataFrame, responder: Responder, template: str
+    categories: DataFrame, category_codes: DataFrame, enriched: DataFrame, insights: DataFrame, responder: Responder, template: str, uniting: str | None = None
 ) -> Split:
     """Axial analysis per category and evidence part; categories without evidence are skipped.
 
+    With a template ``uniting``, the same responder unites the parts of a category to one analysis; unusable answers of either kind
+    are rejects.
+
     The parts of a category are one analysis whose lists go on from part to part: their items and narratives are
     numbered through by ``axial_items`` and ``report.block_rows``.
     """
@@ -112,17 +129,21 @@ def analyse_with_model(
     prompts = cut_lineage(requests.axial_prompts(merged, resolved, template))
     answers = respond(prompts, responder, ("category_id", "part"))
     split = contracts.validate_responses(answers, contracts.AXIAL_RESULT, "response", ("category_id", "part"))
-    names = prompts.select("category_id", "part", "category_name")
+    names = prompts.select("category_id", "part", "category_name").join(merged.select("category_id", "ord"), "category_id")
     analysis = F.struct("paradigm_model", "properties_and_dimensions").alias("analysis")
-    valid = split.valid.join(names, ["category_id", "part"]).select("category_id", "category_name", "part", analysis)
-    return Split(valid, split.rejects)
+    valid = split.valid.join(names, ["category_id", "part"]).select("category_id", "category_name", "part", analysis, "ord")
+    if uniting is None:
+        return Split(valid, split.rejects)
+    united = unite(cut_lineage(valid), responder, uniting)
+    lost = split.rejects.select("category_id", F.lit(0).cast("bigint").alias("round"), "part", "reason")
+    return Split(united.valid, lost.unionByName(united.rejects))
 
 
 def narrate_with_model(axial: DataFrame, insights: DataFrame, responder: Responder, template: str) -> Split:
     """Narrative blocks per analysis, told with the evidence that this analysis cites.
 
     Evidence beyond the size of one request goes on in the next ``piece``. A response without
-    ``narrative_blocks`` is rejected.
+    ``narrative_blocks`` is rejected. Where ``axial`` has an ``ord``, its categories' place in the report, narratives keep it.
     """
     refs = cut_lineage(ev.cited_ids(axial))
     resolved = ev.resolve_texts(refs, ev.texts_for(refs, insights))
@@ -133,24 +154,34 @@ def narrate_with_model(axial: DataFrame, insights: DataFrame, responder: Respond
     keep = ["category_id", "category_name", "part", "piece"]
     rows = parsed.withColumn("narrative_blocks", F.when(F.col("status") == parsing.OK, found))
     reason = F.when(F.col("status") == parsing.OK, F.lit("no_narrative_blocks")).otherwise(F.col("status"))
+    told = rows.filter(F.col("narrative_blocks").isNotNull()).select(*keep, "narrative_blocks")
+    if "ord" in axial.columns:
+        told = told.join(axial.groupBy("category_id").agg(F.min("ord").alias("ord")), "category_id")
     return Split(
-        rows.filter(F.col("narrative_blocks").isNotNull()).select(*keep, "narrative_blocks"),
+        told,
         rows.filter(F.col("narrative_blocks").isNull()).select(*keep, reason.alias("reason")),
     )
 
 
 def synthesize(narratives: DataFrame, responder: Responder, category_template: str, report_template: str, model: str | None = None) -> DataFrame:
-    """The final report in parts: ``part, report``. Missing answers fall back to assembled text."""
+    """The final report in parts: ``part, report``. Missing answers fall back to assembled text.
+
+    Sections follow the ``ord`` of the narratives; without one, the fixed order of the report (unknown categories last) and then the id.
+    """
     blocks = report.block_rows(narratives)
-    names = narratives.select("category_id", "category_name").distinct()
+    if "ord" in narratives.columns:
+        names = narratives.groupBy("category_id", "category_name").agg(F.min("ord").alias("section_ord"))
+    else:
+        known = report.in_report_order(narratives.select("category_id", "category_name").distinct(), report.clusters(narratives.sparkSession))
+        names = known.select("category_id", "category_name", F.col("category_ord").alias("section_ord"))
     full = report.full_narrative(blocks, "category_id").join(names, "category_id")
     full = cut_lineage(full)
     answers = respond(requests.synthesis_prompts(full, category_template, model), responder, ("category_id", "part"))
-    sections = cut_lineage(report.synthesized(full, answers, "category_id"))
-    order = ["category_id", "part"]
-    corpus = cut_lineage(report.corpus_text(sections.withColumnRenamed("part", "section_part"), ["category_id", "section_part"]))
+    sections = cut_lineage(report.synthesized(full, answers, "category_id")).withColumnRenamed("part", "section_part")
+    order = ["section_ord", "category_id", "section_part"]
+    corpus = cut_lineage(report.corpus_text(sections, order))
     final = respond(requests.report_prompts(corpus, report_template, model), responder, ("part",))
-    plain = report.fallback_report(sections.withColumnRenamed("part", "section_part"), ["category_id", "section_part"])
+    plain = report.fallback_report(sections, order)
     got = final.select("part", F.nullif("response", F.lit("")).alias("_r"))
     return plain.join(got, "part", "left").select("part", F.coalesce("_r", "report").alias("report"))
 
@@ -202,3 +233,116 @@ def run_study(
         coded, merge._replace(codebook=book), fit, emergent, codes, enriched,
         ev.category_evidence(codes, index), ev.lineage(index, codes, metadata),
     )
+
+
+class Models(NamedTuple):
+    coder: Responder
+    categorizer: Responder
+    analyst: Responder
+
+
+class Templates(NamedTuple):
+    coding: str
+    category: str
+    axial: str
+
+
+#: Insights coded between two commits: what a crash can cost.
+ROWS_PER_COMMIT = 1_000_000
+
+
+def run_pipeline(
+    insights: DataFrame,
+    root: str,
+    models: Models,
+    templates: Templates,
+    seeds: list[dict],
+    questions: Sequence[str] = (),
+    theta: float = cb.THETA,
+    embed=None,
+    rows_per_commit: int = ROWS_PER_COMMIT,
+) -> list[Outcome]:
+    """The whole run with models over ``insights(id, text)``, under ``root``: what became of each phase.
+
+    * coding: insights that no earlier run has coded, ``rows_per_commit`` at a time; tables ``coded`` and ``failed``. Failed ones are
+      not in the checkpoint, so the next run asks for them again.
+    * codebook: labels of new commits, merged into the log under ``<root>/codebook/book``.
+    * categorize: the whole codebook anew; tables ``categories``, ``category_codes``, ``rejects``.
+    * enrich: the newly coded insights with their codes; tables ``enriched``, ``unmatched``, and the JSON lines ``results``.
+    * axial: one analysis per category and evidence part; tables ``axial``, ``rejects``.
+
+    A phase whose inputs have not changed is skipped and asks nothing. Categorizing and the axial analysis may fail without ending the
+    run. :class:`~codeloom.plans.ledger.Ledger` reads the tables back.
+    """
+    spark = insights.sparkSession
+    ledger = Ledger(spark, root)
+    log = CodebookLog(spark, f"{ledger.root}/codebook/book")
+    out = [_code_phase(ledger, insights, models.coder, templates.coding, rows_per_commit)]
+
+    def after(phase: str) -> int:
+        """The first coding commit that the last commit of ``phase`` had not seen."""
+        last = ledger.last(phase)
+        return 1 + int(last.source.split("coding ")[1].split(";")[0]) if last else 1
+
+    coding = ledger.version("coding")
+    if coding == "coding none":
+        return out
+
+    def build_codebook(number: int, path: str):
+        new = ledger.read("coding", "coded", after("codebook"))
+        merged = log.merge(number, ingest.distinct_labels(new), theta, embed)
+        return {"label_map": merged.label_map, "rejects": merged.rejects}, 0
+
+    out.append(ledger.run("codebook", coding, build_codebook))
+
+    def build_categories(number: int, path: str):
+        book = cut_lineage(log.read())
+        done = categorize_with_model(book, models.categorizer, templates.category, seeds, questions)
+        asked = -(-book.count() // cat.BATCH_SIZE)
+        return {"categories": done.categories, "category_codes": done.category_codes, "rejects": done.rejects}, asked
+
+    asked_with = hashlib.md5(json.dumps([templates.category, seeds, list(questions)], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    out.append(ledger.attempt("categorize", f"{ledger.version('codebook')}; {asked_with}", build_categories))
+
+    def build_enriched(number: int, path: str):
+        new = ledger.read("coding", "coded", after("enrich"))
+        label_map = log.label_map()
+        enriched = cut_lineage(ev.enrich_insights(new, label_map))
+        writers.write_jsonl(enriched, f"{path}/results")
+        return {"enriched": enriched, "unmatched": ev.unmatched_labels(new, label_map)}, 0
+
+    out.append(ledger.run("enrich", f"{coding}; {ledger.version('codebook')}", build_enriched))
+
+    def build_axial(number: int, path: str):
+        done = analyse_with_model(
+            ledger.latest("categorize", "categories"), ledger.latest("categorize", "category_codes"),
+            ledger.read("enrich", "enriched"), insights, models.analyst, templates.axial,
+        )
+        answered = done.valid.select("category_id", "part").union(done.rejects.select("category_id", "part")).distinct()
+        return {"axial": done.valid, "rejects": done.rejects}, answered.count()
+
+    axial_source = f"{ledger.version('categorize')}; {ledger.version('enrich')}; {hashlib.md5(templates.axial.encode()).hexdigest()}"
+    out.append(ledger.attempt("axial", axial_source, build_axial))
+    return out
+
+
+def _code_phase(ledger: Ledger, insights: DataFrame, coder: Responder, template: str, rows_per_commit: int) -> Outcome:
+    """Code what is pending, in slices that are committed one by one."""
+    done = ledger.read("coding", "coded")
+    given = insights.select("id", "text")
+    todo = cut_lineage(given if done is None else resume.pending(given, done))
+    n = todo.count()
+    if not n and done is not None:
+        return Outcome("coding", "skipped", 0, ledger.last("coding").rows)
+    slices = max(1, -(-n // rows_per_commit))
+    asked = rows = 0
+    for k in range(slices):
+        own = todo if slices == 1 else todo.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+
+        def build(number: int, path: str):
+            split = code_with_model(own, coder, template)
+            return {"coded": split.valid, "failed": split.rejects}, own.count()
+
+        outcome = ledger.run("coding", f"{content(own)} after {ledger.version('coding')}", build)
+        asked, rows = asked + outcome.asked, rows + outcome.rows
+    return Outcome("coding", "done", asked, rows)

@@ -45,6 +45,20 @@ def read_jsonl_or_empty(spark: SparkSession, path: str, schema: str = INSIGHTS)
     return read_jsonl(spark, path, schema)
 
 
+def read_appended(spark: SparkSession, path: str, schema: str = INSIGHTS) -> DataFrame:
+    """The rows of all runs that ``writers.append_once`` has finished, with their ``run_id``; a missing path stands for no rows."""
+    full = schema + ", run_id string"
+    if not path_exists(spark, f"{path}/runs"):
+        return spark.createDataFrame([], full)
+    runs = spark.read.schema("run_id string, folder string").json(f"{path}/runs").select("run_id", "folder").where("folder IS NOT NULL")
+    folders = [f"{path}/data/{r.folder}" for r in runs.select("folder").collect()]  # one per run
+    if not folders:
+        return spark.createDataFrame([], full)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(folders)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.withColumn("_folder", folder).join(F.broadcast(runs.withColumnRenamed("folder", "_folder")), "_folder").drop("_folder")
+
+
 def read_checkpoint(spark: SparkSession, path: str, schema: str = CODED) -> Split:
     """JSON lines, tolerant: corrupt lines go to the rejects as ``line``."""
     if not path_exists(spark, path):

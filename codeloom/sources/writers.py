@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,18 @@ def append_rejects(rejects: DataFrame, path: str, run_id: str | None = None) ->
     append_jsonl(rejects.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex)), path)
 
 
+def append_once(df: DataFrame, path: str, run_id: str) -> None:
+    """Append the rows of a run as JSON lines, once however often the run is repeated; ``readers.read_appended`` reads them.
+
+    The rows go to a folder of their own under ``<path>/data``; the run's entry in ``<path>/runs``, written last, names it. A repeated
+    run writes another folder and then replaces its entry and no other, so a reader sees the old rows or the new ones, never both.
+    """
+    folder = uuid.uuid4().hex
+    write_jsonl(df, f"{path}/data/{folder}", "errorifexists")
+    entry = df.sparkSession.createDataFrame([(run_id, folder)], "run_id string, folder string").coalesce(1)
+    entry.write.mode("overwrite").json(f"{path}/runs/run={hashlib.md5(run_id.encode()).hexdigest()}")
+
+
 def write_version(df: DataFrame, root: str, version: int, fmt: str = "parquet") -> str:
     """Write a table as ``root/version=N``; writing the same version again replaces it."""
     path = f"{root}/version={version}"

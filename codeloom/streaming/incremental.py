@@ -1,7 +1,9 @@
 """Coding and codebook maintenance over files that keep arriving.
 
-Each micro-batch writes its own ``batch_id=N`` (or ``version=N``) folder and replaces it when
-the batch is replayed after a crash, so results are exactly once without a transactional sink.
+Which insights have been taken up is keyed state of the stream (id and attempt), kept by the engine's state store: a micro-batch
+looks up its own ids and never reads what earlier batches wrote. Insights whose coding failed are written to a folder that is itself a
+source of the stream, one attempt higher, so they come up again in the next run until their tries are used up. Each micro-batch writes
+its own ``batch_id=N`` folder and replaces it when the batch is replayed after a crash, so results are exactly once without a transactional sink.
 """
 
 from __future__ import annotations
@@ -13,11 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from codeloom.operators import codebook as cb
-from codeloom.operators import ingest, resume
+from codeloom.operators import ingest
+from codeloom.operators.contracts import Split
+from codeloom.session import cut_lineage
+from codeloom.sources.codebook_log import CodebookLog
 from codeloom.sources.readers import path_exists
-from codeloom.sources.writers import write_version
 
 CODED = "id string, text string, id_fragmento string, fragmento_original string, codigos_abiertos array<string>, error string"
+AGAIN = "id string, text string, attempt bigint"
+FAILED = "id string, insight_original struct<id:string,text:string>, error string, attempt bigint, final boolean"
+TRIES = 3  # runs in which an insight is taken up
+
+Coder = Callable[[DataFrame], "DataFrame | Split"]
 
 
 def insight_stream(reader: DataStreamReader, path: str, schema: str, max_files: int | None = None) -> DataFrame:
@@ -26,14 +35,21 @@ def insight_stream(reader: DataStreamReader, path: str, schema: str, max_files:
     return reader.schema(schema).parquet(path)
 
 
+def _by_batch(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schema + ", batch_id bigint")
+    return spark.read.schema(schema + ", batch_id bigint").parquet(path)
+
+
 def coded_so_far(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:
     """Rows coded by finished batches (those before batch ``before``, if given)."""
-    if not path_exists(spark, out):
-        return spark.createDataFrame([], CODED)
-    rows = spark.read.schema(CODED + ", batch_id bigint").parquet(out)
-    if before is not None:
-        rows = rows.filter(F.col("batch_id") < before)
-    return rows.drop("batch_id")
+    rows = _by_batch(spark, out, CODED)
+    return (rows if before is None else rows.filter(F.col("batch_id") < before)).drop("batch_id")
+
+
+def failed_so_far(spark: SparkSession, out: str) -> DataFrame:
+    """Failures of all batches; ``final`` ones do not come up again."""
+    return _by_batch(spark, f"{out}.failed", FAILED).drop("batch_id")
 
 
 def rule_coder(insights: DataFrame) -> DataFrame:
@@ -49,65 +65,59 @@ def code_stream(
     insights: DataFrame,
     out: str,
     checkpoint: str,
-    coder: Callable[[DataFrame], DataFrame] = rule_coder,
+    coder: Coder = rule_coder,
     after_batch: Callable[[DataFrame, int], None] | None = None,
+    tries: int = TRIES,
 ) -> None:
-    """Code every insight of a stream once, skipping ids that an earlier batch has done.
+    """Code every insight of a stream ``(id, text)`` once; runs until the available input is used up.
 
-    Runs until the available input is used up. Rows a coder leaves out are not recorded and
-    so come up again when the source offers them again.
+    ``coder`` is given ``id, text, attempt`` and gives coded rows, or a split of those and failed ones ``(id, insight_original, error)``. An
+    id that has been taken up is skipped when it arrives again, whichever batch or run had it; of several rows with one id in
+    one micro-batch one is taken, so rows that differ need ids of their own. Failed insights are offered again by the next run, up to
+    ``tries`` in all, and listed in ``<out>.failed``. Rows that a coder leaves out altogether are not recorded.
     """
+    spark = insights.sparkSession
+    again = f"{out}.retry"
+    if not path_exists(spark, again):
+        spark.createDataFrame([], AGAIN).write.mode("overwrite").parquet(f"{again}/batch_id=none")
+    returned = spark.readStream.schema(AGAIN).option("recursiveFileLookup", "true").parquet(again)
+    offered = insights.select("id", "text", F.lit(1).cast("bigint").alias("attempt")).unionByName(returned)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        todo = resume.pending(batch, coded_so_far(spark, out, before=batch_id))
-        coded = coder(todo)
+        todo = cut_lineage(batch)  # read once, so the state is asked once
+        given = coder(todo)
+        coded, failed = (given.valid, given.rejects) if isinstance(given, Split) else (given, None)
         coded.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        if failed is not None:
+            tried = todo.select(F.col("id").alias("_id"), "attempt")
+            marked = failed.join(tried, failed["id"].eqNullSafe(tried["_id"])).select("id", "insight_original", "error", "attempt", (F.col("attempt") >= tries).alias("final"))
+            marked = cut_lineage(marked)
+            marked.write.mode("overwrite").parquet(f"{out}.failed/batch_id={batch_id}")
+            back = marked.where(~F.col("final")).select("id", F.col("insight_original.text").alias("text"), (F.col("attempt") + 1).alias("attempt"))
+            back.write.mode("overwrite").parquet(f"{again}/batch_id={batch_id}")
         if after_batch:
-            after_batch(spark.read.schema(CODED).parquet(f"{out}/batch_id={batch_id}"), batch_id)
+            after_batch(batch.sparkSession.read.schema(CODED).parquet(f"{out}/batch_id={batch_id}"), batch_id)
 
-    query = (
-        insights.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    fresh = offered.dropDuplicates(["id", "attempt"])
+    query = fresh.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def codebook_keeper(root: str, theta: float = cb.THETA, embed=None) -> Callable[[DataFrame, int], None]:
-    """An ``after_batch`` step that merges a batch's labels into the next codebook version.
+def codebook_keeper(root: str, theta: float = cb.THETA, embed=None, base_every: int = 16) -> Callable[[DataFrame, int], None]:
+    """An ``after_batch`` step that adds a batch's labels to the codebook log under ``root``, as version ``batch_id``.
 
-    Version N is made from the greatest earlier version and batch N alone, so a replay gives the same version.
-    Mapped labels without a codebook are an error: an empty one would silently take its place.
-    Only labels that no earlier batch has mapped are merged; the map is kept next to it.
+    Only labels that no earlier version has mapped are merged. A codebook to begin with goes there by ``CodebookLog.start``.
     """
 
-    def previous(spark: SparkSession, name: str, schema: str, batch_id: int) -> DataFrame:
-        path = f"{root}/{name}"
-        if batch_id == 0 or not path_exists(spark, path):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema + ", version bigint").parquet(path).filter(F.col("version") < batch_id)
-
     def run(coded: DataFrame, batch_id: int) -> None:
-        spark = coded.sparkSession
-        books = previous(spark, "codebook", cb.SCHEMA, batch_id)
-        if "version" in books.columns:
-            last = books.agg(F.max("version")).first()[0]
-            books = books.filter(F.col("version") == last).drop("version")
-        maps = previous(spark, "label_map", "label string, code_id string, match_kind string, sim double", batch_id)
-        if books.isEmpty() and not maps.isEmpty():
-            raise RuntimeError(f"{root}: labels are mapped, but no codebook version before {batch_id} is there")
-        labels = ingest.distinct_labels(coded).join(maps.select("label"), "label", "left_anti")
-        merged = cb.merge_labels(labels, books, theta, embed)
-        write_version(merged.codebook, f"{root}/codebook", batch_id)
-        write_version(merged.label_map, f"{root}/label_map", batch_id)
+        CodebookLog(coded.sparkSession, root, base_every).merge(batch_id, ingest.distinct_labels(coded), theta, embed)
 
     return run
 
 
 def latest_codebook(spark: SparkSession, root: str) -> DataFrame:
-    books = spark.read.schema(cb.SCHEMA + ", version bigint").parquet(f"{root}/codebook")
-    last = books.agg(F.max("version")).first()[0]
-    return books.filter(F.col("version") == last).drop("version")
+    return CodebookLog(spark, root).read()
 
 
 def label_map(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("label string, code_id string, match_kind string, sim double, version bigint").parquet(f"{root}/label_map")
+    return CodebookLog(spark, root).label_map()

@@ -4,8 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import categories as cat
 from codeloom.operators import codebook as cb
-from codeloom.operators import ingest
+from codeloom.operators import ingest, requests
 from codeloom.plans import study
 from codeloom.streaming import incremental
 
@@ -198,3 +199,50 @@ def test_a_rerun_counts_nothing_twice(spark):
     again = study.run_study(rows, meta, first.coded, first.merge.codebook, seeds, label_map=first.merge.label_map)
     assert sorted((r.label, r["count"]) for r in again.merge.codebook.collect()) == book
     assert sorted(map(repr, again.enriched.select("id", "unified_code_ids").collect())) == sorted(map(repr, first.enriched.select("id", "unified_code_ids").collect()))
+
+
+def test_waves_double_or_go_one_by_one(spark):
+    book = spark.createDataFrame([(f"c{n}", f"label {n}", None, None, 1, n) for n in range(9)], cb.SCHEMA)
+
+    def responder(prompts, models):
+        import json as j
+
+        out = []
+        for p in prompts:
+            known, codes = (j.loads(x) for x in p.split("\n##\n"))
+            out.append(j.dumps([{"category_name": f"told {len(known)} {codes[0]['code_id']}", "is_new": True, "description": known[-1].get("description", ""), "code_assignments": codes}]))
+        return out
+
+    def names(**how):
+        got = study.categorize_with_model(book, responder, "{seed_categories_json}\n##\n{codes_to_categorize_json}", [{"category_name": "S", "keywords": ["k"]}], batch_size=1, **how)
+        return [(r.category_id, r.category_name) for r in got.categories.orderBy("ord").collect()]
+
+    # Batches 0, 1-2, 3-6, 7-8 are told the seed, then the categories of all batches before their wave.
+    assert [n for _, n in names()] == [f"told {told} c{k}" for k, told in enumerate([1, 1, 1, 3, 3, 3, 3, 7, 7])]
+    assert [n for _, n in names(batches_per_wave=1)] == [f"told {max(k, 1)} c{k}" for k in range(9)]
+
+
+def test_known_categories_read_as_the_first_of_each_name(spark):
+    found = "category_name string, description string, batch long, pos long"
+    one = cat.with_found(None, spark.createDataFrame([("b", "first b", 0, 1), ("a\"x", None, 0, 0), ("b", "later", 0, 2)], found))
+    two = cat.with_found(one, spark.createDataFrame([("b", "no", 1, 0), ("c", "ü", 1, 1)], found))
+    told = json.loads(requests.known_json(two, []).first().known_json)
+    assert told == [{"category_name": 'a"x', "description": ""}, {"category_name": "b", "description": "first b"}, {"category_name": "c", "description": "ü"}]
+    seeds = [{"category_name": "S", "keywords": ["k"]}]
+    assert json.loads(requests.known_json(two.limit(0), seeds).first().known_json) == seeds
+
+
+def test_report_keeps_the_order_of_the_categories(spark):
+    ids = ["cat_10", "cat_2", "cat_1", "cat_11"]
+    blocks = "array<struct<title:string,text:string,evidence_ids:array<string>>>"
+    rows = [(i, f"name {i}", 0, 0, [("t", f"text {i}", [])], int(i[4:])) for i in ids]
+    told = spark.createDataFrame(rows, f"category_id string, category_name string, part long, piece long, narrative_blocks {blocks}, ord long")
+
+    def sections(narratives):
+        done = study.synthesize(narratives, lambda p, m: [None if x.startswith("REPORT") else x for x in p], "{full_narrative}", "REPORT{synthesized_narratives}")
+        return [line[4:] for line in done.first().report.split("\n") if line.startswith("### ")]
+
+    assert sections(told) == ["name cat_1", "name cat_2", "name cat_10", "name cat_11"]
+    named = {"cat_10": "Consecución de metas", "cat_2": "Acompañamiento", "cat_1": "Regulación y Gobernanza del Ecosistema Financiero", "cat_11": "Formación de hábitos"}
+    known = told.drop("ord").withColumn("category_name", F.create_map(*[F.lit(x) for p in named.items() for x in p])[F.col("category_id")])
+    assert sections(known) == ["Formación de hábitos", "Acompañamiento", "Regulación y Gobernanza del Ecosistema Financiero", "Consecución de metas"]

@@ -112,3 +112,16 @@ def test_a_failing_prompt_fails_alone(spark):
         return [[1.0]] * len(texts)
 
     assert [r.id for r in model.embed(asked, "prompt", embedder).where("embedding IS NULL").collect()] == ["3"]
+
+
+def test_a_repeated_append_replaces_its_own_rows(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    of = lambda *ids: spark.createDataFrame([(i, f"text {i}") for i in ids], "id string, text string")
+    assert readers.read_appended(spark, path).collect() == []
+    writers.append_once(of("1", "2"), path, "a")
+    writers.append_once(of("3"), path, "b")
+    writers.append_once(of("1", "4"), path, "a")
+    assert sorted((r.id, r.run_id) for r in readers.read_appended(spark, path).collect()) == [("1", "a"), ("3", "b"), ("4", "a")]
+    writers.append_once(of(), path, "b")
+    of("9").write.json(f"{path}/data/torn")  # a run that ended before its entry was written
+    assert sorted(r.id for r in readers.read_appended(spark, path).collect()) == ["1", "4"]
