@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from codeloom.session import cut_and_measure, cut_lineage
 
 GROWTH = 8
+SALTS = 32
 OPEN, LEADER, DROPPED = 0, 1, 2
 
 
@@ -57,13 +58,24 @@ def _settle(edges: DataFrame, state: DataFrame) -> tuple[DataFrame, int]:
         open_before = seen["open"]
 
 
+def first_of_cells(entries: DataFrame, k: int, salts: int = SALTS) -> DataFrame:
+    """``cell, ord, _n``: the first ``k`` items at home in each cell, numbered.
+
+    First those of each of ``salts`` slices of a cell, then the first of these: no task sorts a whole cell, only a slice or
+    ``salts * k`` rows, and only cells and places move.
+    """
+    slices = entries.filter("home").select("cell", "ord").withColumn("_slice", F.pmod(F.xxhash64("ord"), F.lit(salts)))
+    for group in (["cell", "_slice"], ["cell"]):
+        place = Window.partitionBy(*group).orderBy("ord")
+        slices = slices.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k)
+    return slices.drop("_slice")
+
+
 def greedy_leaders(space, candidates: DataFrame) -> DataFrame:
     """``ord`` of the leaders among ``candidates`` (a subset of the entries of ``space``)."""
     leaders, left, heads_per_cell = None, candidates, space.first_heads
     while True:
-        place = Window.partitionBy("cell").orderBy("ord")
-        heads = left.filter("home").withColumn("_n", F.row_number().over(place))
-        heads = cut_lineage(heads.filter(F.col("_n") <= heads_per_cell))
+        heads = cut_lineage(left.filter("home").join(first_of_cells(left, heads_per_cell), ["cell", "ord"]))
         among = left.join(heads.select("ord").distinct(), "ord", "left_semi")
         edges = cut_lineage(space.match(among, heads.drop("_n")).select("i", "j").distinct())
         full = heads.groupBy("cell").agg(F.max("_n").alias("_n"), F.max("ord").alias("last"))

@@ -11,11 +11,12 @@ shared cell; callers aggregate.
   label are indexed: once the norm of what is left falls below theta, the remaining (common)
   grams cannot reach theta on their own. Stays in the JVM.
 * :class:`VectorSpace` - dense vectors. Cells are the nearest of a bounded number of pivot
-  vectors; an item visits the cells the triangle inequality of angles cannot rule out. The
-  products are NumPy blocks of bounded size.
+  vectors; an item visits the cells the triangle inequality of angles cannot rule out. A cell
+  above a row limit is split by pivots of its own, in the same way and level by level, wherever
+  that saves comparisons. The products are NumPy blocks of bounded size.
 
-Hot cells are split: the rows of one cell are salted over as many tasks as their count needs
-and the other side is repeated once per salt.
+Hot cells are split: both sides of a cell are cut into as many parts as its count needs, and every
+part of one side meets every part of the other in a task of its own.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.ngrams import counted, grams_of
@@ -34,6 +35,11 @@ EPS = 1e-9
 # that is ever broadcast; a gram outside it only loses its place in the order, not a match.
 FREQUENT_GRAMS = 65_536
 ROWS_PER_SALT = 50_000
+# Splitting a cell of vectors: pivots per cell, levels below the first, and the share of the cell's comparisons
+# that has to be left for a split to be made (it repeats rows).
+FAN = 32
+LEVELS = 3
+WORTH = 0.5
 
 
 def _check_theta(theta: float) -> None:
@@ -48,7 +54,7 @@ class GramSpace:
     first_heads: int = 64
 
     @classmethod
-    def build(cls, items: DataFrame, theta: float) -> "GramSpace":
+    def build(cls, items: DataFrame, theta: float, rows_per_salt: int = ROWS_PER_SALT) -> "GramSpace":
         """``items``: ``ord bigint, label string``."""
         _check_theta(theta)
         grams = items.select("ord", grams_of(F.col("label")).alias("all")).select("ord", F.inline(counted(F.col("all"))))
@@ -75,7 +81,7 @@ class GramSpace:
                 lambda e, k: F.struct(
                     e["g"].alias("cell"),
                     rest(k).alias("rest"),
-                    (F.floor(e["df"] / ROWS_PER_SALT) + 1).cast("int").alias("salts"),
+                    (F.floor(e["df"] / rows_per_salt) + 1).cast("int").alias("salts"),
                 ),
             ),
             lambda s: s["rest"] >= theta - EPS,
@@ -86,13 +92,17 @@ class GramSpace:
         return cls(cut_lineage(entries), theta)
 
     def match(self, probe: DataFrame, index: DataFrame, best: bool = False) -> DataFrame:
+        # A hot cell is a rectangle of salts: each side is cut by its own items and repeated for the cuts of the other.
+        own = F.pmod(F.xxhash64("ord"), F.col("salts")).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
         left = probe.select(
             F.col("ord").alias("i"),
             "cell",
             F.col("prof").alias("prof_i"),
             F.col("n2").alias("n2_i"),
             F.col("rest").alias("rest_i"),
-            F.pmod(F.xxhash64("ord"), F.col("salts")).cast("int").alias("salt"),
+            own.alias("salt"),
+            every.alias("chunk"),
         )
         right = index.select(
             F.col("ord").alias("j"),
@@ -100,11 +110,12 @@ class GramSpace:
             F.map_from_entries("prof").alias("counts_j"),
             F.col("n2").alias("n2_j"),
             F.col("rest").alias("rest_j"),
-            F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+            every.alias("salt"),
+            own.alias("chunk"),
         )
         # At the first gram two labels share, nothing before it contributes to the product.
         reachable = (F.col("j") < F.col("i")) & (F.col("rest_i") * F.col("rest_j") >= self.theta - EPS)
-        pairs = left.join(right, ["cell", "salt"]).filter(reachable)
+        pairs = left.join(right, ["cell", "salt", "chunk"]).filter(reachable)
         dot = F.aggregate(
             "prof_i",
             F.lit(0).cast("bigint"),
@@ -124,24 +135,29 @@ class VectorSpace:
 
     @classmethod
     def build(
-        cls, items: DataFrame, theta: float, rows_per_block: int = 1024, max_cells: int = 1024
+        cls, items: DataFrame, theta: float, rows_per_block: int = 1024, max_cells: int = 1024, rows_per_cell: int | None = None
     ) -> "VectorSpace":
-        """``items``: ``ord bigint, embedding array<float>`` with non-empty vectors of one size."""
+        """``items``: ``ord bigint, embedding array<float>`` with non-empty vectors of one size.
+
+        A cell of more than ``rows_per_cell`` items (16 blocks, if not given) is split.
+        """
+        limit = rows_per_cell or 16 * rows_per_block
         _check_theta(theta)
         items = items.select("ord", F.col("embedding").cast("array<float>").alias("embedding"))
         n_cells = max(1, min(max_cells, math.ceil(items.count() / rows_per_block)))
         # Pivots: a repeatable pick, at most max_cells vectors on the driver.
         rows = items.orderBy(F.xxhash64("ord"), "ord").limit(n_cells).select("embedding").collect()
         if len(rows) <= 1:
-            entries = items.select("ord", "embedding", F.lit(0).alias("cell"), F.lit(True).alias("home"))
-            return cls(cut_lineage(entries), theta, rows_per_block)
+            entries = items.select("ord", "embedding", F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"))
+            return cls(_split_cells(cut_lineage(entries), theta, limit), theta, rows_per_block)
         pivots = [r[0] for r in rows]
         homes = cut_lineage(items.mapInArrow(_assign_home(pivots), "ord bigint, embedding array<float>, cell int, angle double"))
         radius = dict(homes.groupBy("cell").agg(F.max("angle")).collect())  # one row per pivot
         visits = homes.mapInArrow(
             _visit_cells(pivots, radius, math.acos(theta)), "ord bigint, embedding array<float>, cell int, home boolean"
         )
-        return cls(cut_lineage(visits), theta, rows_per_block)
+        entries = cut_lineage(visits.withColumn("cell", F.col("cell").cast("bigint")))
+        return cls(_split_cells(entries, theta, limit), theta, rows_per_block)
 
     def match(self, probe: DataFrame, index: DataFrame, best: bool = False) -> DataFrame:
         index = index.filter("home")
@@ -173,9 +189,129 @@ class VectorSpace:
         return best_match(found) if best else found
 
 
+def _split_cells(entries: DataFrame, theta: float, limit: int, levels: int = LEVELS) -> DataFrame:
+    """The entries with every cell of more than ``limit`` home rows split by up to ``FAN`` of its own rows as pivots, as long as that
+    leaves at most ``WORTH`` of the cell's comparisons. A cell of copies, or one that the angles rule nothing out of, stays whole; its
+    products go in blocks of bounded size as any cell's.
+
+    The child ``k`` of cell ``c`` is numbered ``(c + 1) * 4096 + k``.
+    """
+    tau = math.acos(theta)
+    closed = None  # cells that have been tried
+    for _ in range(levels):
+        sizes = entries.groupBy("cell").agg(F.count_if("home").alias("n_home"), F.count(F.lit(1)).alias("n_all"))
+        large = sizes.where(F.col("n_home") > limit)
+        if closed is not None:
+            large = large.join(closed, "cell", "left_anti")
+        large = cut_lineage(large.withColumn("salts", F.ceil(F.col("n_all") / limit).cast("int")))
+        if large.isEmpty():
+            return entries
+        own = cut_lineage(entries.join(large.select("cell", "salts"), "cell").withColumn("salt", F.pmod(F.xxhash64("ord"), F.col("salts")).cast("int")))
+        # Pivots: the first rows by a hash, of the slices of a cell and then of the cell, so no task sorts a cell.
+        ranked = own.where("home").select("cell", "ord", "salt", F.xxhash64("ord", F.lit("pivot")).alias("_h"))
+        for group in (["cell", "salt"], ["cell"]):
+            ranked = ranked.withColumn("sub", F.row_number().over(Window.partitionBy(*group).orderBy("_h", "ord")) - 1).where(F.col("sub") < FAN)
+        pivots = cut_lineage(ranked.select("cell", "ord", "sub").join(own.where("home").select("cell", "ord", "embedding"), ["cell", "ord"]).drop("ord"))
+        everywhere = F.explode(F.sequence(F.lit(0), F.col("salts") - 1))
+
+        def met(rows: DataFrame, given: DataFrame, work, schema: str) -> DataFrame:
+            """``work`` over the salted rows of each cell, beside what is given for the cell."""
+            right = given.join(large.select("cell", "salts"), "cell").select(F.col("cell").alias("of"), *[c for c in given.columns if c != "cell"], everywhere.alias("part"))
+            left = rows.select(*[F.col(c).alias(c) for c in ("ord", "embedding", "cell", "home", "salt")])
+            return left.groupBy("cell", "salt").cogroup(right.groupBy("of", "part")).applyInArrow(work, schema)
+
+        reach = met(own.where("home"), pivots, _sub_radius(), "cell bigint, sub int, radius double").groupBy("cell", "sub").agg(F.max("radius").alias("radius"))
+        known = cut_lineage(pivots.join(reach, ["cell", "sub"], "left"))
+        counted = met(own, known, _sub_visits(tau, False), "cell bigint, sub int, n_home bigint, n_all bigint")
+        after = counted.groupBy("cell", "sub").agg(F.sum("n_home").alias("n_home"), F.sum("n_all").alias("n_all"))
+        cost = after.groupBy("cell").agg(F.sum(F.col("n_home").cast("double") * F.col("n_all")).alias("after"))
+        judged = cut_lineage(large.join(cost, "cell").withColumn("worth", F.col("after") <= WORTH * F.col("n_home").cast("double") * F.col("n_all")).select("cell", "worth"))
+        kept = judged.where("NOT worth").select("cell")
+        closed = kept if closed is None else cut_lineage(closed.union(kept))
+        chosen = judged.where("worth").select("cell")
+        if chosen.isEmpty():
+            return entries
+        children = met(own.join(chosen, "cell", "left_semi"), known.join(chosen, "cell", "left_semi"), _sub_visits(tau, True), "ord bigint, embedding array<float>, cell bigint, home boolean")
+        entries = cut_lineage(entries.join(chosen, "cell", "left_anti").select("ord", "embedding", "cell", "home").unionByName(children))
+    return entries
+
+
 # Worker functions are closures so that executors need no installed copy of this package.
 
 
+def _angles():
+    """A function for the angles between the rows of two Arrow columns of vectors."""
+
+    def angles(rows, pivots):
+        import numpy as np
+
+        def unit(column, n):
+            x = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            return x / np.where(norm == 0, 1.0, norm)
+
+        return np.arccos(np.clip(unit(rows.column("embedding"), rows.num_rows) @ unit(pivots.column("embedding"), pivots.num_rows).T, -1.0, 1.0))
+
+    return angles
+
+
+def _sub_radius():
+    """Per pivot of a cell, the greatest angle to a home row that is nearest to it."""
+    angles = _angles()
+
+    def run(rows, pivots):
+        import numpy as np
+        import pyarrow as pa
+
+        if not rows.num_rows or not pivots.num_rows:
+            return pa.table({"cell": pa.array([], pa.int64()), "sub": pa.array([], pa.int32()), "radius": pa.array([], pa.float64())})
+        pivots = pivots.sort_by("sub")
+        a = angles(rows, pivots)
+        near = a.argmin(axis=1)
+        radius = np.full(pivots.num_rows, -10.0)
+        np.maximum.at(radius, near, a[np.arange(len(near)), near])
+        kept = np.flatnonzero(radius > -10.0)
+        cell = rows.column("cell")[0].as_py()
+        return pa.table({"cell": pa.array([cell] * len(kept), pa.int64()), "sub": pivots.column("sub").take(pa.array(kept)).cast(pa.int32()), "radius": pa.array(radius[kept])})
+
+    return run
+
+
+def _sub_visits(tau: float, rows_out: bool):
+    """The children that the rows of a cell visit: the rows themselves, or how many there are."""
+    angles = _angles()
+
+    def run(rows, pivots):
+        import numpy as np
+        import pyarrow as pa
+
+        if not rows.num_rows or not pivots.num_rows:
+            empty = {"ord": pa.int64(), "embedding": pa.list_(pa.float32()), "cell": pa.int64(), "home": pa.bool_()} if rows_out else {"cell": pa.int64(), "sub": pa.int32(), "n_home": pa.int64(), "n_all": pa.int64()}
+            return pa.schema(empty).empty_table()
+        pivots = pivots.sort_by("sub")
+        a = angles(rows, pivots)
+        reach = np.array([-10.0 if r is None else r for r in pivots.column("radius").to_pylist()]) + tau + 1e-6
+        # A partner at home in a child is nearest to that child's pivot and within its radius.
+        visit = (a <= reach) & (a <= a.min(axis=1, keepdims=True) + 2 * tau + 1e-6)
+        home = rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        near = a.argmin(axis=1)
+        visit[np.flatnonzero(home), near[home]] = True
+        own = np.zeros_like(visit)
+        own[np.flatnonzero(home), near[home]] = True
+        cell = rows.column("cell")[0].as_py()
+        sub = pivots.column("sub").to_numpy()
+        if not rows_out:
+            return pa.table({"cell": pa.array([cell] * len(sub), pa.int64()), "sub": pa.array(sub.astype(np.int32)), "n_home": pa.array(own.sum(axis=0, dtype=np.int64)), "n_all": pa.array(visit.sum(axis=0, dtype=np.int64))})
+        at, to = np.nonzero(visit)
+        take = pa.array(at)
+        return pa.table({
+            "ord": rows.column("ord").take(take), "embedding": rows.column("embedding").take(take),
+            "cell": pa.array((cell + 1) * 4096 + sub[to].astype(np.int64)), "home": pa.array(own[at, to]),
+        })
+
+    return run
+
+
 def _assign_home(pivots: list):
     def run(batches):
         import numpy as np

@@ -101,9 +101,51 @@ def fragments(spark, d):
                        F.size("codigos_abiertos").cast("bigint").alias("n_codes"))
 
 
+@query
+def text_previews(spark, d):
+    return inp.insights(spark, d).select("id", T.preview(F.col("text"), 50).alias("preview"))
+
+
 # Sources and sinks --------------------------------------------------------------------------
 
 
+@query
+def csv_source(spark, d):
+    """A source sheet as CSV with quotes and line breaks in its cells, its columns checked before anything runs."""
+    path = scratch_path(spark, "sheet")
+    rows = inp.insights_src(spark, d).select("src_ord", "ID", F.regexp_replace("InsightText", "\r", " ").alias("InsightText"), "Method", "Source")
+    rows.write.options(header=True, quoteAll=True, escape='"', nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    sheet = readers.read_table(spark, path, "csv", nullValue="\\N", emptyValue="")
+    contracts.require_columns(sheet, ["ID", "InsightText"])
+    clean = ingest.clean_insights(sheet.withColumn("src_ord", F.col("src_ord").cast("bigint"))).valid
+    return clean.select("src_ord", "id", F.md5("text").alias("text_md5"), "method", "source")
+
+
+@query
+def config_fit(spark, d):
+    """Codes fitted to the seeds of a project configuration, read back from its document; its questions as well."""
+    path = scratch_path(spark, "config")
+    words = inp.seeds(spark, d).groupBy("category_name").agg(F.array_sort(F.collect_list("keyword")).alias("keywords"))
+    seeds = words.agg(F.array_sort(F.collect_list(F.struct("category_name", F.concat(F.lit("on "), "category_name").alias("description"), "keywords"))).alias("seed_categories"))
+    questions = [r.lang for r in inp.table(spark, d, "documents").select("lang").distinct().orderBy("lang").collect() if r.lang]
+    asked = F.array(*map(F.lit, questions)).alias("research_questions")
+    document = seeds.select(F.to_json(F.struct(asked, "seed_categories")).alias("value"))
+    document.coalesce(1).write.text(path)  # one document, as large as a configuration is
+    config = cut_lineage(readers.read_document(spark, path))
+    fit, _ = cat.best_fit_by_keyword(inp.codes(spark, d), readers.seed_keywords(readers.seed_categories(config)), SEED_CUTOFF)
+    asked = readers.research_questions(config).select(F.col("question").alias("code_id"), F.lit("question").alias("category_name"), F.lit(None).cast("double").alias("score"))
+    return fit.select("code_id", "category_name", rounded("score")).union(asked)
+
+
+@query
+def offered_categories(spark, d):
+    """What a categorization prompt offers: the categories known, or the seeds before there are any."""
+    known = cat.merge_by_name(_results(spark, d))[0]
+    seeds = inp.seeds(spark, d).select("category_name", F.lit("a seed").alias("description")).distinct()
+    both = cat.known_or_seeds(known, seeds).withColumn("offered", F.lit("known"))
+    return both.union(cat.known_or_seeds(known.limit(0), seeds).withColumn("offered", F.lit("seeds")))
+
+
 @query
 def jsonl_round_trip(spark, d):
     path = scratch_path(spark, "insights")
@@ -291,8 +333,10 @@ def coding_valid(spark, d):
 
 @query
 def echo_mismatch(spark, d):
+    """Coders that echo the id but, for two rows in three, another text."""
+    told = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(F.col("n_chars"))
     asked = inp.table(spark, d, "documents").select(
-        "doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc "), F.col("n_chars").cast("string")).alias("text")
+        "doc_id", F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("doc "), told.cast("string")).alias("text")
     )
     return contracts.echo_mismatches(asked, _coding_valid(spark, d), "doc_id")
 
@@ -758,6 +802,25 @@ def merge_embedded(spark, d):
     )
 
 
+@query
+def merge_embedded_prior(spark, d):
+    """Labels merged on vectors into a codebook of which some codes have none: those take no part, but their own labels are found."""
+
+    def embedder(texts):
+        return [None if len(t) % 7 == 0 else [float(k == len(t) % 7) for k in range(7)] for t in texts]
+
+    book = _book(spark, d)
+    class_of = F.length("label") % 7
+    vector = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: (k == class_of).cast("float"))
+    book = cut_lineage(book.withColumn("embedding", F.when(F.length("label") % 2 == 0, vector)))
+    labels = inp.codes(spark, d).select("label", "n")
+    merge = cb.merge_labels(labels, book, 0.9, embed=lambda df: model.embed(df, "label", embedder))
+    none = F.lit(None)
+    return merge.label_map.select("label", "code_id", "match_kind", rounded("sim")).union(
+        merge.rejects.select("label", none.cast("string"), "reason", none.cast("double"))
+    )
+
+
 @query
 def categorize_run(spark, d):
     """Categories through a model over the whole codebook, and over some of its codes."""
@@ -932,11 +995,12 @@ def fallback_report(spark, d):
 
 @query
 def report_file(spark, d):
-    """The report as text files: the lines read back, counted."""
+    """The report as text files: the lines read back, each with how often it comes."""
     path = scratch_path(spark, "report")
     rows = report.fallback_report(_sections(spark, d), ["category_id", "section_part"])
     writers.write_report(rows, "report", path)
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("value").startswith("### conv ")).alias("n_sections"))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.groupBy(F.md5("value").alias("line_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -949,9 +1013,9 @@ def synthesis_fallback(spark, d):
 
 @query
 def narrative_blocks(spark, d):
+    pos = (F.length("insight_id") % 3).cast("bigint")
     items = cut_lineage(inp.axial_items(spark, d)).select(
-        "category_id", "component", F.lit(0).cast("bigint").alias("pos"),
-        F.concat(F.lit("On "), "component").alias("description"), "insight_id",
+        "category_id", "component", pos.alias("pos"), F.concat(F.lit("On "), "component", F.lit(" "), pos.cast("string")).alias("description"), "insight_id",
     )
     rows = report.assembled_blocks(items)
     return rows.select("category_id", "component", "block_ord", "title", "part", "text", F.array_join("evidence_ids", ",").alias("ids"))
@@ -1034,7 +1098,7 @@ def _scripted_models(fails: bool) -> study.Models:
 
 def _run_pipeline(spark, d, root, fails):
     templates = study.Templates("{json_input}", "{codes_to_categorize_json}##{codebook_map_json}", "{evidence_json}")
-    return study.run_pipeline(inp.insights(spark, d), root, _scripted_models(fails), templates, KNOWN, QUESTIONS)
+    return study.run_pipeline(inp.insights(spark, d), root, _scripted_models(fails), templates, KNOWN, QUESTIONS, theta=0.95)
 
 
 @query

@@ -360,9 +360,9 @@ ORACLES: dict[str, str] = {
     "response_rejects": sql(["judged"], "SELECT status AS reason, count(*) AS n FROM judged WHERE status <> 'ok' GROUP BY status"),
     "coding_valid": sql(["coding"], "SELECT * FROM coding"),
     "echo_mismatch": sql(["coding"], """
-        SELECT c.doc_id, c.id_fragmento <> CAST(d.doc_id AS VARCHAR) AS id_changed, c.fragmento_original <> 'doc ' || CAST(d.n_chars AS VARCHAR) AS text_changed
+        SELECT c.doc_id, c.id_fragmento <> CAST(d.doc_id AS VARCHAR) AS id_changed, c.fragmento_original <> 'doc ' || CAST(CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id ELSE d.n_chars END AS VARCHAR) AS text_changed
         FROM coding c JOIN documents d ON d.doc_id = c.doc_id
-        WHERE c.id_fragmento <> CAST(d.doc_id AS VARCHAR) OR c.fragmento_original <> 'doc ' || CAST(d.n_chars AS VARCHAR)"""),
+        WHERE c.id_fragmento <> CAST(d.doc_id AS VARCHAR) OR c.fragmento_original <> 'doc ' || CAST(CASE WHEN d.doc_id % 3 = 0 THEN d.doc_id ELSE d.n_chars END AS VARCHAR)"""),
     "record_merge": sql(["coding"], """
         SELECT c.doc_id, d.lang, c.fragmento_original, c.id_fragmento FROM coding c JOIN documents d ON d.doc_id = c.doc_id"""),
     "error_projection": sql(["open_codes"], """
@@ -496,7 +496,7 @@ ORACLES: dict[str, str] = {
         FROM corpus_sections GROUP BY part"""),
     "fallback_report": sql(["report_parts"], "SELECT part, md5(report) AS report_md5, n_sections FROM report_parts"),
     "report_file": sql(["report_parts"], r"""
-        SELECT CAST(sum(len(report) - len(replace(report, E'\n', ''))) AS BIGINT) AS n_lines, CAST(sum(n_sections) AS BIGINT) AS n_sections FROM report_parts"""),
+        SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(left(report, length(report) - 1), E'\n')) AS line FROM report_parts) GROUP BY line"""),
     "synthesis_fallback": sql(["narratives"], """
         SELECT category_id, part, md5(CASE WHEN n_blocks > 3 THEN 'short ' || CAST(n_blocks AS VARCHAR) ELSE 'Error al procesar la categoría: ' || narrative END) AS narrative_md5
         FROM narratives"""),
@@ -504,7 +504,8 @@ ORACLES: dict[str, str] = {
         f"WHEN '{k}' THEN {n + 1}" for n, k in enumerate(report.COMPONENT_TITLES)
     ) + " END AS BIGINT) AS block_ord, CASE component " + " ".join(
         f"WHEN '{k}' THEN {text(v)}" for k, v in report.COMPONENT_TITLES.items()
-    ) + """ END AS title, CAST(0 AS BIGINT) AS part, 'On ' || component AS text, string_agg(insight_id, ',' ORDER BY insight_id) AS ids
+    ) + """ END AS title, CAST(0 AS BIGINT) AS part, string_agg(DISTINCT 'On ' || component || ' ' || CAST(length(insight_id) % 3 AS VARCHAR), ' ' ORDER BY 'On ' || component || ' ' || CAST(length(insight_id) % 3 AS VARCHAR)) AS text,
+          string_agg(insight_id, ',' ORDER BY insight_id) AS ids
         FROM axial_items GROUP BY category_id, component"""),
     "cluster_rollup": sql(["categories", "category_codes", "clusters"], """
         SELECT coalesce(k.cluster, 'unassigned') AS cluster, CAST(coalesce(k.cluster_ord, 99) AS BIGINT) AS cluster_ord, count(DISTINCT g.category_id) AS n_categories,
@@ -518,6 +519,20 @@ ORACLES: dict[str, str] = {
         SELECT 'insights' AS phase, count(*) AS n FROM documents UNION ALL SELECT 'codes', count(*) FROM codes UNION ALL
         SELECT 'categories', count(*) FROM categories UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'narratives', count(*) FROM narratives"""),
     "study_run": study_run(),
+    "text_previews": "SELECT CAST(doc_id AS VARCHAR) AS id, left(text, 50) AS preview FROM documents",
+    "csv_source": sql(["clean"], r"""
+        SELECT src_ord, id, md5(regexp_replace(regexp_replace(text, '\r', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5, method, source FROM clean"""),
+    "config_fit": sql(["seed_fit"], """
+        SELECT code_id, category_name, round(score, 6) AS score FROM seed_fit UNION ALL SELECT DISTINCT lang, 'question', CAST(NULL AS DOUBLE) FROM documents WHERE lang IS NOT NULL"""),
+    "offered_categories": sql(["category_numbers", "seeds"], """
+        SELECT category_name, coalesce(description, '') AS description, 'known' AS offered FROM category_numbers
+        UNION ALL SELECT DISTINCT category_name, 'a seed', 'seeds' FROM seeds"""),
+    "merge_embedded_prior": sql(["codes"], """
+        SELECT k.label, CASE WHEN k.n > 1 THEN k.code_id WHEN length(k.label) % 7 > 0 THEN coalesce(o.code_id, 'code_' || substr(sha256(f.label), 1, 32)) END AS code_id,
+          CASE WHEN k.n > 1 THEN 'exact' WHEN length(k.label) % 7 = 0 THEN 'no_embedding' WHEN o.code_id IS NULL AND k.label = f.label THEN 'new' ELSE 'similar' END AS match_kind,
+          CASE WHEN k.n = 1 AND length(k.label) % 7 > 0 AND (o.code_id IS NOT NULL OR k.label <> f.label) THEN 1.0::DOUBLE END AS sim
+        FROM codes k LEFT JOIN (SELECT length(label) % 7 AS c, arg_min(code_id, label) AS code_id FROM codes WHERE n > 1 AND length(label) % 2 = 0 GROUP BY 1) o ON o.c = length(k.label) % 7
+        LEFT JOIN (SELECT length(label) % 7 AS c, min(label) AS label FROM codes WHERE n = 1 GROUP BY 1) f ON f.c = length(k.label) % 7"""),
     "embed_retry": """
         SELECT doc_id, CASE WHEN n % 13 <> 0 AND n % 7 <> 0 AND n % 11 <> 0 THEN CAST(n AS DOUBLE) END AS first,
           CASE WHEN n % 13 = 0 THEN 'TimeoutError: later' WHEN n % 7 = 0 THEN 'ValueError: never' END AS error

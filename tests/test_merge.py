@@ -179,3 +179,49 @@ def test_theta_must_be_positive(spark):
     items = spark.createDataFrame([(0, "abc")], "ord long, label string")
     with pytest.raises(ValueError):
         GramSpace.build(items, 0.0)
+
+
+def in_cells(space):
+    return {r.cell: r.n for r in space.entries.filter("home").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+@pytest.mark.parametrize("theta", [0.97, 0.9])
+def test_large_cells_are_split_and_lose_no_pair(spark, theta):
+    x = clustered(900, 6, 40, 0.15, seed=8)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>").repartition(5)
+    space = VectorSpace.build(items, theta, rows_per_block=32, max_cells=2, rows_per_cell=60)
+    sizes = in_cells(space)
+    assert sum(sizes.values()) == 900 and len(sizes) > 10 and max(sizes) >= 4096 and max(sizes.values()) <= 60
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit.astype(float) @ unit.T.astype(float)
+    near = {(i, j) for i in range(900) for j in range(i) if sims[i, j] >= theta + 1e-6}
+    found = {(r.i, r.j) for r in space.match(space.entries, space.entries).select("i", "j").distinct().collect()}
+    assert near <= found and all(sims[i, j] >= theta - 1e-6 for i, j in found) and len(near) > 100
+    to = one_by_one(x, theta)
+    assert sorted(r[0] for r in ld.greedy_leaders(space, space.entries).collect()) == [i for i, t in enumerate(to) if t == i]
+
+
+def test_what_angles_cannot_part_stays_whole(spark):
+    rng = np.random.default_rng(5)
+    for x, theta in ((np.ones((200, 4)), 0.9), (rng.normal(size=(200, 4)), 0.05)):
+        items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "ord long, embedding array<float>")
+        space = VectorSpace.build(items, theta, rows_per_block=300, rows_per_cell=50)
+        assert in_cells(space) == {0: 200} and space.entries.count() == 200
+
+
+def test_heads_of_a_cell_are_ranked_in_slices(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("ord"), F.lit("hot").alias("cell"), (F.col("id") % 10 != 3).alias("home"))
+    rows = rows.union(spark.createDataFrame([(-5, "cold", True)], "ord long, cell string, home boolean"))
+    for k in (3, 2000):
+        got = ld.first_of_cells(rows, k).orderBy("cell", "_n").collect()
+        expected = [n for n in range(100_000) if n % 10 != 3][:k]
+        assert [(r.cell, r.ord, r._n) for r in got] == [("cold", -5, 1), *(("hot", n, at + 1) for at, n in enumerate(expected))]
+
+
+@pytest.mark.parametrize("rows_per_salt", [3, 7])
+def test_hot_grams_are_cut_on_both_sides(spark, rows_per_salt):
+    labels = [f"{a}{b}{c}ing" for a in "abcdef" for b in "uvw" for c in "xyz"]
+    items = spark.createDataFrame(list(enumerate(labels)), "ord long, label string")
+    whole, cut = GramSpace.build(items, 0.5), GramSpace.build(items, 0.5, rows_per_salt)
+    pairs = lambda s: sorted((r.i, r.j, round(r.sim, 9)) for r in s.match(s.entries, s.entries).distinct().collect())
+    assert pairs(cut) == pairs(whole) and max(r.salts for r in cut.entries.collect()) > 1
