@@ -6,7 +6,8 @@ forward score, the token count and the vocabulary pieces under way are worked ou
 whole pre-tokens are kept and summed per document.
 
 Edge cases: null and empty texts and those of white space have no tokens; a character without a piece counts as its UTF-8 bytes (byte fallback);
-among segmentations of equal score the one with fewer tokens counts; very long words need one trie node at a time per character; repeated rows count alike;
+among segmentations of equal score the one with fewer tokens counts; of very long words (unspaced scripts, encoded data) the first ``SHARED`` characters are
+laid out as trie nodes, the rest is gone through with the last node alone; repeated rows count alike;
 null ids pass through; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,10 +20,12 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from codeloom.llm.common import text_bytes
+from codeloom.llm.common import LONGEST_KEPT, text_bytes
 
 MARK = "▁"
 COUNTS_KEPT = 500_000
+#: Characters of a pre-token whose scores are kept for the next one, at most.
+SHARED = 256
 ROWS_AT_ONCE = 4_000
 #: How much worse than the rarest piece a character without a piece is.
 UNKNOWN_PENALTY = 10.0
@@ -48,14 +51,16 @@ class Unigram:
         scores, tokens, under_way = [0.0], [0], [[(0.0, 0, root)]]
         last = ""
         for word in sorted(words):
-            shared, most = 0, min(len(last), len(word))
+            shared, most = 0, min(len(last), len(word), SHARED)
             while shared < most and last[shared] == word[shared]:
                 shared += 1
             del scores[shared + 1 :], tokens[shared + 1 :], under_way[shared + 1 :]
-            for c in word[shared:]:
-                best, fewest = scores[-1] + unknown, tokens[-1] + len(c.encode())
+            best, fewest, here = scores[-1], tokens[-1], under_way[-1]
+            for k in range(shared, len(word)):
+                c = word[k]
+                best, fewest = best + unknown, fewest + len(c.encode())
                 going = []
-                for score, n, node in under_way[-1]:
+                for score, n, node in here:
                     entry = node.get(c)
                     if entry is None:
                         continue
@@ -67,9 +72,11 @@ class Unigram:
                     if further:
                         going.append((score, n, further))
                 going.append((best, fewest, root))
-                scores.append(best), tokens.append(fewest), under_way.append(going)
-            out[word] = tokens[-1]
-            last = word
+                here = going
+                if k < SHARED:
+                    scores.append(best), tokens.append(fewest), under_way.append(going)
+            out[word] = fewest
+            last = word[:SHARED]
         return out
 
 
@@ -86,7 +93,7 @@ def load(path: str) -> Unigram:
 
 
 class Counter:
-    """Counts per document, with the counts of at most ``kept`` pre-tokens remembered between batches."""
+    """Counts per document, with the counts of at most ``kept`` pre-tokens, none of them long, remembered between batches."""
 
     def __init__(self, unigram: Unigram, kept: int = COUNTS_KEPT):
         self.unigram, self.kept, self.known = unigram, kept, {}
@@ -97,9 +104,9 @@ class Counter:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.kept:
             self.known, new = {}, words
-        found = self.unigram.counts([MARK + w.decode() for w in new])
-        self.known.update((w[1:].encode(), n) for w, n in found.items())
-        get = self.known.__getitem__
+        found = {w[1:].encode(): n for w, n in self.unigram.counts([MARK + w.decode() for w in new]).items()}
+        self.known.update((w, n) for w, n in found.items() if len(w) <= LONGEST_KEPT)
+        get = lambda w: found[w] if w in found else self.known[w]
         return [(len(own), sum(map(get, own))) for own in (t.split() for t in texts)]
 
 
