@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import Memo, fresh, released, small_batches, text_bytes
@@ -40,6 +40,8 @@ WINDOW = 13
 AGREE = 0.8
 BITS = 24
 KEPT = 300_000
+#: Lines of a run that are tried first, and how many times more each further round tries.
+LINES_AT_ONCE, GROWTH = 8, 8
 TOKEN = re.compile(r"[^\W_]+")
 _U = np.uint64
 
@@ -212,37 +214,69 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+class _Search:
+    """The stretches of documents that can overlap a test item, and the lines along which they do."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, bits: int):
+        self.items = cut_lineage(_items(benchmark, item_col, item_text))
+        test = cut_lineage(_test_seeds(self.items))
+        small = F.when(F.size("item") < WINDOW, F.size("item"))
+        lengths = self.items.agg(F.collect_set(small).alias("short")).first().short  # fewer than WINDOW values
+        context = docs.sparkSession.sparkContext
+        table, short = context.broadcast(_bit_table(test, bits)), context.broadcast(tuple(sorted(lengths)))
+        self.found = cut_lineage(_candidates(docs, table, short, 2 * WINDOW + LONGEST, id_col, text_col))
+        self.stretches = self.found.select("text_key", "first", "tokens", "runs").dropDuplicates(["text_key", "first"])
+        self.runs = self.stretches.select("text_key", "first", F.explode("runs").alias("r")).select("text_key", "first", "r.*")
+        known = self.runs.groupBy("run_key").agg(F.first("hashes").alias("hashes")).select("run_key", F.posexplode("hashes").alias("k", "hash"))
+        self.lines = known.join(test, "hash").select("run_key", "item_key", (F.col("k") - F.col("place")).alias("shift")).distinct()
+
+    def verified(self, lines: DataFrame, runs: DataFrame) -> DataFrame:
+        """``text_key, item_key, at, agreeing, compared`` of the diagonals that ``lines`` put through ``runs``, where enough tokens agree."""
+        offset = (F.col("place") + F.col("shift")).alias("offset")
+        diagonals = runs.select("text_key", "first", "run_key", "place").join(lines, "run_key").select("text_key", "first", "item_key", offset).distinct()
+        texts = self.items.select("item_key", "item").dropDuplicates(["item_key"])
+        pairs = diagonals.join(self.stretches.select("text_key", "first", "tokens"), ["text_key", "first"]).join(texts, "item_key")
+        return pairs.mapInArrow(_verified, "text_key string, item_key string, at bigint, agreeing bigint, compared bigint")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", bits: int = BITS) -> DataFrame:
     """``<id_col>, text_key, <item_col>, at, agreeing, compared``: verified overlaps, the best of each document and item.
 
     ``at`` is the token of the document where the compared stretch begins; ``text_key`` is ``md5(text)``.
     """
-    items = cut_lineage(_items(benchmark, item_col, item_text))
-    test = cut_lineage(_test_seeds(items))
-    small = F.when(F.size("item") < WINDOW, F.size("item"))
-    lengths = items.agg(F.collect_set(small).alias("short")).first().short  # fewer than WINDOW values
-    context = docs.sparkSession.sparkContext
-    table, short = context.broadcast(_bit_table(test, bits)), context.broadcast(tuple(sorted(lengths)))
-    found = cut_lineage(_candidates(docs, table, short, 2 * WINDOW + LONGEST, id_col, text_col))
-
-    stretches = found.select("text_key", "first", "tokens", "runs").dropDuplicates(["text_key", "first"])
-    runs = stretches.select("text_key", "first", F.explode("runs").alias("r")).select("text_key", "first", "r.*")
-    known = runs.groupBy("run_key").agg(F.first("hashes").alias("hashes")).select("run_key", F.posexplode("hashes").alias("k", "hash"))
-    lines = known.join(test, "hash").select("run_key", "item_key", (F.col("k") - F.col("place")).alias("shift")).distinct()
-    diagonals = runs.select("text_key", "first", "run_key", "place").join(lines, "run_key").select("text_key", "first", "item_key", (F.col("place") + F.col("shift")).alias("offset")).distinct()
-    texts = items.select("item_key", "item").dropDuplicates(["item_key"])
-    pairs = diagonals.join(stretches.select("text_key", "first", "tokens"), ["text_key", "first"]).join(texts, "item_key")
-    checked = pairs.mapInArrow(_verified, "text_key string, item_key string, at bigint, agreeing bigint, compared bigint")
+    search = _Search(docs, benchmark, id_col, text_col, item_col, item_text, bits)
     rank = F.struct((-F.col("agreeing")).alias("r"), "at", "agreeing", "compared")
-    best = checked.groupBy("text_key", "item_key").agg(F.min(rank).alias("b"))
-    named = best.join(items.select("item_id", "item_key"), "item_key")
-    hit = found.select("doc", "text_key").join(named, "text_key")
+    best = search.verified(search.lines, search.runs).groupBy("text_key", "item_key").agg(F.min(rank).alias("b"))
+    named = best.join(search.items.select("item_id", "item_key"), "item_key")
+    hit = search.found.select("doc", "text_key").join(named, "text_key")
     return hit.select(F.col("doc").alias(id_col), "text_key", F.col("item_id").alias(item_col), "b.at", "b.agreeing", "b.compared").distinct()
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", bits: int = BITS, lines_at_once: int = LINES_AT_ONCE) -> DataFrame:
+    """``<id_col>, text_key`` of the documents that overlap any item.
+
+    One item is enough, so each run of hits is held against a few of its lines at first, and against more in later rounds only in texts that have
+    not overlapped yet. A passage that many documents and many items share thus costs a document few comparisons and not one per item.
+    """
+    search = _Search(docs, benchmark, id_col, text_col, item_col, item_text, bits)
+    # As many rows as the benchmark's items have seeds at most, numbered by run.
+    place = F.row_number().over(Window.partitionBy("run_key").orderBy(F.xxhash64("item_key"), "item_key", "shift"))
+    lines = cut_lineage(search.lines.withColumn("n", place))
+    most = lines.agg(F.max("n")).first()[0] or 0
+    left, bad, done = search.runs, None, 0
+    while done < most:
+        upto = done * GROWTH if done else max(1, lines_at_once)
+        own = search.verified(lines.where((F.col("n") > done) & (F.col("n") <= upto)).drop("n"), left).select("text_key").distinct()
+        own = cut_lineage(own)
+        bad = own if bad is None else bad.unionByName(own)
+        left, done = cut_lineage(left.join(own, "text_key", "left_anti")), upto
+    rows = search.found.select(F.col("doc").alias(id_col), "text_key").distinct()
+    return rows.limit(0) if bad is None else rows.join(bad, "text_key", "left_semi")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` without those that overlap a benchmark item."""
     bad_id, bad_key = fresh("_bad_id", *docs.columns), fresh("_bad_key", *docs.columns)
-    found = overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias(bad_id), F.col("text_key").alias(bad_key)).distinct()
+    found = contaminated(docs.select(id_col, text_col), benchmark, id_col, text_col).select(F.col(id_col).alias(bad_id), F.col("text_key").alias(bad_key))
     on = F.col(id_col).eqNullSafe(F.col(bad_id)) & (F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")) == F.col(bad_key))
     return docs.join(found, on, "left_anti")

@@ -100,3 +100,18 @@ def test_short_items_with_substitutions(spark):
         docs += [(len(docs), " ".join(text.split()[1:])), (len(docs) + 1, " ".join(text.split()[:-2]))]
     found = decontam.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in found} == plain(docs, items)
+
+
+def test_a_passage_that_many_documents_and_items_share(spark):
+    """Whether a document overlaps any item does not take a comparison with every item that has the passage."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    items = [(k, f"own{k} start{k} " + passage + f" end{k}") for k in range(40)] + [(100, " ".join(f"q{k}" for k in range(20)))]
+    near = " ".join(f"p{k}" if k % 3 else f"x{k}" for k in range(20))  # a seed may match, too few tokens agree
+    docs = [(k, f"before{k} " + (passage if k % 4 else near) + f" after{k}") for k in range(60)] + [(100, " ".join(f"q{k}" for k in range(15))), (101, None)]
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    bad = {d for d, _ in plain(docs, items)}
+    assert bad == {100, *(k for k in range(60) if k % 4)}
+    for at_once in (1, 2, 8, 64):
+        assert {r.doc_id for r in decontam.contaminated(frame, tests, lines_at_once=at_once).collect()} == bad
+    assert {r.doc_id for r in decontam.clean(frame, tests).collect()} == {d for d, _ in docs} - bad
+    assert decontam.contaminated(frame, tests.limit(0)).collect() == decontam.contaminated(frame.limit(0), tests).collect() == []
