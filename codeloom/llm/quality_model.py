@@ -97,7 +97,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     follows = np.zeros(n, dtype=np.float32)
     follows[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
     pairs = hashes.copy()
-    pairs[:-1] = hashes[:-1] * np.uint64(31) + hashes[1:]
+    pairs[:-1] = np.where(doc[:-1] == doc[1:], hashes[:-1] * np.uint64(31) + hashes[1:], hashes[:-1])  # a text's last word has no partner
     out[full, SHAPES] = 1 - mean(met_before(hashes, part))
     out[full, SHAPES + 1] = mean(follows)
     out[full, SHAPES + 2] = mean(met_before(pairs, doc))

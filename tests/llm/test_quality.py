@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -102,3 +103,53 @@ def test_classifier_on_odd_rows(spark, odd_docs, no_docs):
         rows = quality_model.score(odd_docs, model).collect()
         assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
         assert quality_model.score(no_docs, model).collect() == []
+
+
+def plain_passages(text):
+    """Features of a text's passages, word by word."""
+    import xxhash
+
+    words = text.split()
+    out = []
+    for at in range(0, max(1, len(words)), quality_model.PASSAGE):
+        own = words[at : at + quality_model.PASSAGE]
+        row = np.zeros(quality_model.FEATURES)
+        if own:
+            shapes = np.zeros(quality_model.SHAPES)
+            for w in own:
+                letters, upper, digits = sum(map(str.isalpha, w)), sum(map(str.isupper, w)), sum(map(str.isdigit, w))
+                symbols = len(re.findall(r"[#*$%&|<>{}\[\]\\/=_~^]", w))
+                shapes += [len(w), letters, upper, digits, symbols, len(w) - letters - digits - symbols, letters > 0 and upper == letters, w[0].isupper(), w[-1] in ".!?"]
+            shapes /= len(own)
+            shapes[0] = min(shapes[0], 50) / 10
+            shapes[1:6] /= max(shapes[1:6].sum(), 1e-6)
+            row[: quality_model.SHAPES] = shapes
+            pairs = [(words[k], words[k + 1] if k + 1 < len(words) else None) for k in range(len(words))]
+            n = quality_model.SHAPES
+            row[n] = len(set(own)) / len(own)
+            row[n + 1] = sum(k > 0 and words[k] == words[k - 1] for k in range(at, at + len(own))) / len(own)
+            row[n + 2] = sum(pairs[k] in pairs[:k] for k in range(at, at + len(own))) / len(own)
+            row[n + 3] = np.log1p(len(own)) / 4
+            for w in own:
+                row[n + 5 + xxhash.xxh64_intdigest(w.encode()) % quality_model.HASHED] += 1 / len(own)
+        row[quality_model.SHAPES + 4] = np.log1p(len(words)) / 10
+        out.append(row)
+    return out
+
+
+def test_classifier_equals_brute_force():
+    r = random.Random(12)
+    model = quality_model.Model(3)
+    model.mean, model.spread = np.full(quality_model.FEATURES, 0.1, np.float32), np.full(quality_model.FEATURES, 0.5, np.float32)
+    words = ["The", "cat", "sat.", "ALL", "CAPS", "3.14", "a#b", "été", "end!", "x", "foo_bar", "long" * 9]
+    texts = ["", "one", *(" ".join(r.choices(words, k=n)) for n in (5, 63, 64, 65, 150, 300))]
+    k = {n: w.astype(float) for n, w in model.weights.items()}
+    for text, got in zip(texts, model.scores([t.encode() for t in texts])):
+        encoded, pull = [], []
+        for x in plain_passages(text):
+            h = np.tanh(np.clip((x - 0.1) / 0.5, -6, 6) @ k["w"] + k["w0"])
+            encoded.append(h)
+            pull.append((np.tanh(h @ k["v"]) / (1 + np.exp(-(h @ k["u"])))) @ k["a"])
+        weight = np.exp(pull) / np.exp(pull).sum()
+        mean = sum(a * h for a, h in zip(weight, encoded))
+        assert got == pytest.approx(1 / (1 + np.exp(-(mean @ k["c"] + k["c0"][0]))), abs=2e-4), text[:40]
