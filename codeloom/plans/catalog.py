@@ -29,7 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
 LABEL_THETA = 0.65
-SEED_CUTOFF = 0.5
+SEED_CUTOFF = 0.65
 CODING_TEMPLATE = "Code the actions in this fragment. Answer as {{\"codigos_abiertos\": [...]}}.\n{json_input}\n"
 CATEGORY_TEMPLATE = (
     "Questions:\n{research_questions}\nKnown: {seed_categories_json}\nCodes: {codebook_map_json}\n"
