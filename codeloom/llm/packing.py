@@ -79,13 +79,17 @@ def word_tokenizer(path: str) -> WordTokenizer:
 PIECE = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, piece, start, length, ids_crc32``: the pieces of every document."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_tables: bool = False) -> DataFrame:
+    """``<id_col>, piece, start, length, ids_crc32``: the pieces of every document.
+
+    ``keep_tables``: workers keep what they know of short chunks from task to task (some 120 MB at most) instead of emptying it.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(vocabulary)
-        yield from released(cut_with(tokenizer, batches), tokenizer.chunks.clear, tokenizer.pre_tokens.clear)
+        forget = () if keep_tables else (tokenizer.chunks.clear, tokenizer.pre_tokens.clear)
+        yield from released(cut_with(tokenizer, batches), *forget)
 
     def cut_with(tokenizer: WordTokenizer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
@@ -158,5 +162,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -
     return dealt.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return pack(pieces(docs, vocabulary, capacity, id_col, text_col), capacity, open_bins)
+def pack_documents(
+    docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, id_col: str = "doc_id", text_col: str = "text", keep_tables: bool = False
+) -> DataFrame:
+    return pack(pieces(docs, vocabulary, capacity, id_col, text_col, keep_tables), capacity, open_bins)

@@ -30,7 +30,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), keep_tables=True)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
