@@ -12,11 +12,13 @@ shared cell; callers aggregate.
   grams cannot reach theta on their own. Stays in the JVM.
 * :class:`VectorSpace` - dense vectors. Cells are the nearest of a bounded number of pivot
   vectors; an item visits the cells the triangle inequality of angles cannot rule out. A cell
-  above a row limit is split by pivots of its own, in the same way and level by level, wherever
-  that saves comparisons. The products are NumPy blocks of bounded size.
+  above a row limit is split by pivots of its own, in the same way and level by level. Both only
+  where it saves half of the comparisons and repeats items a bounded number of times on average:
+  where the angles rule out too little, all items stay in one cell. The products are NumPy tiles.
 
 Hot cells are split: both sides of a cell are cut into as many parts as its count needs, and every
-part of one side meets every part of the other in a task of its own.
+part of one side meets every part of the other in a task of its own. Of vectors the parts grow with
+the cell up to a size in bytes, so rows are repeated about as often whatever the number of items.
 """
 
 from __future__ import annotations
@@ -40,6 +42,11 @@ ROWS_PER_SALT = 50_000
 FAN = 32
 LEVELS = 3
 WORTH = 0.5
+# Entries of a space of vectors, per item, at most: cells that would repeat items more often are not made.
+REPEATS = 8
+# Parts per side of a cell, while they are smaller than BLOCK_BYTES of 64-bit numbers.
+PARTS = 8
+BLOCK_BYTES = 32 << 20
 
 
 def _check_theta(theta: float) -> None:
@@ -132,41 +139,50 @@ class VectorSpace:
     theta: float
     rows_per_block: int = 1024
     first_heads: int = 1024
+    most_rows: int = 1024
 
     @classmethod
     def build(
         cls, items: DataFrame, theta: float, rows_per_block: int = 1024, max_cells: int = 1024, rows_per_cell: int | None = None
     ) -> "VectorSpace":
-        """``items``: ``ord bigint, embedding array<float>`` with non-empty vectors of one size.
+        """``items``: ``ord bigint, embedding array<float>`` with non-empty vectors of one size; those with a ``home`` of false are only probes.
 
         A cell of more than ``rows_per_cell`` items (16 blocks, if not given) is split.
         """
         limit = rows_per_cell or 16 * rows_per_block
         _check_theta(theta)
-        items = items.select("ord", F.col("embedding").cast("array<float>").alias("embedding"))
-        n_cells = max(1, min(max_cells, math.ceil(items.count() / rows_per_block)))
+        home = F.col("home") if "home" in items.columns else F.lit(True)
+        items = items.select("ord", F.col("embedding").cast("array<float>").alias("embedding"), home.alias("home"))
+        seen = items.agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("n_home")).first()
+        n_cells = max(1, min(max_cells, math.ceil(seen.n_home / rows_per_block)))
         # Pivots: a repeatable pick, at most max_cells vectors on the driver.
-        rows = items.orderBy(F.xxhash64("ord"), "ord").limit(n_cells).select("embedding").collect()
-        if len(rows) <= 1:
-            entries = items.select("ord", "embedding", F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"))
-            return cls(_split_cells(cut_lineage(entries), theta, limit), theta, rows_per_block)
-        pivots = [r[0] for r in rows]
-        homes = cut_lineage(items.mapInArrow(_assign_home(pivots), "ord bigint, embedding array<float>, cell int, angle double"))
-        radius = dict(homes.groupBy("cell").agg(F.max("angle")).collect())  # one row per pivot
-        visits = homes.mapInArrow(
-            _visit_cells(pivots, radius, math.acos(theta)), "ord bigint, embedding array<float>, cell int, home boolean"
-        )
-        entries = cut_lineage(visits.withColumn("cell", F.col("cell").cast("bigint")))
-        return cls(_split_cells(entries, theta, limit), theta, rows_per_block)
+        rows = items.where("home").orderBy(F.xxhash64("ord"), "ord").limit(n_cells).select("embedding").collect()
+        dim = max([len(r[0] or ()) for r in rows], default=0) or 1
+        pivots, entries = [r[0] for r in rows], None
+        if len(rows) > 1:
+            homes = cut_lineage(items.mapInArrow(_assign_home(pivots), "ord bigint, embedding array<float>, home boolean, cell int, angle double"))
+            radius = dict(homes.where("home").groupBy("cell").agg(F.max("angle")).collect())  # one row per pivot
+            visits = _visit_cells(pivots, radius, math.acos(theta))
+            counts = homes.mapInArrow(visits(False), "cell int, n_home bigint, n_all bigint").groupBy("cell").agg(F.sum("n_home").alias("n_home"), F.sum("n_all").alias("n_all"))
+            cost = counts.agg(F.sum("n_all").alias("rows"), F.sum(F.col("n_home").cast("double") * F.col("n_all")).alias("pairs")).first()
+            if cost.rows <= REPEATS * seen.n and cost.pairs <= WORTH * seen.n_home * seen.n:
+                entries = homes.mapInArrow(visits(True), "ord bigint, embedding array<float>, cell int, home boolean").withColumn("cell", F.col("cell").cast("bigint"))
+        if entries is None:
+            entries = items.select("ord", "embedding", F.lit(0).cast("bigint").alias("cell"), "home")
+        return cls(_split_cells(cut_lineage(entries), theta, limit, seen.n), theta, rows_per_block, most_rows=max(rows_per_block, BLOCK_BYTES // (8 * dim)))
 
     def match(self, probe: DataFrame, index: DataFrame, best: bool = False) -> DataFrame:
         index = index.filter("home")
 
-        def blocks(df: DataFrame, name: str) -> DataFrame:
-            return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / self.rows_per_block).cast("int").alias(name))
+        def parts(n: str):
+            side = F.least(F.greatest(F.ceil(F.col(n) / PARTS), F.lit(self.rows_per_block)), F.lit(self.most_rows))
+            return F.ceil(F.col(n) / side).cast("int")
+
+        def counted_in(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
 
         # One row per cell, and the number of cells is bounded by construction.
-        sizes = F.broadcast(blocks(probe, "salts").join(blocks(index, "chunks"), "cell"))
+        sizes = counted_in(probe, "n_i").join(counted_in(index, "n_j"), "cell").select("cell", parts("n_i").alias("salts"), parts("n_j").alias("chunks"))
 
         def own(n: str):
             return F.pmod(F.xxhash64("ord"), F.col(n)).cast("int")
@@ -174,24 +190,17 @@ class VectorSpace:
         def every(n: str):
             return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-        def placed(df: DataFrame, side: str, salt, chunk) -> DataFrame:
-            features = [F.col("ord").alias("ord" + side), F.col("embedding").alias("vec" + side)]
-            block = [F.col("cell").alias("cell" + side), salt.alias("salt" + side), chunk.alias("chunk" + side)]
-            return df.join(sizes, "cell").select(*features, *block)
-
-        left = placed(probe, "_i", own("salts"), every("chunks"))
-        right = placed(index, "_j", every("salts"), own("chunks"))
-        found = (
-            left.groupBy("cell_i", "salt_i", "chunk_i")
-            .cogroup(right.groupBy("cell_j", "salt_j", "chunk_j"))
-            .applyInArrow(_block_product(self.theta, best), "i bigint, j bigint, sim double")
-        )
+        def placed(df: DataFrame, probes: bool, salt, chunk) -> DataFrame:
+            return df.join(F.broadcast(sizes), "cell").select("ord", "embedding", F.lit(probes).alias("probes"), "cell", salt.alias("salt"), chunk.alias("chunk"))
+
+        sides = placed(probe, True, own("salts"), every("chunks")).unionByName(placed(index, False, every("salts"), own("chunks")))
+        found = sides.groupBy("cell", "salt", "chunk").applyInArrow(_block_product(self.theta, best), "i bigint, j bigint, sim double")
         return best_match(found) if best else found
 
 
-def _split_cells(entries: DataFrame, theta: float, limit: int, levels: int = LEVELS) -> DataFrame:
+def _split_cells(entries: DataFrame, theta: float, limit: int, n_items: int, levels: int = LEVELS) -> DataFrame:
     """The entries with every cell of more than ``limit`` home rows split by up to ``FAN`` of its own rows as pivots, as long as that
-    leaves at most ``WORTH`` of the cell's comparisons. A cell of copies, or one that the angles rule nothing out of, stays whole; its
+    leaves at most ``WORTH`` of the cell's comparisons and the entries stay below ``REPEATS`` times the items. A cell of copies, or one that the angles rule nothing out of, stays whole; its
     products go in blocks of bounded size as any cell's.
 
     The child ``k`` of cell ``c`` is numbered ``(c + 1) * 4096 + k``.
@@ -224,8 +233,12 @@ def _split_cells(entries: DataFrame, theta: float, limit: int, levels: int = LEV
         known = cut_lineage(pivots.join(reach, ["cell", "sub"], "left"))
         counted = met(own, known, _sub_visits(tau, False), "cell bigint, sub int, n_home bigint, n_all bigint")
         after = counted.groupBy("cell", "sub").agg(F.sum("n_home").alias("n_home"), F.sum("n_all").alias("n_all"))
-        cost = after.groupBy("cell").agg(F.sum(F.col("n_home").cast("double") * F.col("n_all")).alias("after"))
-        judged = cut_lineage(large.join(cost, "cell").withColumn("worth", F.col("after") <= WORTH * F.col("n_home").cast("double") * F.col("n_all")).select("cell", "worth"))
+        cost = after.groupBy("cell").agg(F.sum(F.col("n_home").cast("double") * F.col("n_all")).alias("after"), F.sum("n_all").alias("visits"))
+        worth = F.col("after") <= WORTH * F.col("n_home").cast("double") * F.col("n_all")
+        judged = cut_lineage(large.join(cost, "cell").withColumn("worth", worth).select("cell", "worth", "n_all", "visits"))
+        n, added = entries.count(), judged.where("worth").agg(F.sum(F.col("visits") - F.col("n_all"))).first()[0] or 0
+        if n + added > REPEATS * n_items:  # too much for all: each cell may grow as much as the whole
+            judged = judged.withColumn("worth", F.col("worth") & (F.col("visits") <= REPEATS * n_items / n * F.col("n_all")))
         kept = judged.where("NOT worth").select("cell")
         closed = kept if closed is None else cut_lineage(closed.union(kept))
         chosen = judged.where("worth").select("cell")
@@ -312,85 +325,137 @@ def _sub_visits(tau: float, rows_out: bool):
     return run
 
 
-def _assign_home(pivots: list):
-    def run(batches):
+def _angles_to(pivots: list):
+    """A function for the angles between the rows of an Arrow batch, so many at a time, and the pivots: slices and their angles."""
+
+    def angles(batches, rows=256):
         import numpy as np
-        import pyarrow as pa
 
         p = np.asarray(pivots, dtype=np.float64)
         norm = np.linalg.norm(p, axis=1, keepdims=True)
         p /= np.where(norm == 0, 1.0, norm)
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            angle = np.arccos(np.clip((x / np.where(norm == 0, 1.0, norm)) @ p.T, -1.0, 1.0))
-            cell = angle.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("ord"), b.column("embedding"), pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])],
-                names=["ord", "embedding", "cell", "angle"],
-            )
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                b = batch.slice(at, rows)
+                x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                yield b, np.arccos(np.clip((x / np.where(norm == 0, 1.0, norm)) @ p.T, -1.0, 1.0))
 
-    return run
+    return angles
 
 
-def _visit_cells(pivots: list, radius: dict, tau: float):
+def _assign_home(pivots: list):
+    angles = _angles_to(pivots)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        p = np.asarray(pivots, dtype=np.float64)
-        norm = np.linalg.norm(p, axis=1, keepdims=True)
-        p /= np.where(norm == 0, 1.0, norm)
-        reach = np.array([radius.get(c, -10.0) for c in range(len(p))]) + tau + 1e-6
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            norm = np.linalg.norm(x, axis=1, keepdims=True)
-            angle = np.arccos(np.clip((x / np.where(norm == 0, 1.0, norm)) @ p.T, -1.0, 1.0))
-            home = b.column("cell").to_numpy()
-            # A partner at home in c is within radius_c of its pivot, and nearer to it than to ours.
-            visit = (angle <= reach) & (angle <= angle.min(axis=1, keepdims=True) + 2 * tau + 1e-6)
-            visit[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(visit)
-            take = pa.array(row)
+        for b, angle in angles(batches):
+            cell = angle.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
-                [b.column("ord").take(take), b.column("embedding").take(take), pa.array(cell, pa.int32()), pa.array(cell == home[row])],
-                names=["ord", "embedding", "cell", "home"],
+                [b.column("ord"), b.column("embedding"), b.column("home"), pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])],
+                names=["ord", "embedding", "home", "cell", "angle"],
             )
 
     return run
 
 
-def _block_product(theta: float, best: bool):
-    def run(left, right):
+def _visit_cells(pivots: list, radius: dict, tau: float):
+    """The cells that rows visit, for ``rows_out``: the rows themselves, or how many there are."""
+    angles = _angles_to(pivots)
+
+    def work(rows_out: bool):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            cells = range(len(pivots))
+            reach = np.array([radius.get(c, -10.0) for c in cells]) + tau + 1e-6
+            n_home, n_all = (np.zeros(len(cells), np.int64) for _ in range(2))
+            for b, angle in angles(batches):
+                nearest, at_home = b.column("cell").to_numpy(), b.column("home").to_numpy(zero_copy_only=False).astype(bool)
+                # A partner at home in c is within radius_c of its pivot, and nearer to it than to ours.
+                visit = (angle <= reach) & (angle <= angle.min(axis=1, keepdims=True) + 2 * tau + 1e-6)
+                visit[np.flatnonzero(at_home), nearest[at_home]] = True
+                if not rows_out:
+                    n_all += visit.sum(axis=0)
+                    n_home += np.bincount(nearest[at_home], minlength=len(cells))
+                    continue
+                row, cell = np.nonzero(visit)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("ord").take(take), b.column("embedding").take(take), pa.array(cell, pa.int32()), pa.array((cell == nearest[row]) & at_home[row])],
+                    names=["ord", "embedding", "cell", "home"],
+                )
+            if not rows_out:
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(n_home), pa.array(n_all)], names=["cell", "n_home", "n_all"])
+
+        return run
+
+    return work
+
+
+def _block_product(theta: float, best: bool, rows: int = 1024, columns: int = 2048):
+    """Similar pairs of one block, in tiles of ``rows`` probes and ``columns`` partners: what is held beside the block does not grow with it."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def unpack(table, side):
-            table = table.sort_by("ord" + side)
-            flat = table.column("vec" + side).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(table.num_rows, -1)
+        sides = {True: ([], []), False: ([], [])}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            probes = b.column("probes").to_numpy(zero_copy_only=False).astype(bool)
+            ords = b.column("ord").to_numpy()
+            x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            for side, (places, vectors) in sides.items():
+                if (probes == side).any():
+                    places.append(ords[probes == side])
+                    vectors.append(x[probes == side])
+
+        def unit(places, vectors):
+            order = np.argsort(np.concatenate(places), kind="stable")
+            x = np.concatenate(vectors)[order].astype(np.float64)
             norm = np.linalg.norm(x, axis=1, keepdims=True)
-            return table.column("ord" + side).to_numpy(), x / np.where(norm == 0, 1.0, norm)
-
-        empty = np.zeros(0)
-        if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({"i": pa.array(empty, pa.int64()), "j": pa.array(empty, pa.int64()), "sim": pa.array(empty)})
-        i, x = unpack(left, "_i")
-        j, y = unpack(right, "_j")
-        sim = x @ y.T
-        sim[~((sim >= theta) & (j[None, :] < i[:, None]))] = -np.inf
-        if best:
-            col = sim.argmax(axis=1)
-            row = np.nonzero(sim[np.arange(len(i)), col] > -np.inf)[0]
-            col = col[row]
-        else:
-            row, col = np.nonzero(sim > -np.inf)
-        return pa.table({"i": i[row], "j": j[col], "sim": sim[row, col]})
-
+            x /= np.where(norm == 0, 1.0, norm)
+            return np.concatenate(places)[order], x
+
+        def table(i, j, sim):
+            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(sim, pa.float64())], names=["i", "j", "sim"])
+
+        if not sides[True][0] or not sides[False][0]:
+            return
+        (i, x), (j, y) = unit(*sides.pop(True)), unit(*sides.pop(False))
+        for a in range(0, len(i), rows):
+            own, some = i[a : a + rows], x[a : a + rows]
+            top, at = np.full(len(own), -np.inf), np.zeros(len(own), np.int64)
+            for c in range(0, len(j), columns):
+                others = j[c : c + columns]
+                if others[0] >= own[-1]:
+                    break  # both sides are in order: no earlier partners from here on
+                sim = some @ y[c : c + columns].T
+                hit = sim >= theta
+                if others[-1] >= own[0]:
+                    hit &= others[None, :] < own[:, None]
+                if not best:
+                    row, col = np.nonzero(hit)
+                    if len(row):
+                        yield table(own[row], others[col], sim[row, col])
+                    continue
+                sim[~hit] = -np.inf
+                col = sim.argmax(axis=1)
+                value = sim[np.arange(len(own)), col]
+                better = value > top  # of equal ones the earliest stays
+                top[better], at[better] = value[better], others[col[better]]
+            if best and (top > -np.inf).any():
+                yield table(own[top > -np.inf], at[top > -np.inf], top[top > -np.inf])
+
+    run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -401,7 +466,8 @@ def matches_between(kind, probe: DataFrame, codes: DataFrame, theta: float, best
     """Match ``probe`` items with ``codes``, two tables with an ``ord`` of their own: ``i, j, sim``."""
     shifted = codes.withColumn("ord", F.col("ord") - F.lit(CODES_FIRST))
     feature = "label" if kind is GramSpace else "embedding"
-    space = kind.build(probe.select("ord", feature).union(shifted.select("ord", feature)), theta)
+    home = [] if kind is GramSpace else [F.lit(False).alias("home")]  # only codes are looked for
+    space = kind.build(probe.select("ord", feature, *home).union(shifted.select("ord", feature, *[~h for h in home])), theta)
     is_code = F.col("ord") < F.lit(-(CODES_FIRST >> 1))
     found = space.match(space.entries.filter(~is_code), space.entries.filter(is_code), best)
     found = found if best else found.dropDuplicates(["i", "j"])

@@ -209,6 +209,41 @@ def test_what_angles_cannot_part_stays_whole(spark):
         assert in_cells(space) == {0: 200} and space.entries.count() == 200
 
 
+def test_entries_are_no_multiple_of_the_items(spark):
+    """Where the angles rule nothing out, items are not repeated cell by cell; of two tables, only the codes are looked for."""
+    x = np.random.default_rng(11).normal(size=(400, 8)).astype(np.float32)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "ord long, embedding array<float>")
+    space = VectorSpace.build(items, 0.2, rows_per_block=10)
+    assert space.entries.count() == 400
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = unit @ unit.T
+    near = {(i, j) for i in range(400) for j in range(i) if s[i, j] >= 0.2}
+    assert {(r.i, r.j) for r in space.match(space.entries, space.entries).collect()} == near
+    codes = items.where("ord % 50 = 7")
+    best = {r.i: r.j for r in matches_between(VectorSpace, items, codes, 0.2, best=True).collect()}
+    at = list(range(7, 400, 50))
+    assert best == {i: at[int(s[i, at].argmax())] for i in range(400) if s[i, at].max() >= 0.2}
+
+
+def test_products_come_in_tiles():
+    """A block gives its pairs tile by tile, and of equal partners in several tiles the earliest."""
+    import pyarrow as pa
+
+    import codeloom.operators.similarity as sim
+
+    def block(rows):
+        cols = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.float32()), pa.bool_()))], names=["ord", "embedding", "probes"])
+
+    rows = [(k, [1.0, 0.0], False) for k in range(9)] + [(k, [1.0, 0.0], True) for k in range(9)]
+    batches = [block(rows[k : k + 5]) for k in range(0, 18, 5)]
+    pairs = list(sim._block_product(0.9, False, rows=2, columns=3)(iter(batches)))
+    assert max(b.num_rows for b in pairs) <= 6
+    assert sorted((r["i"], r["j"]) for b in pairs for r in b.to_pylist()) == [(i, j) for i in range(9) for j in range(i)]
+    best = [(r["i"], r["j"]) for b in sim._block_product(0.9, True, rows=2, columns=3)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(best) == [(i, 0) for i in range(1, 9)]
+
+
 def test_heads_of_a_cell_are_ranked_in_slices(spark):
     rows = spark.range(100_000).select(F.col("id").alias("ord"), F.lit("hot").alias("cell"), (F.col("id") % 10 != 3).alias("home"))
     rows = rows.union(spark.createDataFrame([(-5, "cold", True)], "ord long, cell string, home boolean"))
