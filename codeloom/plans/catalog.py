@@ -1171,9 +1171,9 @@ def stream_codebook_log(spark, d):
 
 
 def _document_stream(spark, d):
-    reader = spark.readStream.option("pathGlobFilter", "documents.parquet")
+    # A pattern, as a stream takes a folder or a pattern, and the table may be one file or a folder of files.
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-    docs = incremental.insight_stream(reader, d, schema)
+    docs = incremental.insight_stream(spark.readStream, f"{d}/documents.parque[t]", schema)
     return docs.select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
