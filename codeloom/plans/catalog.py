@@ -1127,20 +1127,26 @@ def pipeline_rerun(spark, d):
 # Incremental --------------------------------------------------------------------------------
 
 
-def _inbox(spark, d, path, files):
-    """The documents as so many files, one written after the other; every fifth document comes again in the next file."""
+def _deliveries(spark, d, path, n):
+    """The documents in so many deliveries, one written after the other, each as many files as the table has splits; every fifth
+    document comes again in the next delivery."""
     docs = inp.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
-    for k in range(files):
-        again = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % files == (k - 1) % files) if k else F.lit(False)
-        docs.where((F.col("doc_id") % files == k) | again).select("id", "text").coalesce(1).write.mode("append").parquet(path)
-    return lambda: incremental.insight_stream(spark.readStream, path, "id string, text string", max_files=1)
+    for k in range(n):
+        again = (F.col("doc_id") % 5 == 0) & (F.col("doc_id") % n == (k - 1) % n) if k else F.lit(False)
+        docs.where((F.col("doc_id") % n == k) | again).select("id", "text").write.mode("append").parquet(path)
+        yield k
+
+
+def _inbox(spark, path, max_files=None):
+    return incremental.insight_stream(spark.readStream, path, "id string, text string", max_files)
 
 
 @query
 def stream_state_resume(spark, d):
     """Several files and micro-batches with repeated ids, and a coder that fails on some texts: these come up again in later runs."""
     root = scratch_path(spark, "stream")
-    inbox = _inbox(spark, d, f"{root}/in", 3)
+    n_deliveries = len(list(_deliveries(spark, d, f"{root}/in", 3)))
+    max_files = -(-len(spark.read.parquet(f"{root}/in").inputFiles()) // n_deliveries)
 
     def coder(rows):
         n = F.length("text")
@@ -1150,7 +1156,7 @@ def stream_state_resume(spark, d):
         return contracts.Split(incremental.rule_coder(rows.where("NOT fails")), bad)
 
     for _ in range(3):
-        incremental.code_stream(inbox(), f"{root}/coded", f"{root}/offsets", coder)
+        incremental.code_stream(_inbox(spark, f"{root}/in", max_files), f"{root}/coded", f"{root}/offsets", coder)
     coded = incremental.coded_so_far(spark, f"{root}/coded").select("id", F.array_join("codigos_abiertos", "|").alias("codes"))
     failed = incremental.failed_so_far(spark, f"{root}/coded").groupBy("id").agg(F.count(F.lit(1)).alias("n_failed"), F.max("final").alias("final"))
     return coded.join(failed, "id", "full").select("id", "codes", F.coalesce("n_failed", F.lit(0).cast("bigint")).alias("n_failed"), F.coalesce("final", F.lit(False)).alias("final"))
@@ -1160,11 +1166,11 @@ def stream_state_resume(spark, d):
 def stream_codebook_log(spark, d):
     """A codebook from elsewhere, labels that come in several batches, a batch that is replayed, a base written in between."""
     root = scratch_path(spark, "stream")
-    inbox = _inbox(spark, d, f"{root}/in", 3)
     log = CodebookLog(spark, f"{root}/book", base_every=2)
     log.start(_book(spark, d))
     keeper = incremental.codebook_keeper(f"{root}/book", LABEL_THETA, base_every=2)
-    incremental.code_stream(inbox(), f"{root}/coded", f"{root}/offsets", after_batch=keeper)
+    for _ in _deliveries(spark, d, f"{root}/in", 3):  # each is a micro-batch
+        incremental.code_stream(_inbox(spark, f"{root}/in"), f"{root}/coded", f"{root}/offsets", after_batch=keeper)
     keeper(spark.read.schema(incremental.CODED).parquet(f"{root}/coded/batch_id=2"), 2)
     uses = log.read().select(F.col("id").alias("code_id"), F.col("count").alias("n_uses"))
     return log.label_map().join(uses, "code_id").select("label", "code_id", "match_kind", rounded("sim"), "n_uses")
