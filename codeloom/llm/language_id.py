@@ -7,7 +7,7 @@ one order lower. Counts, contexts and discounts are exact Spark aggregates over
 
 For scoring, n-grams and contexts go to ``SLOTS`` hash slots per order and language, kept as sorted slot numbers with one column of
 weights per language: at most ``8 * SLOTS * (4 + 4 * languages)`` bytes (84 MB for four languages), whatever the corpus' size; those that share
-a slot add up. A text gets the language of the lowest cross-entropy per character. Rejection is calibrated on a bounded sample of learned
+a slot add up. A text gets the language of the lowest cross-entropy per character. Score and rejection are calibrated on all learned
 documents: a logistic curve over the margin to the second language gives the score, and a text whose cross-entropy lies far above what its language's documents have is marked ``rejected``.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the language first in the alphabet; texts of any length are read
@@ -27,14 +27,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import small_batches, text_bytes
+from codeloom.operators.ranking import with_position
 from codeloom.session import cut_lineage
 
 ORDER = 4
 WIDTH = 16  # bits of a character
 SLOTS = 1 << 19
 UNKNOWN = "und"
-#: Learned documents that calibrate the score, at most about.
-CALIBRATION_ROWS = 20_000
 FAR = 6.0
 HELD = 1 << 20
 CELLS = 1 << 22
@@ -258,30 +257,43 @@ def _signal(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.log1p(n * (two[:, 1] - two[:, 0]))
 
 
-def _fit_curve(x: np.ndarray, right: np.ndarray) -> tuple[float, float]:
-    """``a, b`` of the share of right answers ``1 / (1 + exp(-(a + b x)))``, by Newton steps, with a weak pull towards ``(0, 1)``."""
+def _fit_curve(seen: DataFrame) -> tuple[float, float]:
+    """``a, b`` of the share of right answers ``1 / (1 + exp(-(a + b x)))`` over all rows ``(x, right)``, by Newton steps, with a weak pull towards ``(0, 1)``.
+
+    Each step is one aggregate; its terms are summed as decimals, so the sums are the same however the rows come in.
+    """
     w, start, pull = np.array([0.0, 1.0]), np.array([0.0, 1.0]), np.diag([0.5, 0.5])
-    z = np.stack([np.ones_like(x), x], axis=1)
+    x = F.col("x")
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + pull, z.T @ (right - p) - pull @ (w - start))
+        z = F.greatest(F.least(F.lit(float(w[0])) + F.lit(float(w[1])) * x, F.lit(30.0)), F.lit(-30.0))
+        p = 1 / (1 + F.exp(-z))
+        weight, off = p * (1 - p), F.col("right") - p
+        terms = [weight, weight * x, weight * x * x, off, off * x]
+        s = [float(v or 0) for v in seen.agg(*[F.sum(t.cast("decimal(28,15)")).alias(f"s{k}") for k, t in enumerate(terms)]).first()]
+        step = np.linalg.solve(np.array([[s[0], s[1]], [s[1], s[2]]]) + pull, np.array(s[3:]) - pull @ (w - start))
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Model:
-    """Learn from every document with a language. What comes to the driver is bounded: at most ``8 * SLOTS`` numbers per language, and the
-    languages, margins and entropies of about ``calibration_rows`` documents, taken by a hash of their ids."""
+def _medians(rows: DataFrame) -> dict[int, float]:
+    """The median of ``v`` per ``lang``: the values are placed in order over the cluster, and the middle ones come to the driver."""
+    n = F.broadcast(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))  # one row per language
+    placed = with_position(rows, ["v"], ["lang"], "at").join(n, "lang")
+    middle = placed.where((F.col("at") == F.floor((F.col("n") + 1) / 2)) | (F.col("at") == F.floor(F.col("n") / 2) + 1))
+    return dict(middle.groupBy("lang").agg(F.avg("v")).collect())
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from, and calibrate on, every document with a language. What comes to the driver is bounded: at most ``8 * SLOTS`` numbers per
+    language, the sums of a Newton step, and two medians per language."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     table = weights(count_grams(usable, text_col, lang_col)).toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     model = Model(languages, table if languages else None)
     if not languages:
         return model
-    share = min(1.0, calibration_rows / max(usable.count(), 1))
-    picked = usable.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,19 +307,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             columns = [given.astype(np.int32), right.astype(np.int32), _signal(h, n), own_h]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=["lang", "right", "x", "h"])
 
-    seen = picked.mapInArrow(measure, "lang int, right int, x double, h double").toArrow()
-    lang, right, x, h = (seen.column(c).to_numpy() for c in ("lang", "right", "x", "h"))
-    order = np.lexsort((h, x, right, lang))  # the same sums however the rows came in
-    lang, right, x, h = lang[order], right[order], x[order], h[order]
-    if len(x):
-        model.curve = _fit_curve(x, right.astype(float))
+    learned = usable.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    seen = cut_lineage(learned.mapInArrow(measure, "lang int, right int, x double, h double"))
+    if not seen.isEmpty():
+        model.curve = _fit_curve(seen)
+    middle = _medians(seen.select("lang", F.col("h").alias("v")))
+    usual = F.lit(0.0)
+    for k, m in middle.items():
+        usual = F.when(F.col("lang") == k, m).otherwise(usual)
+    spread = _medians(seen.select("lang", F.abs(F.col("h") - usual).alias("v")))
     for k in range(len(languages)):
-        own = h[lang == k]
-        if len(own):
-            middle = float(np.median(own))
-            model.usual[k] = middle, 1.4826 * float(np.median(np.abs(own - middle)))
-        else:
-            model.usual[k] = np.inf, 0.0  # no document to judge by: nothing is far
+        # Without a document to judge by nothing is far.
+        model.usual[k] = (middle[k], 1.4826 * spread[k]) if k in middle else (np.inf, 0.0)
     return model
 
 

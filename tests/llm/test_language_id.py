@@ -139,3 +139,27 @@ def test_odd_rows(spark, odd_docs, no_docs):
         assert empty.languages == [] and {r.lang_pred for r in li.predict(docs, empty).collect()} == {"und"}
     one = li.fit(docs.where("doc_id < 3"))
     assert one.languages == ["en"] and {r.lang_pred for r in li.predict(docs, one).collect()} == {"en", "und"}
+
+
+def test_calibration_counts_every_document(spark):
+    """Curve and medians are those of all rows, worked out on the cluster."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(2, 2, 501)
+    right = (rng.random(501) < 1 / (1 + np.exp(-(0.5 + 0.8 * x)))).astype(int)
+    seen = spark.createDataFrame([(k % 2, int(r), float(v)) for k, (r, v) in enumerate(zip(right, x))], "lang int, right int, x double").repartition(7)
+    a, b = li._fit_curve(seen)
+    p = 1 / (1 + np.exp(-(a + b * x)))
+    assert abs((right - p).sum() - 0.5 * a) < 1e-4 and abs(((right - p) * x).sum() - 0.5 * (b - 1)) < 1e-4
+    medians = li._medians(seen.select("lang", F.col("x").alias("v")))
+    assert medians == {k: float(np.median(x[k::2])) for k in (0, 1)}
+
+
+def test_calibration_takes_more_than_a_sample(spark, monkeypatch):
+    rows = [(k, ("aaa bbb" if k % 2 else "ccc ddd") + " ee" * (k % 3), "xy"[k % 2]) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    met = []
+    fit_curve = li._fit_curve
+    monkeypatch.setattr(li, "_fit_curve", lambda seen: met.append(seen.count()) or fit_curve(seen))
+    monkeypatch.setattr(li, "CALIBRATION_ROWS", 100, raising=False)
+    li.fit(docs)
+    assert met == [600]
