@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import cut_lineage
@@ -14,6 +15,20 @@ from codeloom.session import cut_lineage
 Responder = Callable[[list[str], list[str | None]], list[str | None]]
 Embedder = Callable[[list[str]], list[Sequence[float] | None]]
 ATTEMPTS = 3  # fixed value: tries per request
+#: Bytes of requests that a task hands to a model at a time (more only for a single request of that size).
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Arrow batches hold at most ``BATCH_BYTES``: by rows alone, 10,000 requests of 100,000 characters are one batch."""
+    before = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_KEY) if before is None else spark.conf.set(_BATCH_KEY, before)
 
 
 def _halving(call: Callable[[list], list], items: list) -> tuple[list, list[str | None]]:
@@ -41,11 +56,16 @@ def respond(requests: DataFrame, responder: Responder, key: Sequence[str] = ("id
     fail by themselves yield null responses, with the error text, instead of failing the job. The result
     is materialised, as calls are slow and need not answer the same way twice.
     """
-    key = list(key)
+    return _asked(requests, responder, list(key))
+
+
+def _asked(requests: DataFrame, responder: Responder, key: list[str], is_valid=None) -> DataFrame:
+    """:func:`respond`; with ``is_valid`` also ``_ok``, and ``prompt`` and ``model`` of the rows that are to be asked again."""
     if "model" not in requests.columns:
         requests = requests.withColumn("model", F.lit(None).cast("string"))
     asked = requests.select(*key, "prompt", "model")
-    fields = ", ".join(f"{k} {asked.schema[k].dataType.simpleString()}" for k in key)
+    kept = [] if is_valid is None else ["prompt", "model"]
+    fields = ", ".join(f"{k} {asked.schema[k].dataType.simpleString()}" for k in [*key, *kept])
 
     def run(batches):
         for pdf in batches:
@@ -53,9 +73,14 @@ def respond(requests: DataFrame, responder: Responder, key: Sequence[str] = ("id
                 continue
             asked_for = [(p, m if isinstance(m, str) else None) for p, m in zip(pdf["prompt"], pdf["model"])]
             answers, errors = _halving(lambda some: responder([p for p, _ in some], [m for _, m in some]), asked_for)
-            yield pdf[key].assign(response=answers, error=errors)
+            yield pdf[key + kept].assign(response=answers, error=errors)
 
-    return cut_lineage(asked.mapInPandas(run, f"{fields}, response string, error string"))
+    with _small_batches(requests.sparkSession):
+        got = asked.mapInPandas(run, f"{fields}, response string, error string")
+        if is_valid is not None:
+            got = got.withColumn("_ok", F.coalesce(is_valid, F.lit(False)))
+            got = got.withColumns({c: F.when(~F.col("_ok"), F.col(c)) for c in kept})
+        return cut_lineage(got)
 
 
 def replay(requests: DataFrame, recorded: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:
@@ -80,13 +105,13 @@ def respond_until_valid(
     """
     key, accepted, left = list(key), None, requests
     for attempt in range(1, attempts + 1):
-        got = respond(left, responder, key).withColumn("attempt", F.lit(attempt).cast("bigint"))
-        ok = F.coalesce(is_valid, F.lit(False))
-        good, bad = got.filter(ok), got.filter(~ok)
+        got = _asked(left, responder, key, is_valid)
+        rows = got.select(*key, "response", "error", F.lit(attempt).cast("bigint").alias("attempt"), "_ok")
+        good, bad = rows.filter("_ok").drop("_ok"), rows.filter("NOT _ok").drop("_ok")
         accepted = good if accepted is None else accepted.unionByName(good)
         if attempt == attempts or bad.isEmpty():
             return accepted, bad
-        left = left.join(bad.select(*key), key, "left_semi")
+        left = got.filter("NOT _ok").dropna(subset=key).select(*key, "prompt", "model")
 
 
 class Retry(NamedTuple):

@@ -330,7 +330,8 @@ def _code_phase(ledger: Ledger, insights: DataFrame, coder: Responder, template:
     """Code what is pending, in slices that are committed one by one."""
     done = ledger.read("coding", "coded")
     given = insights.select("id", "text")
-    todo = cut_lineage(given if done is None else resume.pending(given, done))
+    # Numbered here, so that coding need not write the texts once more to number them.
+    todo = cut_lineage((given if done is None else resume.pending(given, done)).withColumn("src_ord", F.monotonically_increasing_id()))
     n = todo.count()
     if not n and done is not None:
         return Outcome("coding", "skipped", 0, ledger.last("coding").rows)
@@ -341,8 +342,8 @@ def _code_phase(ledger: Ledger, insights: DataFrame, coder: Responder, template:
 
         def build(number: int, path: str):
             split = code_with_model(own, coder, template)
-            return {"coded": split.valid, "failed": split.rejects}, own.count()
+            return {"coded": split.valid.drop("src_ord"), "failed": split.rejects}, own.count()
 
-        outcome = ledger.run("coding", f"{content(own)} after {ledger.version('coding')}", build)
+        outcome = ledger.run("coding", f"{content(own.drop('src_ord'))} after {ledger.version('coding')}", build)
         asked, rows = asked + outcome.asked, rows + outcome.rows
     return Outcome("coding", "done", asked, rows)
