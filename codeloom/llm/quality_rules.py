@@ -35,19 +35,23 @@ WHITE = " \t\n\x0b\x0c\r"
 def _repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window that occurs twice or more; ``words`` is a bound variable."""
     n = F.size(words)
-    width = F.length(F.bin(n))  # bits for a place in the text
     places = F.sequence(F.lit(0), n - 3)
-    key = lambda i: F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), width).bitwiseOR(i.cast("bigint"))
 
-    def covered(keys: Column) -> Column:
-        same = lambda a, b: F.call_function("shiftright", a, width) == F.call_function("shiftright", b, width)
-        twice = F.filter(keys, lambda k, j: ((j > 0) & F.coalesce(same(F.get(keys, j - 1), k), F.lit(False))) | F.coalesce(same(F.get(keys, j + 1), k), F.lit(False)))
+    def key(i: Column, width: Column) -> Column:
+        return F.call_function("shiftleft", F.xxhash64(words[i], words[i + 1], words[i + 2]), width).bitwiseOR(i.cast("bigint"))
+
+    def covered(keys: Column, width: Column) -> Column:
+        # Neighbours of one window differ in the bits of the place alone; there is none, a null, before the first and behind the last.
+        same = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), width) == 0
+        twice = F.filter(keys, lambda k, j: same(F.get(keys, j + 1), k) | same(F.get(keys, j - 1), k))
         low = F.call_function("shiftleft", F.lit(1).cast("bigint"), width) - 1
         starts = F.sort_array(F.transform(twice, lambda k: k.bitwiseAND(low)))
         # Each window covers three words, or those before the next window begins.
         return let(starts, lambda s: F.aggregate(F.transform(s, lambda x, j: F.least(F.lit(3).cast("bigint"), F.coalesce(F.get(s, j + 1) - x, F.lit(3).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
-    return F.when(n < 3, F.lit(0).cast("bigint")).otherwise(let(F.sort_array(F.transform(places, key)), covered))
+    # The bits for a place in the text are bound once: inside a lambda they would be worked out again for every window.
+    counted = let(F.length(F.bin(n)), lambda width: let(F.sort_array(F.transform(places, lambda i: key(i, width))), lambda keys: covered(keys, width)))
+    return F.when(n < 3, F.lit(0).cast("bigint")).otherwise(counted)
 
 
 def _dup_lines(text: Column) -> Column:
