@@ -18,7 +18,8 @@ shared cell; callers aggregate.
 
 Hot cells are split: both sides of a cell are cut into as many parts as its count needs, and every
 part of one side meets every part of the other in a task of its own. Of vectors the parts grow with
-the cell up to a size in bytes, so rows are repeated about as often whatever the number of items.
+the cell up to a size in bytes, so rows are repeated about as often whatever the number of items; the
+larger side is cut more often, so that rows of it are not repeated for a small one.
 """
 
 from __future__ import annotations
@@ -44,8 +45,8 @@ LEVELS = 3
 WORTH = 0.5
 # Entries of a space of vectors, per item, at most: cells that would repeat items more often are not made.
 REPEATS = 8
-# Parts per side of a cell, while they are smaller than BLOCK_BYTES of 64-bit numbers.
-PARTS = 8
+# Blocks that a cell is cut into, while their sides are smaller than BLOCK_BYTES of 64-bit numbers.
+BLOCKS = 36
 BLOCK_BYTES = 32 << 20
 
 
@@ -174,15 +175,16 @@ class VectorSpace:
     def match(self, probe: DataFrame, index: DataFrame, best: bool = False) -> DataFrame:
         index = index.filter("home")
 
-        def parts(n: str):
-            side = F.least(F.greatest(F.ceil(F.col(n) / PARTS), F.lit(self.rows_per_block)), F.lit(self.most_rows))
-            return F.ceil(F.col(n) / side).cast("int")
+        def parts(n: str, other: str):
+            """Parts of a side of ``n`` rows: in proportion to the sides, which repeats the fewest rows for a number of blocks."""
+            even = F.least(F.ceil(F.sqrt(BLOCKS * F.col(n) / F.col(other))), F.ceil(F.col(n) / self.rows_per_block), F.lit(BLOCKS))
+            return F.greatest(even, F.ceil(F.col(n) / self.most_rows)).cast("int")
 
         def counted_in(df: DataFrame, name: str) -> DataFrame:
             return df.groupBy("cell").agg(F.count(F.lit(1)).alias(name))
 
         # One row per cell, and the number of cells is bounded by construction.
-        sizes = counted_in(probe, "n_i").join(counted_in(index, "n_j"), "cell").select("cell", parts("n_i").alias("salts"), parts("n_j").alias("chunks"))
+        sizes = counted_in(probe, "n_i").join(counted_in(index, "n_j"), "cell").select("cell", parts("n_i", "n_j").alias("salts"), parts("n_j", "n_i").alias("chunks"))
 
         def own(n: str):
             return F.pmod(F.xxhash64("ord"), F.col(n)).cast("int")

@@ -244,6 +244,29 @@ def test_products_come_in_tiles():
     assert sorted(best) == [(i, 0) for i in range(1, 9)]
 
 
+def test_a_small_side_does_not_repeat_the_large_one(spark, monkeypatch):
+    """Rows that reach the products of one cell, of 64 probes and 4,000 partners."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    import codeloom.operators.similarity as sim
+
+    def count_rows(theta, best):
+        def run(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([sum(b.num_rows for b in batches)]), pa.array([0]), pa.array([0.0])], names=["i", "j", "sim"])
+
+        run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+        return run
+
+    items = spark.range(4000).select(F.col("id").alias("ord"), F.array(F.lit(1.0), F.col("id") % 7).cast("array<float>").alias("embedding"))
+    space = VectorSpace.build(items, 0.9, rows_per_block=16, max_cells=1, rows_per_cell=10_000)
+    monkeypatch.setattr(sim, "_block_product", count_rows)
+    small = space.entries.where("ord < 64")
+    for probe, index in ((small, space.entries), (space.entries, small)):
+        assert space.match(probe, index).agg(F.sum("i")).first()[0] <= 2 * 4064
+
+
 def test_heads_of_a_cell_are_ranked_in_slices(spark):
     rows = spark.range(100_000).select(F.col("id").alias("ord"), F.lit("hot").alias("cell"), (F.col("id") % 10 != 3).alias("home"))
     rows = rows.union(spark.createDataFrame([(-5, "cold", True)], "ord long, cell string, home boolean"))
