@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values -----------------------------------------------------------------------------
 # Whitespace as Python's str.strip sees it: Unicode White_Space plus U+001C..U+001F.
-EDGE_WHITESPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+WHITESPACE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 # Words that name an action: two letters or more before -ando, -endo, -iendo or English -ing.
 # The word is taken whole and its end checked once, which spares backtracking over every word.
 ACTION_WORD = r"\b(\p{L}{2,}+(?<=\p{L}{2}(?:ing|ando|endo)))\b"
@@ -20,8 +20,8 @@ MAX_CODES = 3
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (``trim`` only knows spaces)."""
-    return F.regexp_replace(c, EDGE_WHITESPACE, "")
+    """Remove leading and trailing whitespace of any kind (``trim`` only knows spaces); looks at the ends alone, not at every space."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def is_blank(c: Column) -> Column:

@@ -12,7 +12,12 @@ def processed_ids(done: DataFrame) -> DataFrame:
 
 
 def pending(raw: DataFrame, done: DataFrame) -> DataFrame:
-    """Insights not yet processed; duplicates among them stay. Null ids match a null checkpoint id."""
+    """Insights not yet processed; duplicates among them stay. Null ids match a null checkpoint id.
+
+    Before there is a checkpoint all are, and their texts need not move.
+    """
+    if done.isEmpty():
+        return raw
     ids = processed_ids(done)
     return raw.join(ids, raw["id"].eqNullSafe(ids["_done_id"]), "left_anti")
 

@@ -37,6 +37,14 @@ def test_missing_columns_fail_before_any_job(spark):
         ingest.clean_insights(spark.createDataFrame([("1",)], "ID string"))
 
 
+def test_a_first_run_moves_no_texts(spark):
+    raw = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z")], "id string, text string")
+    todo = resume.pending(raw, spark.createDataFrame([], "id string, id_fragmento string"))
+    assert sorted(r.text for r in todo.collect()) == ["x", "y", "z"]
+    plan = todo._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
 def test_resume_keeps_duplicates_and_treats_null_like_a_value(spark):
     raw = spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "id string")
     done = spark.createDataFrame([("a", "x"), ("", "c"), (None, None)], "id string, id_fragmento string")

@@ -74,3 +74,11 @@ def test_small_expressions(spark):
         T.bullets(F.col("q")), T.or_default(F.col("d"), "none"), T.preview(F.col("t"), 3), T.section(F.lit("T"), F.col("t")),
     )
     assert got == [("- a\n- b", "none", "abc", "**T**\n\nabcdef")]
+
+
+def test_strip_is_that_of_python_and_looks_at_the_ends_alone(spark):
+    points = [chr(n) for n in range(1, 0x3100)]
+    rows = [(c + "a" + c + c + "b" + c,) for c in points] + [(" 　\n",), ("",), (None,), ("a  ",), ("\r\n\x1ca\x85\r\n",)]
+    df = spark.createDataFrame(rows, "s string").select("s", T.strip(F.col("s")).alias("t"))
+    assert [r for r in df.collect() if r.t != (None if r.s is None else r.s.strip())] == []
+    assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
