@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,15 @@ JSON_BLOCK = r"(?sU)```json[\s\x1c-\x1f]*(\{.*\}|\[.*\])[\s\x1c-\x1f]*```|(\{.*\
 OK, NO_JSON, UNPARSABLE, EMPTY = "ok", "no_json", "unparsable", "empty_json"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` where ``value`` is worked out one time, however often it is used; :func:`computed` does that for columns."""
+    return F.transform(F.array(value), use)[0]
+
+
 def json_block(text: Column) -> Column:
     """The JSON-looking part of a text, or null."""
     fenced, bare = F.regexp_extract(text, JSON_BLOCK, 1), F.regexp_extract(text, JSON_BLOCK, 2)
-    return F.when(fenced != "", fenced).when(bare != "", bare)
+    return once(fenced, lambda f: F.when(f != "", f).otherwise(once(bare, lambda b: F.when(b != "", b))))
 
 
 def parse_strict(block: Column) -> Column:
@@ -24,8 +31,7 @@ def parse_strict(block: Column) -> Column:
     tail either breaks the syntax or makes a second element.
     """
     wrapped = F.try_parse_json(F.concat(F.lit("["), block, F.lit("]")))
-    elements = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(elements) == 1, F.try_variant_get(wrapped, "$[0]", "variant"))
+    return once(wrapped, lambda w: F.when(F.size(F.try_variant_get(w, "$", "array<variant>")) == 1, F.try_variant_get(w, "$[0]", "variant")))
 
 
 def is_empty_value(value: Column) -> Column:

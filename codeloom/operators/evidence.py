@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import ingest
 from codeloom.operators.contracts import COMPONENTS
+from codeloom.session import stored
 
 EVIDENCE_CHAR_LIMIT = 100_000  # fixed value: characters of evidence that fit one request
 MISSING_TEXT = "Referenced insight text not found for ID: "  # fixed value
@@ -19,7 +20,8 @@ def enrich_insights(coded: DataFrame, label_map: DataFrame, distinct: bool = Fal
 
     Works per distinct label list rather than per row. Equal lists are looked up once, rows
     need no unique id, and the only group that is collected is one list. Rows without codes
-    can match nothing; they are spread over all partitions instead of meeting on one key.
+    can match nothing; they are spread over all partitions instead of meeting on one key. The lists
+    are stored, so rows with texts stay put where these are few.
     """
     lists = coded.select(F.col(codes).alias("_list")).filter(F.size("_list") > 0).distinct()
     labels = lists.select("_list", F.posexplode("_list").alias("_pos", "label")).withColumn("label", T.strip(F.col("label")))
@@ -30,6 +32,7 @@ def enrich_insights(coded: DataFrame, label_map: DataFrame, distinct: bool = Fal
     )
     ids = F.transform("_hits", lambda h: h["code_id"])
     found = found.select("_list", "_zero", (F.array_distinct(ids) if distinct else ids).alias("unified_code_ids"))
+    found = stored(found, "lists")
     none = F.array().cast("array<string>")
     row_key = next(c for c in coded.columns if c != codes)
     spread = F.when(F.size(codes) > 0, 0).otherwise(F.pmod(F.xxhash64(row_key), F.lit(SPREAD)) + 1).cast("int")
@@ -120,6 +123,14 @@ def texts_for(refs: DataFrame, insights: DataFrame, order: str = "src_ord") -> D
     return ingest.insight_texts(insights.select("id", "text", order).join(cited, "id", "left_semi"), order)
 
 
+def lengths_for(refs: DataFrame, insights: DataFrame, order: str = "src_ord") -> DataFrame:
+    """:func:`texts_for` with the length ``n_chars`` of each text in its place: texts are measured where they are."""
+    cited = refs.select(F.col("insight_id").alias("id")).distinct()
+    usable = insights.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    measured = usable.select("id", order, F.length("text").cast("bigint").alias("n_chars")).join(cited, "id", "left_semi")
+    return ingest.last_per_key(measured, "id", order, ["n_chars"])
+
+
 def resolve_texts(refs: DataFrame, texts: DataFrame) -> DataFrame:
     """Add ``text`` and ``found`` to ``refs(..., insight_id)``; unknown or empty ones get a placeholder."""
     known = texts.select(F.col("id").alias("insight_id"), F.nullif("text", F.lit("")).alias("_text"))
@@ -130,6 +141,13 @@ def resolve_texts(refs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
+def resolve_lengths(refs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Add ``n_chars``, the length of the text that :func:`resolve_texts` adds."""
+    known = lengths.select(F.col("id").alias("insight_id"), F.nullif("n_chars", F.lit(0)).alias("_n"))
+    placeholder = F.length(F.concat(F.lit(MISSING_TEXT), "insight_id"))
+    return refs.join(known, "insight_id", "left").select(*refs.columns, F.coalesce("_n", placeholder).cast("bigint").alias("n_chars"))
+
+
 def through_parts(rows: DataFrame, key: list[str], parts: list[str], pos: str = "pos") -> DataFrame:
     """Number ``pos`` (0-based within each part) through all parts of a key; the part columns go.
 
@@ -148,9 +166,11 @@ def evidence_parts(resolved: DataFrame, limit: int = EVIDENCE_CHAR_LIMIT, slots:
     Adds ``running_chars``, ``within_budget`` and ``part``. Evidence has no order of its own,
     so it is taken by the hash of its id. The leading hash digits cut every category into
     ``16 ** slots`` even slices; a slice is summed alone and the offsets come from one row per
-    slice. A category with a third of all evidence is thus spread over all tasks.
+    slice. A category with a third of all evidence is thus spread over all tasks. ``resolved`` has
+    the texts, or their lengths alone as ``n_chars``.
     """
-    keyed = resolved.withColumn("_h", F.md5("insight_id")).withColumn("_n", F.length("text").cast("bigint"))
+    n_chars = F.col("n_chars") if "n_chars" in resolved.columns else F.length("text").cast("bigint")
+    keyed = resolved.withColumn("_h", F.md5("insight_id")).withColumn("_n", n_chars)
     keyed = keyed.withColumn("_slice", F.substring("_h", 1, slots))
     sums = keyed.groupBy(key, "_slice").agg(F.sum("_n").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

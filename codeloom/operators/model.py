@@ -9,8 +9,9 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from codeloom.session import cut_lineage
+from codeloom.session import stored
 
 Responder = Callable[[list[str], list[str | None]], list[str | None]]
 Embedder = Callable[[list[str]], list[Sequence[float] | None]]
@@ -54,7 +55,8 @@ def respond(requests: DataFrame, responder: Responder, key: Sequence[str] = ("id
 
     Gives ``key..., response, error``. A failing batch is asked again in halves, so only the prompts that
     fail by themselves yield null responses, with the error text, instead of failing the job. The result
-    is materialised, as calls are slow and need not answer the same way twice.
+    is materialised, as calls are slow and need not answer the same way twice. A key may be a struct: rows
+    that go along with their request need not be joined with the answers.
     """
     return _asked(requests, responder, list(key))
 
@@ -65,22 +67,26 @@ def _asked(requests: DataFrame, responder: Responder, key: list[str], is_valid=N
         requests = requests.withColumn("model", F.lit(None).cast("string"))
     asked = requests.select(*key, "prompt", "model")
     kept = [] if is_valid is None else ["prompt", "model"]
-    fields = ", ".join(f"{k} {asked.schema[k].dataType.simpleString()}" for k in [*key, *kept])
+    schema = StructType([asked.schema[c] for c in [*key, *kept]]).add("response", "string").add("error", "string")
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            asked_for = [(p, m if isinstance(m, str) else None) for p, m in zip(pdf["prompt"], pdf["model"])]
+            prompts, models = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("prompt", "model"))
+            asked_for = [(p, m if isinstance(m, str) else None) for p, m in zip(prompts, models)]
             answers, errors = _halving(lambda some: responder([p for p, _ in some], [m for _, m in some]), asked_for)
-            yield pdf[key + kept].assign(response=answers, error=errors)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in [*key, *kept]]  # they stay as they are, whatever their type
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(answers, pa.string(), from_pandas=True), pa.array(errors, pa.string())], schema.names)
 
     with _small_batches(requests.sparkSession):
-        got = asked.mapInPandas(run, f"{fields}, response string, error string")
+        got = asked.mapInArrow(run, schema)
         if is_valid is not None:
             got = got.withColumn("_ok", F.coalesce(is_valid, F.lit(False)))
             got = got.withColumns({c: F.when(~F.col("_ok"), F.col(c)) for c in kept})
-        return cut_lineage(got)
+        return stored(got, "answers")
 
 
 def replay(requests: DataFrame, recorded: DataFrame, key: Sequence[str] = ("id",)) -> DataFrame:

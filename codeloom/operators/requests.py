@@ -76,9 +76,10 @@ def axial_prompts(categories: DataFrame, resolved: DataFrame, template: str, lim
     """Axial analysis, slots ``category_name, category_description, evidence_json``:
     ``category_id, category_name, part, prompt``.
 
-    Evidence beyond the size of one request goes on in the next part; none is left out.
+    Evidence beyond the size of one request goes on in the next part; none is left out. ``resolved`` may have been
+    placed by ``ev.evidence_parts`` before.
     """
-    lists = _evidence_lists(ev.evidence_parts(resolved, limit))
+    lists = _evidence_lists(resolved if "running_chars" in resolved.columns else ev.evidence_parts(resolved, limit))
     items = F.transform(
         "e",
         lambda x: T.indented_object(

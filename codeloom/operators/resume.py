@@ -35,7 +35,11 @@ def merge_records(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def coded_rows(insights: DataFrame, results: DataFrame, key: str = "id") -> DataFrame:
     """Insights with their coding result; a result carrying an error keeps no codes."""
-    merged = merge_records(insights, results, key)
+    return without_failed_codes(merge_records(insights, results, key))
+
+
+def without_failed_codes(merged: DataFrame) -> DataFrame:
+    """The rule of :func:`coded_rows`, for rows that are together with their result already."""
     codes = F.when(F.col("error").isNotNull(), F.array().cast("array<string>")).otherwise(F.col("codigos_abiertos"))
     return merged.withColumn("codigos_abiertos", codes)
 
@@ -45,6 +49,9 @@ def failed_rows(insights: DataFrame, rejects: DataFrame, key: str = "id") -> Dat
 
     ``key`` tells rows apart; ids may repeat.
     """
-    return insights.join(rejects.select(key, "reason"), key).select(
-        "id", F.struct("id", "text").alias("insight_original"), F.col("reason").alias("error")
-    )
+    return as_failed(insights.join(rejects.select(key, "reason"), key))
+
+
+def as_failed(rows: DataFrame) -> DataFrame:
+    """The form of :func:`failed_rows`, for insights that are together with their ``reason`` already."""
+    return rows.select("id", F.struct("id", "text").alias("insight_original"), F.col("reason").alias("error"))

@@ -10,9 +10,10 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import COMPRESSION
 from codeloom.sources.readers import path_exists
 from codeloom.sources.writers import write_version
 
@@ -39,9 +40,16 @@ class Outcome(NamedTuple):
 
 def content(df: DataFrame) -> str:
     """A name for the rows of a table, whatever their order: their number and the sum of their hashes."""
+    return contents(df, F.lit(0), 1)[0][1]
+
+
+def contents(df: DataFrame, slice_of: Column, slices: int) -> list[tuple[int, str]]:
+    """The number of rows and the :func:`content` of each slice ``0, 1, …`` of a table, read once."""
     hashed = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    seen = df.agg(F.count(F.lit(1)).alias("n"), hashed.alias("sum")).first()  # one row
-    return f"{seen.n} rows {seen['sum'] or 0} of {df.schema.simpleString()}"
+    rows = df.groupBy(slice_of.alias("_slice")).agg(F.count(F.lit(1)).alias("n"), hashed.alias("sum")).collect()  # one row per slice
+    seen = {r["_slice"]: r for r in rows}
+    n_and_sum = [(seen[k].n, seen[k]["sum"]) if k in seen else (0, 0) for k in range(slices)]
+    return [(n, f"{n} rows {total or 0} of {df.schema.simpleString()}") for n, total in n_and_sum]
 
 
 class Ledger:
@@ -76,11 +84,11 @@ class Ledger:
             raise LookupError(f"{phase} has not been done under {self.root}")
         return self.spark.read.parquet(f"{last.path}/{table}")
 
-    def run(self, phase: str, source: str, build: Callable[[int, str], tuple[dict[str, DataFrame], int]]) -> Outcome:
+    def run(self, phase: str, source: str, build: Callable[[int, str], tuple[dict[str, DataFrame | None], int]]) -> Outcome:
         """Do a phase unless its last commit was made from ``source``.
 
         ``build(number, path)`` gives the phase's tables by name, the main one first, and the number of requests it made. It
-        may write more under ``path``.
+        may write more under ``path``; a table that it has put there itself with :meth:`write` is None.
         """
         last = self.last(phase)
         if last is not None and last.source == source:
@@ -89,13 +97,19 @@ class Ledger:
         path = f"{self.root}/{phase}/data/{number}-{uuid.uuid4().hex}"
         tables, asked = build(number, path)
         for name, df in tables.items():
-            df.write.parquet(f"{path}/{name}")
+            if df is not None:
+                self.write(df, path, name)
         rows = self.spark.read.parquet(f"{path}/{next(iter(tables))}").count()
         commit = Commit(phase, number, source, path, asked, rows)
         write_version(self.spark.createDataFrame([tuple(commit)], RECORD).coalesce(1), f"{self.root}/{phase}/log", number, "json")
         return Outcome(phase, "done", asked, rows)
 
-    def attempt(self, phase: str, source: str, build: Callable[[int, str], tuple[dict[str, DataFrame], int]]) -> Outcome:
+    def write(self, df: DataFrame, path: str, name: str) -> DataFrame:
+        """Write a table of a phase, and read it back."""
+        df.write.option("compression", COMPRESSION).parquet(f"{path}/{name}")
+        return self.spark.read.parquet(f"{path}/{name}")
+
+    def attempt(self, phase: str, source: str, build: Callable[[int, str], tuple[dict[str, DataFrame | None], int]]) -> Outcome:
         """:meth:`run`, where a failure is an outcome and not the end of the study; the phase is tried again by the next run."""
         try:
             return self.run(phase, source, build)

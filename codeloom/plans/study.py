@@ -18,8 +18,8 @@ from codeloom.operators import evidence as ev
 from codeloom.operators.contracts import Split
 from codeloom.operators.model import Responder, respond, respond_until_valid
 from codeloom.operators.uniting import unite
-from codeloom.plans.ledger import Ledger, Outcome, content
-from codeloom.session import cut_lineage, scratch_path
+from codeloom.plans.ledger import Ledger, Outcome, contents
+from codeloom.session import cut_lineage, passing_tables, scratch_path
 from codeloom.sources import writers
 from codeloom.sources.codebook_log import CodebookLog
 
@@ -49,19 +49,21 @@ def code_with_model(insights: DataFrame, responder: Responder, template: str) ->
     """Open coding through a model: coded rows, and failed rows for the next run.
 
     A request is repeated up to three times while its response cannot be parsed and validated. Requests
-    and answers go by row (``src_ord``, numbered here where there is none), as ids may repeat.
+    and answers go by row, as ids may repeat: by ``src_ord``, or where there is none each insight goes along with
+    its request, so that no text has to be joined with its answer.
     """
-    given = insights.columns
-    if "src_ord" not in given:
-        insights = cut_lineage(insights.withColumn("src_ord", F.monotonically_increasing_id()))
     value = parsing.parse_strict(parsing.json_block(F.col("response")))
-    usable = (F.size(contracts.errors_of(contracts.CODING_RESULT, value)) == 0) & ~parsing.is_empty_value(value)
-    prompts = requests.coding_prompts(insights, template)
-    good, bad = respond_until_valid(prompts, responder, usable, ("src_ord",))
-    checked = contracts.validate_responses(good, contracts.CODING_RESULT, "response", ("src_ord",))
-    failed = bad.select("src_ord", F.coalesce("error", F.lit("invalid response")).alias("reason"))
-    coded = resume.coded_rows(insights, checked.valid, "src_ord")
-    return Split(coded if "src_ord" in given else coded.drop("src_ord"), resume.failed_rows(insights, failed, "src_ord"))
+    usable = parsing.once(value, lambda v: (F.size(contracts.errors_of(contracts.CODING_RESULT, v)) == 0) & ~parsing.is_empty_value(v))
+    by = "src_ord" if "src_ord" in insights.columns else "_insight"
+    prompts = requests.coding_prompts(insights if by == "src_ord" else insights.withColumn(by, F.struct(*insights.columns)), template)
+    good, bad = respond_until_valid(prompts, responder, usable, (by,))
+    checked = contracts.validate_responses(good, contracts.CODING_RESULT, "response", (by,))
+    failed = bad.select(by, F.coalesce("error", F.lit("invalid response")).alias("reason"))
+    if by == "src_ord":
+        return Split(resume.coded_rows(insights, checked.valid, by), resume.failed_rows(insights, failed, by))
+    kept = [F.col(by)[c].alias(c) for c in insights.columns if c not in checked.valid.columns]
+    coded = checked.valid.select(*kept, *[c for c in checked.valid.columns if c != by])
+    return Split(resume.without_failed_codes(coded), resume.as_failed(failed.select(f"{by}.*", "reason")))
 
 
 class Categorized(NamedTuple):
@@ -125,13 +127,15 @@ def analyse_with_model(
     merged, codes = cat.merge_by_id(categories, category_codes)
     refs = ev.category_evidence(codes, ev.evidence_index(enriched)).withColumnRenamed("id_fragmento", "insight_id")
     refs = cut_lineage(refs)
-    resolved = ev.resolve_texts(refs, ev.texts_for(refs, insights))
-    prompts = cut_lineage(requests.axial_prompts(merged, resolved, template))
-    answers = respond(prompts, responder, ("category_id", "part"))
-    split = contracts.validate_responses(answers, contracts.AXIAL_RESULT, "response", ("category_id", "part"))
-    names = prompts.select("category_id", "part", "category_name").join(merged.select("category_id", "ord"), "category_id")
+    # Which request a text goes into follows from lengths alone; the texts move to their id and then to their request, and are not kept in between.
+    placed = cut_lineage(ev.evidence_parts(ev.resolve_lengths(refs, ev.lengths_for(refs, insights))))
+    resolved = ev.resolve_texts(placed, ev.texts_for(refs, insights))
+    prompts = requests.axial_prompts(merged, resolved, template)
+    answers = respond(prompts, responder, ("category_id", "category_name", "part"))
+    split = contracts.validate_responses(answers, contracts.AXIAL_RESULT, "response", ("category_id", "category_name", "part"))
+    split = split._replace(rejects=split.rejects.drop("category_name"))
     analysis = F.struct("paradigm_model", "properties_and_dimensions").alias("analysis")
-    valid = split.valid.join(names, ["category_id", "part"]).select("category_id", "category_name", "part", analysis, "ord")
+    valid = split.valid.join(merged.select("category_id", "ord"), "category_id").select("category_id", "category_name", "part", analysis, "ord")
     if uniting is None:
         return Split(valid, split.rejects)
     united = unite(cut_lineage(valid), responder, uniting)
@@ -272,8 +276,14 @@ def run_pipeline(
     * axial: one analysis per category and evidence part; tables ``axial``, ``rejects``.
 
     A phase whose inputs have not changed is skipped and asks nothing. Categorizing and the axial analysis may fail without ending the
-    run. :class:`~codeloom.plans.ledger.Ledger` reads the tables back.
+    run. :class:`~codeloom.plans.ledger.Ledger` reads the tables back. ``insights`` should be a table: it is read several times
+    rather than copied, and what a phase keeps for itself is deleted when it has been committed.
     """
+    with passing_tables(insights.sparkSession):
+        return _run_phases(insights, root, models, templates, seeds, questions, theta, embed, rows_per_commit)
+
+
+def _run_phases(insights, root, models, templates, seeds, questions, theta, embed, rows_per_commit) -> list[Outcome]:
     spark = insights.sparkSession
     ledger = Ledger(spark, root)
     log = CodebookLog(spark, f"{ledger.root}/codebook/book")
@@ -307,9 +317,9 @@ def run_pipeline(
     def build_enriched(number: int, path: str):
         new = ledger.read("coding", "coded", after("enrich"))
         label_map = log.label_map()
-        enriched = cut_lineage(ev.enrich_insights(new, label_map))
+        enriched = ledger.write(ev.enrich_insights(new, label_map), path, "enriched")
         writers.write_jsonl(enriched, f"{path}/results")
-        return {"enriched": enriched, "unmatched": ev.unmatched_labels(new, label_map)}, 0
+        return {"enriched": None, "unmatched": ev.unmatched_labels(new, label_map)}, 0
 
     out.append(ledger.run("enrich", f"{coding}; {ledger.version('codebook')}", build_enriched))
 
@@ -330,20 +340,20 @@ def _code_phase(ledger: Ledger, insights: DataFrame, coder: Responder, template:
     """Code what is pending, in slices that are committed one by one."""
     done = ledger.read("coding", "coded")
     given = insights.select("id", "text")
-    # Numbered here, so that coding need not write the texts once more to number them.
-    todo = cut_lineage((given if done is None else resume.pending(given, done)).withColumn("src_ord", F.monotonically_increasing_id()))
+    todo = given if done is None else resume.pending(given, done)
     n = todo.count()
     if not n and done is not None:
         return Outcome("coding", "skipped", 0, ledger.last("coding").rows)
     slices = max(1, -(-n // rows_per_commit))
+    slice_of = F.pmod(F.xxhash64("id"), F.lit(slices))
     asked = rows = 0
-    for k in range(slices):
-        own = todo if slices == 1 else todo.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+    for k, (size, name) in enumerate(contents(todo, slice_of, slices)):
 
         def build(number: int, path: str):
-            split = code_with_model(own, coder, template)
-            return {"coded": split.valid.drop("src_ord"), "failed": split.rejects}, own.count()
+            split = code_with_model(todo if slices == 1 else todo.where(slice_of == k), coder, template)
+            return {"coded": split.valid, "failed": split.rejects}, size
 
-        outcome = ledger.run("coding", f"{content(own.drop('src_ord'))} after {ledger.version('coding')}", build)
+        with passing_tables(ledger.spark):
+            outcome = ledger.run("coding", f"{name} after {ledger.version('coding')}", build)
         asked, rows = asked + outcome.asked, rows + outcome.rows
     return Outcome("coding", "done", asked, rows)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from codeloom.operators import evidence as ev
 from codeloom.plans import study
-from codeloom.plans.ledger import Ledger, content
+from codeloom.plans.ledger import Ledger, content, contents
+from codeloom.session import passing_tables, stored
 from codeloom.sources.codebook_log import CodebookLog
 
 TEXTS = [("1", "walking and talking"), ("2", "walking home"), ("3", "late again"), ("4", "late and talking")]
@@ -163,3 +164,74 @@ def test_a_version_without_its_record_does_not_count(spark, tmp_path, monkeypatc
 def test_an_empty_log_is_an_empty_codebook(spark, tmp_path):
     log = CodebookLog(spark, str(tmp_path / "none"))
     assert log.read().collect() == log.label_map().collect() == []
+
+
+# What a run leaves on the disk ---------------------------------------------------------------------
+
+
+def test_a_run_keeps_its_tables_and_no_copies_of_the_texts(spark, tmp_path, monkeypatch):
+    """Before, checkpoints and answers stayed in the shared folder: several times the texts."""
+    import random
+
+    shared, root = tmp_path / "shared", tmp_path / "root"
+    monkeypatch.setattr("codeloom.session.shared_dir", lambda s: str(shared))
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(shared))
+    try:
+        words = random.Random(1)
+        rows = [(str(n), "walking " + "".join(words.choices("bcdfhjkmopqrsuvwxyz ", k=3000)) + " late" * (n % 7 == 0)) for n in range(400)]
+        done = run(spark, str(root), True, rows)
+        assert done["coding"].rows == 342 and done["axial"].status == "done"
+        of = lambda p: sum(f.stat().st_size for f in p.rglob("*") if f.is_file())
+        assert of(shared) < 0.3 * sum(len(t) for _, t in rows)
+        assert not list(shared.glob("codeloom/answers-*"))
+        again = run(spark, str(root), False, rows)
+        assert (again["coding"].asked, again["coding"].rows) == (58, 58)
+        assert of(shared) < 0.5 * sum(len(t) for _, t in rows)
+        texts = dict(rows)
+        assert all(texts[r.id] == r.text == r.fragmento_original for r in Ledger(spark, str(root)).read("enrich", "enriched").collect())
+    finally:
+        if before:
+            spark.sparkContext._jsc.sc().setCheckpointDir(before)
+
+
+def test_stored_tables_pass_with_the_phase(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr("codeloom.session.shared_dir", lambda s: str(tmp_path))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept = stored(spark.range(3), "kept")
+    with passing_tables(spark):
+        outer = stored(spark.range(4), "outer")
+        with passing_tables(spark):
+            inner = stored(spark.range(5), "inner")
+            assert inner.count() == 5 and spark.conf.get(key) == "true"
+        assert outer.count() == 4
+        assert sorted(x.split("-")[0] for x in os.listdir(tmp_path / "codeloom")) == ["kept", "outer"]
+    assert kept.count() == 3 and [x.split("-")[0] for x in os.listdir(tmp_path / "codeloom")] == ["kept"]
+    assert spark.conf.get(key, None) is None
+
+
+def test_contents_of_slices_are_those_of_the_slices_alone(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (4, "y"), (4, "y")], "k long, t string")
+    got = contents(a, F.pmod(F.col("k"), F.lit(3)), 3)
+    assert got == [(0, content(a.limit(0))), (3, content(a.where("k % 3 = 1"))), (1, content(a.where("k = 2")))]
+
+
+def test_lengths_place_evidence_as_the_texts_do(spark):
+    insights = spark.createDataFrame([("1", "aaaa", 1), ("1", "bb", 2), ("2", "", 3), ("3", None, 4), ("4", "é" * 30, 5), (None, "x", 6)], "id string, text string, src_ord long")
+    refs = spark.createDataFrame([("c", i) for i in "12345"] + [("d", "4"), ("d", "4")], "category_id string, insight_id string")
+    whole = ev.evidence_parts(ev.resolve_texts(refs, ev.texts_for(refs, insights)), limit=40)
+    short = ev.evidence_parts(ev.resolve_lengths(refs, ev.lengths_for(refs, insights)), limit=40)
+    names = ("category_id", "insight_id", "running_chars", "within_budget", "part")
+    assert rows_of(whole, *names) == rows_of(short, *names) and len({r.part for r in short.collect()}) > 2
+
+
+def test_insights_go_along_with_their_requests(spark):
+    """Rows without ``src_ord``: equal rows, null ids and columns named like those of a request stay as they are."""
+    rows = [("1", "walking", "mine", 2**60), ("1", "walking", "mine", None), (None, "late", "p", 1), (None, "talking", None, 3)]
+    given = spark.createDataFrame(rows, "id string, text string, prompt string, error2 long")
+    coded, failed = study.code_with_model(given.fillna({"id": "0"}).withColumn("id", F.nullif("id", F.lit("0"))), lambda p, m: [x if "late" not in x and "null" not in x else "no" for x in p], '{{"id_fragmento": "i", "fragmento_original": "f", "codigos_abiertos": ["x"], "asked": {json_input}}}')
+    assert coded.columns == ["id", "text", "prompt", "error2", "id_fragmento", "fragmento_original", "codigos_abiertos", "error"]
+    assert rows_of(coded, "id", "prompt", "error2") == rows_of(given.where("id = '1'"), "id", "prompt", "error2")
+    assert rows_of(failed.select("id", "insight_original.text", "error"), "text", "error") == [("late", "invalid response"), ("talking", "invalid response")]
