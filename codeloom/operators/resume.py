@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import stored
+
 
 def processed_ids(done: DataFrame) -> DataFrame:
     """Ids already in the checkpoint; older rows only have ``id_fragmento``."""
@@ -14,12 +16,15 @@ def processed_ids(done: DataFrame) -> DataFrame:
 def pending(raw: DataFrame, done: DataFrame) -> DataFrame:
     """Insights not yet processed; duplicates among them stay. Null ids match a null checkpoint id.
 
-    Before there is a checkpoint all are, and their texts need not move.
+    Before there is a checkpoint all are, and their texts need not move. Later the ids left over are found without the texts, and where
+    these are few, the optimizer broadcasts them.
     """
     if done.isEmpty():
         return raw
     ids = processed_ids(done)
-    return raw.join(ids, raw["id"].eqNullSafe(ids["_done_id"]), "left_anti")
+    given = raw.select(F.col("id").alias("_left_id")).distinct()
+    left = stored(given.join(ids, given["_left_id"].eqNullSafe(ids["_done_id"]), "left_anti"), "pending")
+    return raw.join(left, raw["id"].eqNullSafe(left["_left_id"]), "left_semi")
 
 
 def with_checkpoint(done: DataFrame, new: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import evidence as ev
+from codeloom.operators import resume
 from codeloom.plans import study
 from codeloom.plans.ledger import Ledger, content, contents
 from codeloom.session import passing_tables, stored
@@ -235,3 +236,21 @@ def test_insights_go_along_with_their_requests(spark):
     assert coded.columns == ["id", "text", "prompt", "error2", "id_fragmento", "fragmento_original", "codigos_abiertos", "error"]
     assert rows_of(coded, "id", "prompt", "error2") == rows_of(given.where("id = '1'"), "id", "prompt", "error2")
     assert rows_of(failed.select("id", "insight_original.text", "error"), "text", "error") == [("late", "invalid response"), ("talking", "invalid response")]
+
+
+def test_what_is_left_is_found_without_the_texts(spark, tmp_path):
+    """Before, all texts were shuffled to meet the ids of the checkpoint."""
+    rows = [(str(n), f"text {n}") for n in range(20_000)] + [("7", "again"), ("a", "new"), ("a", "new"), (None, "no id")]
+    spark.createDataFrame(rows, "id string, text string").write.parquet(str(tmp_path / "raw"))
+    spark.createDataFrame([(str(n), str(n)) for n in range(20_000)], "id string, id_fragmento string").write.parquet(str(tmp_path / "done"))
+    raw, done = (spark.read.parquet(str(tmp_path / x)) for x in ("raw", "done"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        todo = resume.pending(raw, done)
+        assert "BroadcastHashJoin" in todo._jdf.queryExecution().executedPlan().toString()
+        assert rows_of(todo, "id", "text") == [("a", "new"), ("a", "new"), (None, "no id")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    nulls = done.limit(1).select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("id_fragmento"))
+    assert rows_of(resume.pending(raw.where("id IS NULL OR id = 'a'"), nulls), "id") == [("a",), ("a",)]
